@@ -6,7 +6,7 @@ import importlib
 
 from diurna.plans.registry import ENTRIES, Entry
 
-MODULES = ["views", "records", "nights"]
+MODULES = ["views", "records", "nights", "rolling"]
 
 
 def entries() -> dict[str, Entry]:
