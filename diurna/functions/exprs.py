@@ -213,13 +213,19 @@ def vector_mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def standardize(a: Column) -> Column:
     """(v - mean) / population deviation; a flat vector is only centred."""
-    mean = vector_mean(a)
-    var = F.aggregate(F.transform(a, lambda x: (x - mean) * (x - mean)),
-                      F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    std = F.sqrt(var)
-    return F.transform(a, lambda x: F.when(std > 0, (x - mean) / std).otherwise(x - mean))
+    def centred(mean: Column) -> Column:
+        square = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(a)
+        return let(F.sqrt(square), lambda std: F.transform(
+            a, lambda x: F.when(std > 0, (x - mean) / std).otherwise(x - mean)))
+
+    return let(vector_mean(a), centred)
 
 
 def patches(a: Column, width: int) -> Column:

@@ -1,0 +1,183 @@
+"""Light profiles and the circadian phase estimate.
+
+The pacemaker recurrence is sequential over minutes, so it is evaluated with
+NumPy across all rows of an Arrow batch (one step updates every row). Spark
+partitions the work: profiles are reduced to 24-bit day masks, only distinct
+mask sequences are simulated, and the answers are joined back.
+"""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from diurna.functions import exprs as E
+from diurna.operators import intervals as I
+
+KEY = ["user_id", "date"]
+
+# Light levels and the published pacemaker parameters.
+AWAKE_LUX, ASLEEP_LUX = 250.0, 0.0
+PERIOD_HOURS = 24.2
+COUPLING = 33.75
+STIFFNESS = 0.55
+RECOVERY = 0.23
+RECEPTOR_DECAY = 0.0075
+HALF_LIGHT = 9500.0
+LIGHT_EXPONENT = 0.5
+MAX_DRIVE = 0.05
+SUPPRESSION = 3.0
+ONSET_OFFSET_HOURS = 7.0
+MINIMUM_ANGLE_DEGREES = -170.7
+ACTIVITY_STEPS = [(0.7, 500.0), (0.4, 300.0), (0.25, 150.0), (0.1, 50.0), (0.0, 0.0)]
+
+RESULT = T.StructType([T.StructField("cbt_min_hour", T.IntegerType())] + [
+    T.StructField(n, T.DoubleType()) for n in ("onset_hour", "amplitude", "phase_angle", "confidence")])
+
+
+# ---- profiles ------------------------------------------------------------------
+
+def sleep_masks(sleep: DataFrame) -> DataFrame:
+    """Bit h of the mask is set when clock hour h overlaps any sleep of that date."""
+    bit = F.pow(F.lit(2.0), F.col("hour")).cast("int")
+    return I.sleep_hours_of_day(sleep).groupBy(*KEY).agg(F.bit_or(bit).alias("mask"))
+
+
+def mask_lux(mask: Column) -> Column:
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(23)),
+        lambda h: F.when(F.floor(mask / F.pow(F.lit(2.0), h)) % 2 == 1, ASLEEP_LUX).otherwise(AWAKE_LUX))
+
+
+def sleep_light(sleep: DataFrame) -> DataFrame:
+    """Hourly lux of every date with sleep: bright when awake, dark when asleep."""
+    return sleep_masks(sleep).select(*KEY, mask_lux(F.col("mask")).alias("lux"))
+
+
+def activity_light(activity: DataFrame) -> DataFrame:
+    """Hourly lux by where the hour's activity lies against half the user's largest value."""
+    top = activity.filter(F.col("value") > 0).groupBy("user_id").agg(F.max("value").alias("top"))
+    hours = activity.groupBy(
+        "user_id", F.to_date("start_ts").alias("date"), F.hour("start_ts").alias("hour")
+    ).agg(F.sum("value").alias("amount"))
+    half = F.coalesce("top", F.lit(1000.0)) / 2
+    level = E.ladder(*[(F.col("amount") >= k * half, lux) for k, lux in ACTIVITY_STEPS], otherwise=0.0)
+    by_hour = hours.join(top, "user_id", "left").select(*KEY, "hour", level.alias("lux"))
+    return by_hour.groupBy(*KEY).agg(F.array(*[
+        F.coalesce(F.max(F.when(F.col("hour") == h, F.col("lux"))), F.lit(0.0)) for h in range(24)
+    ]).alias("lux"))
+
+
+def seasonal(lux: Column, day_length_hours: Column) -> Column:
+    """Short days double the light."""
+    return F.when(day_length_hours < 12, F.transform(lux, lambda x: x * 2)).otherwise(lux)
+
+
+# ---- pacemaker -------------------------------------------------------------------
+
+def _advance(state: np.ndarray, light: np.ndarray, minutes: int, wrap: bool = False) -> np.ndarray:
+    """Euler steps of one minute for every row; ``state`` is (3, rows)."""
+    x, xc, n = state
+    root = light ** LIGHT_EXPONENT
+    drive = MAX_DRIVE * root / (root + HALF_LIGHT ** LIGHT_EXPONENT)
+    turn = np.pi / 12.0
+    pull = (24.0 / (0.99669 * PERIOD_HOURS)) ** 2
+    dt = 1 / 60.0
+    for _ in range(minutes):
+        raw = COUPLING * (1 - n) * drive
+        force = raw * (1 - 0.4 * x) * (1 - 0.4 * xc) * np.maximum(0.0, 1 - SUPPRESSION * raw)
+        dx = turn * (xc + force)
+        dxc = turn * (RECOVERY * (xc - 4.0 * xc ** 3 / 3.0) - x * (pull + STIFFNESS * force))
+        dn = 60.0 * (drive * (1.0 - n) - RECEPTOR_DECAY * n)
+        x, xc, n = x + dx * dt, xc + dxc * dt, n + dn * dt
+        if wrap:
+            x = np.where(x > np.pi, x - 2 * np.pi, np.where(x < -np.pi, x + 2 * np.pi, x))
+    return np.stack([x, xc, n])
+
+
+@lru_cache(maxsize=1)
+def resting_state() -> tuple[float, float, float]:
+    """State after two weeks of sleeping from 23 to 7, the start of every run."""
+    state = np.array([[-1.0], [1.0], [0.1]])
+    for _ in range(14):
+        for hour in range(24):
+            lux = AWAKE_LUX if 7 <= hour < 23 else ASLEEP_LUX
+            state = _advance(state, np.array([lux]), 60, wrap=True)
+    return tuple(float(v[0]) for v in state)
+
+
+def last_day_states(lux: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x, xc) at each clock hour of the last day, for rows of hourly lux."""
+    count, hours = lux.shape
+    state = np.repeat(np.array(resting_state())[:, None], count, axis=1)
+    xs, xcs = [], []
+    for hour in range(hours):
+        if hour >= hours - 24:
+            xs.append(state[0])
+            xcs.append(state[1])
+        state = _advance(state, lux[:, hour], 60)
+    return np.stack(xs, axis=1), np.stack(xcs, axis=1)
+
+
+def read_phase(x: np.ndarray, xc: np.ndarray) -> pd.DataFrame:
+    """Temperature minimum where the angle is nearest the target, and what follows from it."""
+    off = np.abs(np.arctan2(xc, x) - np.radians(MINIMUM_ANGLE_DEGREES))
+    off = np.minimum(off, 2 * np.pi - off)
+    off = np.where(np.abs(x) > 1e-10, off, np.inf)
+    low = off.argmin(axis=1)
+    wave = -xc * np.cos(x)
+    onset = (low - ONSET_OFFSET_HOURS) % 24
+    angle = (23.0 - onset) % 24
+    trust = 1.0 - off.min(axis=1) / np.pi
+    trust = np.where((angle >= 1.5) & (angle <= 3.5), trust, trust * 0.8)
+    trust = np.where((low >= 4) & (low <= 6), np.minimum(1.0, trust * 1.2), trust)
+    return pd.DataFrame({
+        "cbt_min_hour": low.astype("int32"), "onset_hour": onset,
+        "amplitude": wave.max(axis=1) - wave.min(axis=1), "phase_angle": angle, "confidence": trust})
+
+
+def phases(profiles: DataFrame, key: str) -> DataFrame:
+    """Phase of each row's ``lux`` array (whole days, oldest first), kept with its key."""
+    schema = T.StructType([profiles.schema[key], *RESULT.fields])
+
+    def run(batches):
+        for batch in batches:
+            lengths = batch["lux"].map(len)
+            for length in lengths.unique():
+                part = batch[lengths == length]
+                grid = np.stack(part["lux"].to_numpy()).astype("float64")
+                out = read_phase(*last_day_states(grid))
+                out.insert(0, key, part[key].to_numpy())
+                yield out
+
+    return profiles.select(key, "lux").mapInPandas(run, schema)
+
+
+def circadian_phase(sleep: DataFrame, calendar: DataFrame, window: int = 14, model_days: int = 7,
+                    least: int = 3) -> DataFrame:
+    """Phase for every calendar date from the sleep of the days before it.
+
+    A date needs ``least`` records starting in the last ``window`` days; as many
+    days as there are records, at most ``model_days``, are simulated.
+    """
+    starts = sleep.groupBy("user_id", F.to_date("start_ts").alias("date")).agg(
+        F.count(F.lit(1)).alias("records"))
+    order = W.partitionBy("user_id").orderBy("date")
+    grid = calendar.join(sleep_masks(sleep), KEY, "left").join(starts, KEY, "left").select(
+        *KEY, F.coalesce("mask", F.lit(0)).alias("mask"), F.coalesce("records", F.lit(0)).alias("records"))
+    seen = F.collect_list("mask").over(order.rowsBetween(-(model_days - 1), 0))
+    grid = grid.select(*KEY, F.sum("records").over(order.rowsBetween(-(window - 1), 0)).alias("records"),
+                       seen.alias("masks")).filter(F.col("records") >= least)
+    size = F.least(F.lit(model_days), F.col("records")).cast("int")
+    padded = F.concat(F.array_repeat(F.lit(0), model_days - F.size("masks")), F.col("masks"))
+    grid = grid.select(*KEY, F.slice(padded, model_days - size + 1, size).alias("masks"))
+    lux = F.flatten(F.transform("masks", lambda m: mask_lux(m)))
+    grid = grid.withColumn("code", F.concat_ws("_", F.col("masks").cast("array<string>")))
+    profiles = grid.select("code", "masks").distinct().select("code", lux.alias("lux"))
+    return grid.join(phases(profiles, "code"), "code").drop("masks", "code")

@@ -29,9 +29,9 @@ def days(first: int, last: int = 0) -> WindowSpec:
     return W.partitionBy("user_id").orderBy(F.unix_date("date")).rangeBetween(first, last)
 
 
-def _series(daily: DataFrame, metric: Column) -> DataFrame:
+def _series(daily: DataFrame, metric: str | Column) -> DataFrame:
     """The metric as ``y`` with its position in the user's history."""
-    return daily.select(*KEY, metric.cast("double").alias("y")).withColumn(
+    return daily.select(*KEY, E.col(metric).cast("double").alias("y")).withColumn(
         "pos", F.row_number().over(in_order())
     )
 
@@ -57,7 +57,7 @@ def mean_std_z(daily: DataFrame, metrics: list[str], size: int = 30, least: int
     return counted.filter(F.col("in_frame") >= least).drop("in_frame")
 
 
-def statistics(daily: DataFrame, metric: Column, size: int) -> DataFrame:
+def statistics(daily: DataFrame, metric: str | Column, size: int) -> DataFrame:
     w, y = rows(-(size - 1)), F.col("y")
     return _series(daily, metric).select(
         *KEY, F.avg(y).over(w).alias("mean"), _std(y, w).alias("std"),
@@ -65,7 +65,7 @@ def statistics(daily: DataFrame, metric: Column, size: int) -> DataFrame:
     )
 
 
-def trend(daily: DataFrame, metric: Column, size: int, stable_below: float = 0.1) -> DataFrame:
+def trend(daily: DataFrame, metric: str | Column, size: int, stable_below: float = 0.1) -> DataFrame:
     """Slope, fit and mean second difference, which telescopes to two first differences."""
     w, y = rows(-(size - 1)), F.col("y")
     s = _series(daily, metric).withColumn("step", y - F.lag("y").over(in_order()))
@@ -89,7 +89,7 @@ def _quantile(sorted_values: Column, p: float) -> Column:
     return a + (b - a) * (at - lo)
 
 
-def variability(daily: DataFrame, metric: Column, size: int) -> DataFrame:
+def variability(daily: DataFrame, metric: str | Column, size: int) -> DataFrame:
     """CV, range, interquartile range and median deviation over at most ``size`` values."""
     w, y = rows(-(size - 1)), F.col("y")
     framed = _series(daily, metric).select(
@@ -107,7 +107,7 @@ def variability(daily: DataFrame, metric: Column, size: int) -> DataFrame:
     )
 
 
-def anomaly_scores(daily: DataFrame, metric: Column, size: int) -> DataFrame:
+def anomaly_scores(daily: DataFrame, metric: str | Column, size: int) -> DataFrame:
     """Distance from the mean of the rows before, in their deviations."""
     w, y = rows(-size, -1), F.col("y")
     std = _std(y, w)
@@ -116,7 +116,7 @@ def anomaly_scores(daily: DataFrame, metric: Column, size: int) -> DataFrame:
     )
 
 
-def change_points(daily: DataFrame, metric: Column, segment: int = 5, effect: float = 0.8) -> DataFrame:
+def change_points(daily: DataFrame, metric: str | Column, segment: int = 5, effect: float = 0.8) -> DataFrame:
     before, after, y = rows(-segment, -1), rows(0, segment - 1), F.col("y")
     shift = F.avg(y).over(after) - F.avg(y).over(before)
     pooled = F.sqrt((F.var_pop(y).over(before) + F.var_pop(y).over(after)) / 2)
@@ -133,7 +133,7 @@ def change_points(daily: DataFrame, metric: Column, segment: int = 5, effect: fl
     )
 
 
-def momentum(daily: DataFrame, metric: Column, short: int = 3, long: int = 7) -> DataFrame:
+def momentum(daily: DataFrame, metric: str | Column, short: int = 3, long: int = 7) -> DataFrame:
     n = F.col("pos")
     quick = F.when(n >= short, _slope(rows(-(short - 1)))).otherwise(0.0)
     slow = F.when(n >= long, _slope(rows(-(long - 1)))).otherwise(quick)
@@ -143,7 +143,7 @@ def momentum(daily: DataFrame, metric: Column, short: int = 3, long: int = 7) ->
                     ((F.round(gap, 9) > 0) & (F.round("short_term", 9) > 0)).alias("is_accelerating"))
 
 
-def overall_slope(daily: DataFrame, metric: Column) -> DataFrame:
+def overall_slope(daily: DataFrame, metric: str | Column) -> DataFrame:
     """Slope of the whole series on its position; fewer than three rows give 0."""
     return _series(daily, metric).groupBy("user_id").agg(
         F.when(F.count(F.lit(1)) >= 3, F.coalesce(F.regr_slope("y", "pos"), F.lit(0.0)))
@@ -151,7 +151,7 @@ def overall_slope(daily: DataFrame, metric: Column) -> DataFrame:
     )
 
 
-def periodicity(daily: DataFrame, metric: Column, longest: int = 7) -> DataFrame:
+def periodicity(daily: DataFrame, metric: str | Column, longest: int = 7) -> DataFrame:
     """Strongest autocorrelation among the lags and the residue class with the highest mean."""
     whole, y = W.partitionBy("user_id"), F.col("y")
     s = _series(daily, metric)
@@ -202,12 +202,12 @@ def t_two_sided(t: Column, df: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.when(df % 2 == 0, even).otherwise(odd))
 
 
-def correlation(a: DataFrame, b: DataFrame, x: Column, y: Column, lag: int = 0,
+def correlation(a: DataFrame, b: DataFrame, x: str | Column, y: str | Column, lag: int = 0,
                 level: float = 0.05) -> DataFrame:
     """Pearson and Spearman over common dates; a positive lag pairs x with y ``lag`` rows later."""
     # rounding lets values that differ by summation noise share a rank
-    both = a.select(*KEY, F.round(x.cast("double"), 9).alias("x")).join(
-        b.select(*KEY, F.round(y.cast("double"), 9).alias("y")), KEY)
+    both = a.select(*KEY, F.round(E.col(x).cast("double"), 9).alias("x")).join(
+        b.select(*KEY, F.round(E.col(y).cast("double"), 9).alias("y")), KEY)
     total = F.count(F.lit(1)).over(W.partitionBy("user_id"))
     w = in_order()
     shifted = F.lead("y", lag).over(w) if lag >= 0 else F.lag("y", -lag).over(w)
@@ -231,7 +231,7 @@ def correlation(a: DataFrame, b: DataFrame, x: Column, y: Column, lag: int = 0,
                     p.alias("p_value"), (p < level).alias("is_significant"))
 
 
-def day_over_day(daily: DataFrame, metric: Column) -> DataFrame:
+def day_over_day(daily: DataFrame, metric: str | Column) -> DataFrame:
     """Mean relative change from the row before, where that row is positive."""
     before = F.lag("y").over(in_order())
     change = F.when(before > 0, F.abs(F.col("y") - before) / before)
@@ -247,7 +247,7 @@ def latest_per_user(records: DataFrame, order: list[Column], n: int) -> DataFram
 
 # ---- baselines that grow with history -----------------------------------------
 
-def incremental_baseline(daily: DataFrame, metric: Column, seed: tuple[float, float, int] | None = None
+def incremental_baseline(daily: DataFrame, metric: str | Column, seed: tuple[float, float, int] | None = None
                          ) -> DataFrame:
     """Running mean and deviation from count, sum and sum of squares.
 
@@ -259,7 +259,7 @@ def incremental_baseline(daily: DataFrame, metric: Column, seed: tuple[float, fl
     n = F.count(y).over(w) + n0
     total = F.coalesce(F.sum(y).over(w), F.lit(0.0)) + mean0 * n0
     squares = F.coalesce(F.sum(y * y).over(w), F.lit(0.0)) + (std0 ** 2 + mean0 ** 2) * n0
-    s = daily.select(*KEY, metric.cast("double").alias("y")).select(
+    s = daily.select(*KEY, E.col(metric).cast("double").alias("y")).select(
         *KEY, "y", n.alias("n"), (total / n).alias("mean"),
         (squares / n).alias("mean_sq"))
     spread = F.greatest(F.col("mean_sq") - F.col("mean") * F.col("mean"), F.lit(0.0))
@@ -267,17 +267,17 @@ def incremental_baseline(daily: DataFrame, metric: Column, seed: tuple[float, fl
     return s.select(*KEY, "y", "n", "mean", F.sqrt(F.round(F.when(F.col("n") > 1, spread).otherwise(0.0), 9)).alias("std"))
 
 
-def individual_z(daily: DataFrame, metric: Column, ignored: float | None = None) -> DataFrame:
+def individual_z(daily: DataFrame, metric: str | Column, ignored: float | None = None) -> DataFrame:
     """z of each day against the state that already includes it; default values stay out of the state."""
-    kept = metric if ignored is None else F.when(metric != ignored, metric)
+    kept = metric if ignored is None else F.when(E.col(metric) != ignored, E.col(metric))
     state = incremental_baseline(daily, kept)
-    raw = daily.select(*KEY, metric.cast("double").alias("value"))
+    raw = daily.select(*KEY, E.col(metric).cast("double").alias("value"))
     std = F.col("std")
     return state.join(raw, KEY).select(
         *KEY, F.when(std > 0, (F.col("value") - F.col("mean")) / std).otherwise(0.0).alias("zscore"))
 
 
-def risk_trajectory(daily: DataFrame, score: Column) -> DataFrame:
+def risk_trajectory(daily: DataFrame, score: str | Column) -> DataFrame:
     """Direction of the score over the whole history up to each date."""
     w = rows(START)
     s = _series(daily, score).select(*KEY, "pos", F.round(_slope(w), 9).alias("slope"))
@@ -290,7 +290,7 @@ def risk_trajectory(daily: DataFrame, score: Column) -> DataFrame:
     )
 
 
-def longitudinal_pattern(daily: DataFrame, score: Column) -> DataFrame:
+def longitudinal_pattern(daily: DataFrame, score: str | Column) -> DataFrame:
     """Last step against +-3 points, and whether the whole history is monotone."""
     w, step = rows(START), F.col("step")
     s = _series(daily, score).withColumn("step", F.col("y") - F.lag("y").over(in_order()))

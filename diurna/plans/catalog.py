@@ -6,7 +6,7 @@ import importlib
 
 from diurna.plans.registry import ENTRIES, Entry
 
-MODULES = ["views", "records", "nights", "rolling"]
+MODULES = ["views", "records", "nights", "rolling", "circadian"]
 
 
 def entries() -> dict[str, Entry]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -19,6 +20,7 @@ class Entry:
     ids: tuple[str, ...]
     build: Callable[[TestTables], DataFrame]
     sql: str | None
+    home: str
 
 
 NUDGE = 1e-9
@@ -32,10 +34,12 @@ def view(name: str, sql: str) -> None:
 
 
 def query(name: str, ids: str, sql: str | None = None):
+    home = sys._getframe(1).f_globals["__name__"].rsplit(".", 1)[-1]
+
     def register(build: Callable[[TestTables], DataFrame]):
         if name in ENTRIES:
             raise ValueError(f"duplicate query {name}")
-        ENTRIES[name] = Entry(name, tuple(ids.split()), build, sql)
+        ENTRIES[name] = Entry(name, tuple(ids.split()), build, sql, home)
         return build
 
     return register

@@ -8,7 +8,7 @@ from diurna.operators import rolling as R
 from diurna.plans.nights import r
 from diurna.plans.registry import query, view
 
-STEPS, SLEPT = F.col("steps"), F.col("sleep_hours")
+STEPS, SLEPT = "steps", "sleep_hours"
 ACTS = lambda t: D.daily_activity(t.activity)
 SLEEP_METRICS = ["sleep_percentage", "sleep_amplitude", "long_num", "long_len", "long_st", "long_wt",
                  "short_num", "short_len", "short_st", "short_wt"]
@@ -189,7 +189,7 @@ query("individual_heart_zscore", "W19", """
     WINDOW w AS (PARTITION BY user_id ORDER BY date ROWS UNBOUNDED PRECEDING)),
   d AS (SELECT *, CASE WHEN n > 1 THEN sqrt(round(greatest(q - m * m, 0.0), 9)) ELSE 0.0 END AS sd FROM st)
   SELECT user_id, date, round(CASE WHEN sd > 0 THEN (v - m) / sd ELSE 0.0 END, 6) AS zscore FROM d""")(
-    lambda t: R.individual_z(D.daily_heart(t.heart), F.col("avg_resting_hr"), ignored=70.0))
+    lambda t: R.individual_z(D.daily_heart(t.heart), "avg_resting_hr", ignored=70.0))
 
 SEVERITY = lambda t: t.episodes.groupBy("user_id", F.col("start_date").alias("date")).agg(
     F.sum("severity").alias("score"))
@@ -204,7 +204,7 @@ query("risk_trajectory", "W20", """
          CASE WHEN velocity > 0.1 THEN 'worsening' WHEN velocity < -0.1 THEN 'improving' ELSE 'stable' END AS trend,
          CASE WHEN pos < 3 THEN 'unknown' WHEN velocity > 0.1 THEN 'continued_worsening'
               WHEN velocity < -0.1 THEN 'continued_improvement' ELSE 'stable' END AS predicted FROM v""")(
-    lambda t: R.risk_trajectory(SEVERITY(t), F.col("score")))
+    lambda t: R.risk_trajectory(SEVERITY(t), "score"))
 query("longitudinal_pattern", "W21", """
   WITH d AS (SELECT *, y - lag(y) OVER (PARTITION BY user_id ORDER BY date) AS step FROM severity_days),
   e AS (
@@ -218,4 +218,4 @@ query("longitudinal_pattern", "W21", """
   SELECT user_id, date, trajectory, pattern, round(least(0.5 + (pos - 1) * 0.1, 0.9), 6)::DOUBLE AS confidence,
          CASE WHEN trajectory = 'worsening' AND pattern = 'escalating_depression' THEN 'high_risk_for_episode'
               WHEN trajectory = 'improving' THEN 'decreasing_risk' ELSE 'stable_risk' END AS projection FROM f""")(
-    lambda t: R.longitudinal_pattern(SEVERITY(t), F.col("score")))
+    lambda t: R.longitudinal_pattern(SEVERITY(t), "score"))
