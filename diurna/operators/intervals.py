@@ -238,8 +238,9 @@ def overlap_advice(runs: DataFrame, users: DataFrame) -> DataFrame:
     return users.join(found, "user_id", "left").select(
         "user_id", n.alias("runs"), longest.alias("longest_days"),
         E.ladder(
-            (n == 0, "no_overlap"), ((n == 1) & (longest < 7), "limited_overlap"),
-            otherwise="sufficient_overlap",
+            (n == 0, "Use sensor-specific analysis"),
+            ((n == 1) & (longest - 1 < 7), "Limited overlap - use with caution"),
+            otherwise="Sufficient overlap for integrated analysis",
         ).alias("advice"),
     )
 
