@@ -181,3 +181,15 @@ def circadian_phase(sleep: DataFrame, calendar: DataFrame, window: int = 14, mod
     grid = grid.withColumn("code", F.concat_ws("_", F.col("masks").cast("array<string>")))
     profiles = grid.select("code", "masks").distinct().select("code", lux.alias("lux"))
     return grid.join(phases(profiles, "code"), "code").drop("masks", "code")
+
+
+def activity_phase(activity: DataFrame, calendar: DataFrame, model_days: int = 14) -> DataFrame:
+    """Phase for every calendar date from the hourly activity of the days before it."""
+    dark = F.array_repeat(F.lit(0.0), 24)
+    order = W.partitionBy("user_id").orderBy("date")
+    days = calendar.join(activity_light(activity), KEY, "left").select(
+        *KEY, F.collect_list(F.coalesce("lux", dark)).over(order.rowsBetween(-(model_days - 1), 0)).alias("days"))
+    lux = F.flatten(F.concat(F.array_repeat(dark, model_days - F.size("days")), F.col("days")))
+    days = days.select(*KEY, lux.alias("lux")).withColumn("code", F.concat_ws("_", F.col("lux").cast("array<int>").cast("array<string>")))
+    known = phases(days.groupBy("code").agg(F.first("lux").alias("lux")), "code")
+    return days.drop("lux").join(known, "code").drop("code")
