@@ -89,7 +89,8 @@ class Lookback:
     def sleep(self) -> dict[str, Column]:
         some, n = self.nights > 0, self.nights
         night_bed, bed = E.evening_hour(F.col("main_bed_hour")), E.evening_hour(F.col("bed_hour"))
-        regular = E.clamp(100 - (self.std(night_bed) + self.std("wake_hour")) * 10, 0, 100)
+        # rounded, since a threshold at a whole number follows
+        regular = F.round(E.clamp(100 - (self.std(night_bed) + self.std("wake_hour")) * 10, 0, 100), 9)
         masks = F.array(*[self.avg(_asleep_at(h)) for h in range(24)])
         stability = E.let(E.vector_mean(masks), lambda g: F.when(g * (1 - g) < 1e-13, 1.0).otherwise(E.clamp(
             F.aggregate(masks, F.lit(0.0), lambda s, m: s + (m - g) * (m - g)) / (24 * g * (1 - g)), 0, 1)))

@@ -53,8 +53,9 @@ def time_splits(rows: DataFrame, folds: int = 3, test_share: float = 0.2) -> Dat
     """Expanding training folds, each followed by a test block, over each user's dates."""
     order = W.partitionBy("user_id").orderBy("date")
     n = F.count(F.lit(1)).over(W.partitionBy("user_id"))
-    r = rows.select("*", (F.row_number().over(order) - 1).alias("_i"), n.alias("_n"),
-                    F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
+    # positions first: a generator in the same projection would multiply the windowed rows
+    r = rows.select("*", (F.row_number().over(order) - 1).alias("_i"), n.alias("_n"))
+    r = r.select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
     size = F.floor(F.col("_n") * test_share)
     start = F.col("_n") - (folds - F.col("fold")) * size
     part = E.ladder((F.col("_i") < start, "train"), (F.col("_i") < start + size, "test"), otherwise=F.lit(None))
@@ -80,7 +81,8 @@ def calibrated(prob: Column, factor: Column) -> Column:
 
 
 def confidence(*probs: Column) -> Column:
-    return F.abs(F.greatest(*probs) - 0.5) * 2
+    top = F.greatest(*probs) if len(probs) > 1 else probs[0]
+    return F.abs(top - 0.5) * 2
 
 
 def ensemble(statistical: DataFrame, sequence: DataFrame, weight: float = 0.6) -> DataFrame:
@@ -118,9 +120,9 @@ def train(features: DataFrame, inputs: list[str], label: str, weight: str | None
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     assembler = VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="skip")
-    trees = GBTClassifier(featuresCol="_features", labelCol=label, predictionCol=f"{label}_predicted",
-                          probabilityCol=f"{label}_probability", rawPredictionCol=f"{label}_raw",
-                          maxIter=rounds, maxDepth=depth, seed=7)
+    trees = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=rounds, maxDepth=depth, seed=7)
+    trees = trees.setPredictionCol(f"{label}_predicted").setProbabilityCol(f"{label}_probability")
+    trees = trees.setRawPredictionCol(f"{label}_raw")
     if weight:
         trees = trees.setWeightCol(weight)
     return Pipeline(stages=[assembler, trees]).fit(features)

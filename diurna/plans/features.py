@@ -54,7 +54,7 @@ view("f_sleep", """
   i AS (SELECT user_id, date, avg(m) AS g, var_pop(m) AS v FROM m GROUP BY ALL)
   SELECT user_id, date, count(sleep_hours) AS nn,
          CASE count(sleep_hours) WHEN 0 THEN 0.0 WHEN 1 THEN 100.0
-           ELSE least(100.0, greatest(0.0, 100 - (stddev_pop(main_n) + stddev_pop(wake_hour)) * 10)) END AS sleep_regularity,
+           ELSE round(least(100.0, greatest(0.0, 100 - (stddev_pop(main_n) + stddev_pop(wake_hour)) * 10)), 9) END AS sleep_regularity,
          CASE WHEN count(sleep_hours) < 3 THEN 0.0 WHEN any_value(g) * (1 - any_value(g)) < 1e-13 THEN 1.0
            ELSE least(1.0, any_value(v) / (any_value(g) * (1 - any_value(g)))) END AS interdaily_stability,
          coalesce(avg(fragmentation + 1 - efficiency), 0.0) AS intradaily_variability,
