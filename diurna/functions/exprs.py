@@ -81,6 +81,16 @@ def safe_int(text: str | Column, default: int = 0) -> Column:
                       F.lit(default).cast("long"))
 
 
+def starts_within(ts: str | Column, first: str | None = None, last: str | None = None) -> Column:
+    """Start date in [first, last], either end open; plain comparisons, so Parquet can skip row groups."""
+    c, keep = col(ts), F.lit(True)
+    if first:
+        keep = keep & (c >= F.lit(first).cast("timestamp_ntz"))
+    if last:
+        keep = keep & (c < F.date_add(F.lit(last).cast("date"), 1).cast("timestamp_ntz"))
+    return keep
+
+
 # ---- numbers --------------------------------------------------------------
 
 def clamp(v: Column, lo: float, hi: float) -> Column:

@@ -128,9 +128,10 @@ def smoothed(minutes: DataFrame, width: int = 5) -> DataFrame:
 def hourly_wide(activity: DataFrame) -> DataFrame:
     """Step totals of every day that has activity of any type, one column per start hour."""
     is_step = F.col("activity_type") == "STEP_COUNT"
-    rows = activity.select("user_id", F.to_date("start_ts").alias("date"), F.hour("start_ts").alias("h"),
-                           F.when(is_step, F.col("value")).alias("v"))
-    return rows.groupBy(*KEY).agg(*[
+    # one sum per record, then the turn to columns over at most 24 rows per day
+    hours = activity.groupBy("user_id", F.to_date("start_ts").alias("date"), F.hour("start_ts").alias("h")).agg(
+        F.sum(F.when(is_step, F.col("value"))).alias("v"))
+    return hours.groupBy(*KEY).agg(*[
         F.coalesce(F.sum(F.when(F.col("h") == h, F.col("v"))), F.lit(0.0)).alias(f"h{h}") for h in HOURS])
 
 

@@ -189,16 +189,16 @@ def hourly_step_metrics(activity: DataFrame) -> DataFrame:
     is_step = F.col("activity_type") == "STEP_COUNT"
     hours = E.hours_between("start_ts", "end_ts")
     share = F.col("value") / F.greatest(F.lit(1.0), hours)
-    binned = (
+    # one pair of sums per record, then the turn to columns over at most 24 rows per day
+    hourly = (
         _dated(activity)
         .select(*KEY, F.hour("start_ts").alias("hour"),
                 F.when(is_step, share).alias("share"), F.when(is_step, F.col("value")).alias("raw"))
-        .groupBy(*KEY).agg(
-            F.coalesce(F.sum("raw"), F.lit(0.0)).alias("daily_steps"),
-            *[F.coalesce(F.sum(F.when(F.col("hour") == h, F.col("share"))), F.lit(0.0)).alias(f"h{h}")
-              for h in HOURS],
-        )
+        .groupBy(*KEY, "hour").agg(F.sum("share").alias("share"), F.sum("raw").alias("raw"))
     )
+    binned = hourly.groupBy(*KEY).agg(
+        F.coalesce(F.sum("raw"), F.lit(0.0)).alias("daily_steps"),
+        *[F.coalesce(F.sum(F.when(F.col("hour") == h, F.col("share"))), F.lit(0.0)).alias(f"h{h}") for h in HOURS])
     h = [F.round(f"h{i}", 9) for i in HOURS]
     add = lambda cols: reduce(lambda a, b: a + b, cols)
     mean = add(h) / 24

@@ -93,7 +93,7 @@ def _advance(state: np.ndarray, light: np.ndarray, minutes: int, wrap: bool = Fa
         raw = COUPLING * (1 - n) * drive
         force = raw * (1 - 0.4 * x) * (1 - 0.4 * xc) * np.maximum(0.0, 1 - SUPPRESSION * raw)
         dx = turn * (xc + force)
-        dxc = turn * (RECOVERY * (xc - 4.0 * xc ** 3 / 3.0) - x * (pull + STIFFNESS * force))
+        dxc = turn * (RECOVERY * (xc - xc * xc * xc * (4.0 / 3.0)) - x * (pull + STIFFNESS * force))
         dn = 60.0 * (drive * (1.0 - n) - RECEPTOR_DECAY * n)
         x, xc, n = x + dx * dt, xc + dxc * dt, n + dn * dt
         if wrap:
@@ -156,7 +156,10 @@ def phases(profiles: DataFrame, key: str) -> DataFrame:
                 out.insert(0, key, part[key].to_numpy())
                 yield out
 
-    return profiles.select(key, "lux").mapInPandas(run, schema)
+    # a fixed number of parts: the rows are few bytes but heavy work, and would be coalesced to one task
+    spark = profiles.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return profiles.select(key, "lux").repartition(parts, key).mapInPandas(run, schema)
 
 
 def circadian_phase(sleep: DataFrame, calendar: DataFrame, window: int = 14, model_days: int = 7,

@@ -8,7 +8,7 @@ from diurna.plans.registry import query
 query("records_in_date_range", "P1 L1", """
   SELECT rec_id, user_id, start_ts, end_ts FROM sleep
   WHERE start_ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""")(
-    lambda t: t.sleep.filter(F.to_date("start_ts").between("2024-01-05", "2024-01-20"))
+    lambda t: t.sleep.filter(E.starts_within("start_ts", "2024-01-05", "2024-01-20"))
     .select("rec_id", "user_id", "start_ts", "end_ts"))
 query("records_in_period", "P2", """
   SELECT rec_id, user_id, start_ts, value FROM activity

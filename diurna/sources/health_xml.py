@@ -38,11 +38,7 @@ def read_health_xml(spark: SparkSession, path: str | list[str], types: list[str]
         E.local_timestamp("_startDate").alias("start_ts"), E.local_timestamp("_endDate").alias("end_ts"))
     if types:
         r = r.filter(F.col("type").isin(types))
-    if start:
-        r = r.filter(F.to_date("start_ts") >= F.lit(start).cast("date"))
-    if end:
-        r = r.filter(F.to_date("start_ts") <= F.lit(end).cast("date"))
-    return r
+    return r.filter(E.starts_within("start_ts", start, end))
 
 
 def _id() -> Column:

@@ -345,3 +345,28 @@ def test_day_without_any_sensor_has_null_features(spark):
     cal = series(spark, range(3)).select("user_id", "date")
     got = X.for_dates(series(spark, range(2)), cal).orderBy("date").collect()
     assert [r.y for r in got] == [0.0, 1.0, None]
+
+
+@pytest.mark.parametrize("a,b,hit", [((0, 2), (2, 3), False), ((0, 2), (1, 3), True), ((0, 5), (1, 2), True)])
+def test_half_open_overlap(spark, a, b, hit):
+    df = spark.createDataFrame([(*a, *b)], "s1 int, e1 int, s2 int, e2 int")
+    assert df.select(E.overlaps("s1", "e1", "s2", "e2").alias("v")).first().v is hit
+
+
+@pytest.mark.parametrize("phq,strict,inclusive", [(4, "low", "low"), (9, "moderate", "low"), (14, "high", "moderate"),
+                                                  (19, "high", "high"), (20, "high", "critical"), (27, "critical", "critical")])
+def test_band_edges_differ_between_the_two_readings(spark, phq, strict, inclusive):
+    from diurna.operators import rules
+    df = spark.createDataFrame([(1, BASE.date(), phq, 7.5, 8000.0, False)],
+                               "user_id long, date date, phq int, sleep_hours double, steps double, suicidal boolean")
+    assert rules.depression_risk(df).first().risk_level == strict
+    assert rules.depression_episode(df).first().risk_level == inclusive
+
+
+def test_missing_inputs_lower_confidence(spark):
+    from diurna.operators import rules
+    df = spark.createDataFrame([(1, BASE.date(), 12, None, None, False)],
+                               "user_id long, date date, phq int, sleep_hours double, steps double, suicidal boolean")
+    row = rules.depression_risk(df).first()
+    assert row.confidence == pytest.approx(0.81) and row.missing_factors == ["sleep data", "activity data"]
+    assert row.rationale.endswith("(limited data: sleep data, activity data missing)")
