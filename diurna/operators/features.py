@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from diurna import wording
 from diurna.functions import exprs as E
 from diurna.operators import circadian as C
 from diurna.operators import rolling as R
@@ -278,10 +279,10 @@ def basic_features(nights: DataFrame, acts: DataFrame, hearts: DataFrame) -> Dat
     sleep_odd = (s < 4) | (s > 10) | (e < 0.7) | (fr > 0.3)
     heart_odd = fast | weak | flat | (F.col("high_episodes") > 10) | (F.col("low_episodes") > 5)
     notes = E.messages(
-        (s < 4, "Severe sleep deprivation"), (s > 10, "Hypersomnia pattern"), (e < 0.7, "Poor sleep efficiency"),
-        (high, "Hyperactivity pattern"), (~high & low, "Hypoactivity pattern"), (erratic, "Erratic activity pattern"),
-        (fast, "Elevated resting heart rate"), (weak, "Low HRV indicates poor recovery"),
-        (flat, "Abnormal heart rate circadian rhythm"))
+        (s < 4, wording.SEVERE_SLEEP_DEPRIVATION), (s > 10, wording.HYPERSOMNIA_PATTERN), (e < 0.7, wording.POOR_SLEEP_EFFICIENCY),
+        (high, wording.HYPERACTIVITY_PATTERN), (~high & low, wording.HYPOACTIVITY_PATTERN), (erratic, wording.ERRATIC_ACTIVITY_PATTERN),
+        (fast, wording.ELEVATED_RESTING_HEART), (weak, wording.LOW_HRV_INDICATES),
+        (flat, wording.ABNORMAL_HEART_RATE))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     peak = F.coalesce("peak_hour", F.lit(0))
     return j.select(
@@ -296,10 +297,10 @@ def basic_features(nights: DataFrame, acts: DataFrame, hearts: DataFrame) -> Dat
 
 def pattern_notes(f: DataFrame) -> DataFrame:
     notes = E.messages(
-        (F.col("is_insomnia"), "Insomnia pattern detected: consistently short sleep duration"),
-        (F.col("is_hypersomnia"), "Hypersomnia pattern detected: consistently long sleep duration"),
-        (F.col("is_irregular"), "Irregular sleep pattern: high variability in sleep timing"),
-        (F.col("interdaily_stability") < 0.3, "Very low circadian stability detected"))
+        (F.col("is_insomnia"), wording.INSOMNIA_PATTERN_DETECTED),
+        (F.col("is_hypersomnia"), wording.HYPERSOMNIA_PATTERN_DETECTED_CONSISTENTLY),
+        (F.col("is_irregular"), wording.IRREGULAR_SLEEP_PATTERN),
+        (F.col("interdaily_stability") < 0.3, wording.VERY_LOW_CIRCADIAN))
     return f.select(*KEY, (F.size(notes) > 0).alias("is_significant"), notes.alias("notes"))
 
 
@@ -308,10 +309,10 @@ def validation(f: DataFrame) -> DataFrame:
     s, st = F.col("sleep_hours"), F.col("steps")
     missing = E.messages((s == 0, "sleep"), (st == 0, "activity"))
     warnings = E.messages(
-        ((s > 0) & (s < 3), "Unusually low sleep duration"), (s > 12, "Unusually high sleep duration"),
-        ((st > 0) & (st < 100), "Unusually low activity"),
+        ((s > 0) & (s < 3), wording.UNUSUALLY_LOW_SLEEP), (s > 12, wording.UNUSUALLY_HIGH_SLEEP),
+        ((st > 0) & (st < 100), wording.UNUSUALLY_LOW_ACTIVITY),
         ((F.col("sleep_7day_mean") == 0) & (F.col("activity_7day_mean") == 0),
-         "Insufficient historical data for temporal features"))
+         wording.INSUFFICIENT_HISTORICAL_DATA))
     return f.select(*KEY, (F.size(missing) == 0).alias("is_valid"), missing.alias("missing"), warnings.alias("warnings"),
                     E.clamp(1 - F.size(missing) / 3.0 - F.size(warnings) * 0.05, 0, 1).alias("quality"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from diurna import schemas as S
+from diurna import schemas as S, wording
 from diurna.functions import exprs as E
 from diurna.operators import ordering as O
 
@@ -38,7 +38,7 @@ def episode_steps(
     """
     limit = round(threshold_hours * E.HOUR_US)
     if limit <= 0:
-        raise ValueError("the merge threshold must be positive")
+        raise ValueError(wording.THE_MERGE_THRESHOLD)
     width = min(E.HOUR_US, limit)
     slot = F.floor(F.col("start_us") / F.lit(float(width))).cast("long")
     rows = _instants(sleep, keys).withColumn("slot", slot)
@@ -238,9 +238,9 @@ def overlap_advice(runs: DataFrame, users: DataFrame) -> DataFrame:
     return users.join(found, "user_id", "left").select(
         "user_id", n.alias("runs"), longest.alias("longest_days"),
         E.ladder(
-            (n == 0, "Use sensor-specific analysis"),
-            ((n == 1) & (longest - 1 < 7), "Limited overlap - use with caution"),
-            otherwise="Sufficient overlap for integrated analysis",
+            (n == 0, wording.USE_SENSOR_SPECIFIC),
+            ((n == 1) & (longest - 1 < 7), wording.LIMITED_OVERLAP_USE),
+            otherwise=wording.SUFFICIENT_OVERLAP_FOR,
         ).alias("advice"),
     )
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from diurna import wording
 from diurna.functions import exprs as E
 from diurna.operators.circadian import user_calendar
 
@@ -155,8 +156,8 @@ def processing_strategy(dens: DataFrame) -> DataFrame:
         "user_id", "density_class",
         E.ladder((kind == "dense", "full_circadian_analysis"), (kind == "sparse", "interpolation_with_uncertainty"),
                  otherwise="minimal_analysis").alias("algorithm"),
-        E.ladder((kind == "dense", ""), (kind == "sparse", "Sparse data - confidence intervals widened"),
-                 otherwise="Very sparse data - results may be unreliable").alias("warning"))
+        E.ladder((kind == "dense", ""), (kind == "sparse", wording.SPARSE_DATA_CONFIDENCE),
+                 otherwise=wording.VERY_SPARSE_DATA).alias("warning"))
 
 
 def available_features(dens: DataFrame) -> DataFrame:
@@ -221,8 +222,8 @@ def data_summary(sleep: DataFrame, activity: DataFrame, heart: DataFrame) -> Dat
         F.count(F.lit(1)).alias("days"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
     g = g.withColumn("density", F.col("days") / (F.datediff("last_day", "first_day") + 1))
     return g.withColumn("warnings", F.concat_ws("; ", E.messages(
-        (F.col("sleep_records") == 0, "no sleep data"), (F.col("activity_records") == 0, "no activity data"),
-        (F.col("density") < 0.5, "sparse data"))))
+        (F.col("sleep_records") == 0, wording.NO_SLEEP_DATA), (F.col("activity_records") == 0, wording.NO_ACTIVITY_DATA),
+        (F.col("density") < 0.5, wording.SPARSE_DATA))))
 
 
 def monthly_coverage(nights: DataFrame, acts: DataFrame) -> DataFrame:

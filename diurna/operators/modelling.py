@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from diurna import wording
 from diurna.functions import exprs as E
 from diurna.operators import ordering as O
 
@@ -165,13 +166,13 @@ def report(scores: DataFrame, warnings: dict[str, Column], days: int = 7) -> Dat
     notes = F.concat_ws("; ", E.messages(*[(flag, text) for text, flag in warnings.items()]))
     head = scores.groupBy("user_id").agg(
         F.concat_ws(" | ", E.messages(
-            (F.lit(True), F.format_string("Analysis Period: %d days", F.count(F.lit(1)))),
-            (F.lit(True), F.concat(F.lit("Depression Risk: "), level(d))),
-            (F.lit(True), F.concat(F.lit("Hypomanic Risk: "), level(h))),
-            (F.lit(True), F.concat(F.lit("Manic Risk: "), level(m))),
-            (F.lit(True), E.ladder((d > 0.7, "HIGH DEPRESSION RISK DETECTED"), (d > 0.4, "MODERATE DEPRESSION RISK"),
-                                   otherwise="Low depression risk")),
-            ((h > 0.5) | (m > 0.3), "ELEVATED MOOD EPISODE RISK"),
+            (F.lit(True), F.format_string(wording.ANALYSIS_PERIOD_DAYS, F.count(F.lit(1)))),
+            (F.lit(True), F.concat(F.lit(wording.DEPRESSION_RISK), level(d))),
+            (F.lit(True), F.concat(F.lit(wording.HYPOMANIC_RISK), level(h))),
+            (F.lit(True), F.concat(F.lit(wording.MANIC_RISK), level(m))),
+            (F.lit(True), E.ladder((d > 0.7, wording.HIGH_DEPRESSION_RISK), (d > 0.4, wording.MODERATE_DEPRESSION_RISK),
+                                   otherwise=wording.LOW_DEPRESSION_RISK)),
+            ((h > 0.5) | (m > 0.3), wording.ELEVATED_MOOD_EPISODE),
             (F.length(notes) > 0, F.concat(F.lit("Warnings: "), notes)))).alias("head"))
     nth = F.row_number().over(W.partitionBy("user_id").orderBy("date"))
     first = scores.withColumn("_nth", nth).filter(F.col("_nth") <= days)

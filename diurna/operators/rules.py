@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diurna import schemas as S
+from diurna import schemas as S, wording
 from diurna.functions import exprs as E
 
 KEY = ["user_id", "date"]
@@ -41,25 +41,25 @@ def depression_risk(df: DataFrame) -> DataFrame:
     def pick(*values: object) -> Column:
         return E.ladder(*zip(bands, values[:-1]), otherwise=values[-1])
 
-    factor = pick(None, "mild PHQ-9 score", "moderate PHQ-9 score", "severe PHQ-9 score", "very severe PHQ-9 score")
+    factor = pick(None, wording.MILD_PHQ_9, wording.MODERATE_PHQ_9, wording.SEVERE_PHQ_9, wording.VERY_SEVERE_PHQ)
     short, long, still = sleep < S.NORMAL_SLEEP_MIN, sleep > S.HYPERSOMNIA_HOURS, steps <= S.SEVERE_LOW_STEPS
     modifier = (E.ladder((short, 1.2), (long, 1.1), otherwise=1.0) * E.ladder((still, 1.2), otherwise=1.0))
     base = pick("low", "low", "moderate", "high", "critical")
     raised = (modifier > 1.3) & (base == "moderate")
-    text = pick("Minimal depressive symptoms", "Mild depressive symptoms", "Moderate depression indicated",
-                "Severe depression indicated", "Very severe depression")
-    absent = E.messages((sleep.isNull(), "sleep data"), (steps.isNull(), "activity data"))
+    text = pick(wording.MINIMAL_DEPRESSIVE_SYMPTOMS, wording.MILD_DEPRESSIVE_SYMPTOMS, wording.MODERATE_DEPRESSION_INDICATED,
+                wording.SEVERE_DEPRESSION_INDICATED, wording.VERY_SEVERE_DEPRESSION)
+    absent = E.messages((sleep.isNull(), wording.SLEEP_DATA), (steps.isNull(), wording.ACTIVITY_DATA))
     urgent = c("suicidal")
     return df.select(
         *KEY, E.ladder((urgent, "critical"), (raised, "high"), otherwise=base).alias("risk_level"),
-        E.messages((factor.isNotNull(), factor), (short, "severe insomnia"), (~short & long, "hypersomnia"),
-                   (still, "severe hypoactivity"), (urgent, "suicidal ideation")).alias("risk_factors"),
+        E.messages((factor.isNotNull(), factor), (short, wording.SEVERE_INSOMNIA), (~short & long, "hypersomnia"),
+                   (still, wording.SEVERE_HYPOACTIVITY), (urgent, wording.SUICIDAL_IDEATION)).alias("risk_factors"),
         absent.alias("missing_factors"), modifier.alias("biomarker_modifier"),
         (F.when(sleep.isNull(), 0.9).otherwise(1.0) * F.when(steps.isNull(), 0.9).otherwise(1.0)).alias("confidence"),
         joined(
-            E.ladder((urgent, "Suicidal ideation present - immediate intervention required"),
-                     (raised, joined(text, F.lit(" with severe biomarker severity"))), otherwise=text),
-            F.when(F.size(absent) > 0, joined(F.lit(" (limited data: "), F.concat_ws(", ", absent), F.lit(" missing)")))
+            E.ladder((urgent, wording.SUICIDAL_IDEATION_PRESENT),
+                     (raised, joined(text, F.lit(wording.WITH_SEVERE_BIOMARKER))), otherwise=text),
+            F.when(F.size(absent) > 0, joined(F.lit(wording.LIMITED_DATA), F.concat_ws(", ", absent), F.lit(" missing)")))
             .otherwise("")).alias("rationale"))
 
 
@@ -67,23 +67,23 @@ def mania_risk(df: DataFrame) -> DataFrame:
     asrm, at = c("asrm"), S.ASRM_MAX
     bands = [asrm < at["none"], asrm < at["hypomanic"], asrm < at["manic_moderate"]]
     pick = lambda *v: E.ladder(*zip(bands, v[:-1]), otherwise=v[-1])
-    factor = pick(None, "elevated ASRM score", "high ASRM score", "very high ASRM score")
+    factor = pick(None, wording.ELEVATED_ASRM_SCORE, wording.HIGH_ASRM_SCORE, wording.VERY_HIGH_ASRM)
     urgent = c("psychotic")
     return df.select(
         *KEY, F.when(urgent, "critical").otherwise(pick("low", "moderate", "high", "critical")).alias("risk_level"),
-        E.messages((factor.isNotNull(), factor), (c("sleep_hours") < S.REDUCED_SLEEP, "reduced sleep"),
-                   (c("steps") >= S.ELEVATED_STEPS, "hyperactivity"), (urgent, "psychotic features")).alias("risk_factors"),
-        F.when(urgent, "Manic episode with psychotic features - immediate intervention required").otherwise(
-            pick("No manic symptoms detected", "Hypomanic symptoms present", "Manic episode likely",
-                 "Severe manic episode")).alias("rationale"),
+        E.messages((factor.isNotNull(), factor), (c("sleep_hours") < S.REDUCED_SLEEP, wording.REDUCED_SLEEP),
+                   (c("steps") >= S.ELEVATED_STEPS, "hyperactivity"), (urgent, wording.PSYCHOTIC_FEATURES)).alias("risk_factors"),
+        F.when(urgent, wording.MANIC_EPISODE_WITH).otherwise(
+            pick(wording.NO_MANIC_SYMPTOMS, wording.HYPOMANIC_SYMPTOMS_PRESENT, wording.MANIC_EPISODE_LIKELY,
+                 wording.SEVERE_MANIC_EPISODE)).alias("rationale"),
         F.lit(0.85).alias("confidence"))
 
 
 def mixed_risk(df: DataFrame) -> DataFrame:
     """Count of mixed features, level and the pole that outweighs the other by half."""
     phq, asrm = c("phq"), c("asrm")
-    flags = [(c("sleep_disturbance"), "sleep disturbance"), (c("racing_thoughts"), "racing thoughts"),
-             (c("anhedonia"), "anhedonia"), (c("increased_energy"), "increased energy")]
+    flags = [(c("sleep_disturbance"), wording.SLEEP_DISTURBANCE), (c("racing_thoughts"), wording.RACING_THOUGHTS),
+             (c("anhedonia"), "anhedonia"), (c("increased_energy"), wording.INCREASED_ENERGY)]
     n = E.count_true(*[f for f, _ in flags])
     severe = (phq >= S.PHQ_MIN["severe"]) | (asrm >= S.ASRM_MIN["manic_moderate"])
     both = (phq >= S.PHQ_MIN["moderate"]) & (asrm >= S.ASRM_MIN["hypomanic"])
@@ -91,9 +91,9 @@ def mixed_risk(df: DataFrame) -> DataFrame:
         *KEY, n.alias("mixed_features"), F.greatest(phq, asrm).cast("double").alias("severity_score"),
         E.ladder((severe, "critical"), (n >= 2, "high"), otherwise="moderate").alias("risk_level"),
         E.ladder((phq > asrm * 1.5, "depressive"), (asrm > phq * 1.5, "manic"), otherwise="balanced").alias("dominant_pole"),
-        E.ladder((severe, "Severe mixed episode"), (n >= 3, "Mixed mood episode with multiple features"),
-                 (n >= 2, "Mixed features present"), otherwise="Possible mixed state").alias("rationale"),
-        E.messages(*flags, (both, "concurrent depression and mania symptoms")).alias("risk_factors"))
+        E.ladder((severe, wording.SEVERE_MIXED_EPISODE), (n >= 3, wording.MIXED_MOOD_EPISODE),
+                 (n >= 2, wording.MIXED_FEATURES_PRESENT), otherwise=wording.POSSIBLE_MIXED_STATE).alias("rationale"),
+        E.messages(*flags, (both, wording.CONCURRENT_DEPRESSION_AND)).alias("risk_factors"))
 
 
 # ---- episode reading, inclusive edges ---------------------------------------------
@@ -107,13 +107,13 @@ def _depression_reading(suicidal: Column) -> dict[str, Column]:
     level = F.when(sleepy & (level == "low"), "moderate").otherwise(level)
     still = (c("steps") < S.SEVERE_LOW_STEPS) & (level != "critical")
     summary = joined(
-        pick("Depression screening within normal range.", "Mild depressive symptoms below clinical threshold.",
-             "Moderate depression detected requiring clinical attention.",
-             "Moderately severe depression requiring prompt intervention.",
-             "Severe depression requiring immediate intervention."),
-        F.when(sleepy, " Hypersomnia pattern detected.").otherwise(""),
-        F.when(still, " Severe activity reduction noted.").otherwise(""),
-        F.when(suicidal, " Suicidal ideation present - urgent assessment needed.").otherwise(""))
+        pick(wording.DEPRESSION_SCREENING_WITHIN, wording.MILD_DEPRESSIVE_SYMPTOMS_BELOW,
+             wording.MODERATE_DEPRESSION_DETECTED,
+             wording.MODERATELY_SEVERE_DEPRESSION,
+             wording.SEVERE_DEPRESSION_REQUIRING),
+        F.when(sleepy, wording.HYPERSOMNIA_PATTERN_DETECTED).otherwise(""),
+        F.when(still, wording.SEVERE_ACTIVITY_REDUCTION).otherwise(""),
+        F.when(suicidal, wording.SUICIDAL_IDEATION_PRESENT_URGENT).otherwise(""))
     return {"risk_level": F.when(suicidal, "critical").otherwise(level),
             "episode_type": pick("none", "none", "depressive", "depressive", "depressive"),
             "criteria_met": phq >= S.PHQ_MIN["moderate"], "summary": summary}
@@ -128,16 +128,16 @@ def _mania_reading(psychotic: Column) -> dict[str, Column]:
     forced = sleepless | psychotic
     level = F.when(forced, "critical").otherwise(pick("low", "moderate", "high", "critical"))
     summary = F.when(
-        psychotic, "Manic episode with psychotic features - immediate hospitalization may be required."
+        psychotic, wording.MANIC_EPISODE_WITH_PSYCHOTIC
     ).otherwise(joined(
-        pick("Mania screening within normal range.", "Hypomanic symptoms detected requiring monitoring.",
-             "Significant hypomanic symptoms requiring intervention.",
-             "Severe manic symptoms requiring immediate intervention."),
-        F.when(sleepless, " Critical sleep reduction indicates mania.").otherwise("")))
+        pick(wording.MANIA_SCREENING_WITHIN, wording.HYPOMANIC_SYMPTOMS_DETECTED,
+             wording.SIGNIFICANT_HYPOMANIC_SYMPTOMS,
+             wording.SEVERE_MANIC_SYMPTOMS),
+        F.when(sleepless, wording.CRITICAL_SLEEP_REDUCTION).otherwise("")))
     return {"risk_level": F.when(extreme & (level == "moderate"), "high").otherwise(level),
             "episode_type": F.when(forced, "manic").otherwise(pick("none", "hypomanic", "hypomanic", "manic")),
             "criteria_met": asrm >= S.ASRM_MIN["hypomanic"],
-            "summary": joined(summary, F.when(extreme, " Significantly elevated activity level.").otherwise(""))}
+            "summary": joined(summary, F.when(extreme, wording.SIGNIFICANTLY_ELEVATED_ACTIVITY).otherwise(""))}
 
 
 def depression_episode(df: DataFrame) -> DataFrame:
@@ -158,9 +158,9 @@ def mixed_episode(df: DataFrame) -> DataFrame:
     up = (c("asrm") >= S.ASRM_MIN["hypomanic"]) & (low >= 3)
     dep, man = _depression_reading(F.lit(False)), _mania_reading(F.lit(False))
     fixed_down = {"risk_level": "high", "episode_type": "depressive_with_mixed_features", "criteria_met": True,
-                  "summary": "Major depressive episode with mixed features detected."}
+                  "summary": wording.MAJOR_DEPRESSIVE_EPISODE}
     fixed_up = {"risk_level": "high", "episode_type": "manic_with_mixed_features", "criteria_met": True,
-                "summary": "Manic episode with mixed features detected."}
+                "summary": wording.MANIC_EPISODE_WITH_MIXED}
     return df.select(*KEY, *[
         E.ladder((down, fixed_down[n]), (up, fixed_up[n]), (c("phq") >= c("asrm"), dep[n]), otherwise=man[n]).alias(n)
         for n in dep])
@@ -188,13 +188,13 @@ def biomarkers(df: DataFrame) -> DataFrame:
     s, e, v = c("sleep_hours"), c("efficiency"), c("timing_variance")
     steps, rest = c("steps"), c("sedentary_hours")
     adv, stab, var = c("phase_advance"), c("interdaily_stability"), c("intradaily_variability")
-    sleep_rules = [(s < S.CRITICAL_SLEEP, "Critical short sleep duration indicates mania risk"),
-                   (e < 0.85, "Poor sleep efficiency"), (v > 2.0, "Highly variable sleep schedule")]
-    up_rules = [(steps > S.ELEVATED_STEPS, "Significantly elevated activity level"),
-                (steps > S.EXTREME_STEPS, "Extreme activity elevation"), (rest < 4, "Minimal rest periods")]
-    down_rule = (steps < S.SEVERE_LOW_STEPS, "Severe activity reduction")
-    clock_rules = [(adv > 2.0, "Significant circadian phase advance"), (stab < 0.5, "Low circadian rhythm stability"),
-                   (var > 1.0, "High circadian fragmentation")]
+    sleep_rules = [(s < S.CRITICAL_SLEEP, wording.CRITICAL_SHORT_SLEEP),
+                   (e < 0.85, wording.POOR_SLEEP_EFFICIENCY), (v > 2.0, wording.HIGHLY_VARIABLE_SLEEP)]
+    up_rules = [(steps > S.ELEVATED_STEPS, wording.SIGNIFICANTLY_ELEVATED_ACTIVITY_LEVEL),
+                (steps > S.EXTREME_STEPS, wording.EXTREME_ACTIVITY_ELEVATION), (rest < 4, wording.MINIMAL_REST_PERIODS)]
+    down_rule = (steps < S.SEVERE_LOW_STEPS, wording.SEVERE_ACTIVITY_REDUCTION_2)
+    clock_rules = [(adv > 2.0, wording.SIGNIFICANT_CIRCADIAN_PHASE), (stab < 0.5, wording.LOW_CIRCADIAN_RHYTHM),
+                   (var > 1.0, wording.HIGH_CIRCADIAN_FRAGMENTATION)]
     n_sleep, n_up = E.count_true(*[r for r, _ in sleep_rules]), E.count_true(*[r for r, _ in up_rules])
     n_clock, n_down = E.count_true(adv > 2.0), E.count_true(down_rule[0])
     unstable = F.coalesce(stab < 0.5, F.lit(False)) | F.coalesce(var > 1.0, F.lit(False))
@@ -206,7 +206,7 @@ def biomarkers(df: DataFrame) -> DataFrame:
         F.when(s < S.CRITICAL_SLEEP, "urgent").otherwise("routine").alias("priority"),
         E.messages(*sleep_rules, *up_rules, down_rule, *clock_rules).alias("notes"),
         F.when((mania > 0) | (n_down > 0), F.format_string(
-            "Digital biomarkers indicate %d mania risk factors and %d depression risk factors", mania, n_down))
+            wording.DIGITAL_BIOMARKERS_INDICATE, mania, n_down))
         .otherwise("").alias("summary"))
 
 
@@ -222,21 +222,21 @@ def criteria(df: DataFrame) -> DataFrame:
     met = E.ladder((kind == "manic", long | ward), (kind == "hypomanic", long & ~ward), (kind == "depressive", long),
                    (mixed, long | (F.contains(kind, F.lit("manic")) & ward)), otherwise=False)
     note = E.ladder(
-        (met, joined(F.format_string("Episode duration of %d days meets DSM-5 criteria", days),
-                     F.when(ward & (kind == "manic"), " (hospitalization overrides duration requirement)").otherwise(""))),
-        (ward & (kind == "hypomanic"), F.lit("Hospitalization invalidates hypomanic episode (would be manic)")),
-        otherwise=F.format_string("Duration insufficient for %s episode (%d days < %d days required)", kind, days, need))
+        (met, joined(F.format_string(wording.EPISODE_DURATION_OF, days),
+                     F.when(ward & (kind == "manic"), wording.HOSPITALIZATION_OVERRIDES_DURATION).otherwise(""))),
+        (ward & (kind == "hypomanic"), F.lit(wording.HOSPITALIZATION_INVALIDATES_HYPOMANIC)),
+        otherwise=F.format_string(wording.DURATION_INSUFFICIENT_FOR, kind, days, need))
     wanted = F.when(F.contains(kind, F.lit("depressive")), 5).otherwise(3)
     enough = c("symptoms") >= wanted
     domains = E.messages((c("work"), "work/occupational"), (c("social"), "social/interpersonal"),
-                         (c("self_care"), "self-care"), (ward, "hospitalization required"))
+                         (c("self_care"), "self-care"), (ward, wording.HOSPITALIZATION_REQUIRED))
     impaired = F.size(domains) > 0
     every = met & enough & impaired
     return df.select(
         "rec_id", need.alias("required_days"), met.alias("duration_met"), note.alias("duration_note"),
         wanted.alias("required_symptoms"), enough.alias("symptoms_met"), domains.alias("domains"),
         impaired.alias("impairment_met"), every.alias("all_met"),
-        joined(F.when(every, "Meets").otherwise("Does not meet"), F.lit(" DSM-5 criteria for "), kind, F.lit(" episode"))
+        joined(F.when(every, "Meets").otherwise(wording.DOES_NOT_MEET), F.lit(wording.DSM_5_CRITERIA), kind, F.lit(" episode"))
         .alias("summary"))
 
 
@@ -245,10 +245,10 @@ def criteria(df: DataFrame) -> DataFrame:
 def early_warnings(df: DataFrame, sleep_factor: float = 1.0, activity_factor: float = 1.0) -> DataFrame:
     """Signs against the user's own baseline; the factors personalise the sensitivity."""
     sleep, act = c("sleep_change") * sleep_factor, c("activity_change") * activity_factor
-    down = [(sleep > 2.0, "Significant sleep increase"), (act <= -30.0, "Major activity reduction"),
-            (c("circadian_shift") > 1, "Circadian phase delay")]
-    up = [(sleep < -2, "Significant sleep reduction"), (act > 50, "Major activity increase"),
-          (c("fast_speech"), "Increased speech rate")]
+    down = [(sleep > 2.0, wording.SIGNIFICANT_SLEEP_INCREASE), (act <= -30.0, wording.MAJOR_ACTIVITY_REDUCTION),
+            (c("circadian_shift") > 1, wording.CIRCADIAN_PHASE_DELAY)]
+    up = [(sleep < -2, wording.SIGNIFICANT_SLEEP_REDUCTION), (act > 50, wording.MAJOR_ACTIVITY_INCREASE),
+          (c("fast_speech"), wording.INCREASED_SPEECH_RATE)]
     n_down, n_up = E.count_true(*[r for r, _ in down]), E.count_true(*[r for r, _ in up])
     n, run = n_down + n_up, c("consecutive_days")
     act_now = (n >= 3) & (run >= 3)
@@ -269,17 +269,17 @@ def interventions(warned: DataFrame) -> DataFrame:
     soon = E.ladder(((level == "critical") | (shift > 4), "emergency"), ((level == "high") | (shift > 2), "high"),
                     (level == "moderate", "moderate"), otherwise="low")
     actions = E.messages(
-        (soon == "emergency", "Immediate psychiatric evaluation required"),
-        (kind == "preventive", "Increase monitoring frequency"),
-        (kind == "preventive", "Review and optimize sleep hygiene"),
-        (kind == "preventive", "Consider prophylactic medication adjustment"),
-        (kind == "acute", "Schedule urgent clinical evaluation"),
-        (kind == "acute", "Initiate acute treatment protocol"), (kind == "acute", "Daily symptom monitoring"))
+        (soon == "emergency", wording.IMMEDIATE_PSYCHIATRIC_EVALUATION),
+        (kind == "preventive", wording.INCREASE_MONITORING_FREQUENCY),
+        (kind == "preventive", wording.REVIEW_AND_OPTIMIZE),
+        (kind == "preventive", wording.CONSIDER_PROPHYLACTIC_MEDICATION),
+        (kind == "acute", wording.SCHEDULE_URGENT_CLINICAL),
+        (kind == "acute", wording.INITIATE_ACUTE_TREATMENT), (kind == "acute", wording.DAILY_SYMPTOM_MONITORING))
     reasons = E.messages(
-        (shift > 2, "significant sleep disruption"), (past >= 2, "history of multiple episodes"),
-        (urgency.isin("moderate", "high"), joined(urgency, F.lit(" early warning signs"))))
+        (shift > 2, wording.SIGNIFICANT_SLEEP_DISRUPTION), (past >= 2, wording.HISTORY_OF_MULTIPLE),
+        (urgency.isin("moderate", "high"), joined(urgency, F.lit(wording.EARLY_WARNING_SIGNS))))
     return warned.select(*KEY, yes.alias("recommend"), kind.alias("intervention_type"), soon.alias("urgency"),
-                         joined(F.lit("Intervention recommended due to: "), F.concat_ws(", ", reasons)).alias("rationale"),
+                         joined(F.lit(wording.INTERVENTION_RECOMMENDED_DUE), F.concat_ws(", ", reasons)).alias("rationale"),
                          actions.alias("actions"))
 
 
@@ -307,22 +307,22 @@ def assessment(df: DataFrame) -> DataFrame:
         F.least(0.5 + points * 0.1, F.lit(0.95)).alias("confidence"), (burden / 4.0).alias("complexity"),
         (((has("phq") + has("asrm")) / 2 + (has("sleep_hours") + has("steps")) / 2) / 2).alias("completeness"),
         (level == "critical").alias("immediate"),
-        E.messages((c("phq").isNull(), "Missing depression screening data"), (c("sleep_hours").isNull(), "Missing sleep data"))
+        E.messages((c("phq").isNull(), wording.MISSING_DEPRESSION_SCREENING), (c("sleep_hours").isNull(), wording.MISSING_SLEEP_DATA))
         .alias("limitations"),
-        joined(F.lit("Patient presents with "), F.replace(diagnosis, F.lit("_"), F.lit(" ")), F.lit(" with "), level,
-               F.lit(" risk level. Clinical presentation "), F.when(meets, "meets").otherwise("does not meet"),
-               F.lit(" DSM-5 criteria.")).alias("summary"))
+        joined(F.lit(wording.PATIENT_PRESENTS_WITH), F.replace(diagnosis, F.lit("_"), F.lit(" ")), F.lit(" with "), level,
+               F.lit(wording.RISK_LEVEL_CLINICAL), F.when(meets, "meets").otherwise(wording.DOES_NOT_MEET_2),
+               F.lit(wording.DSM_5_CRITERIA_2)).alias("summary"))
 
 
 def clinical_summary(df: DataFrame) -> DataFrame:
     """One sentence per row from level, episode type, criteria, confidence and score."""
     kind = F.replace(c("episode_type"), F.lit("_"), F.lit(" "))
-    kind = F.when(kind == "depressive", "major depressive episode").otherwise(kind)
+    kind = F.when(kind == "depressive", wording.MAJOR_DEPRESSIVE_EPISODE_2).otherwise(kind)
     parts = E.messages(
-        (F.lit(True), joined(F.lit("Clinical assessment indicates "), c("risk_level"), F.lit(" risk"))),
-        (c("episode_type") != "none", joined(F.lit("for "), kind)), (c("criteria_met"), "meeting DSM-5 criteria"),
-        (F.lit(True), F.format_string("(confidence: %d%%)", F.round(c("confidence") * 100).cast("int"))),
-        (c("phq").isNotNull(), F.format_string("PHQ score: %d", c("phq"))))
+        (F.lit(True), joined(F.lit(wording.CLINICAL_ASSESSMENT_INDICATES), c("risk_level"), F.lit(" risk"))),
+        (c("episode_type") != "none", joined(F.lit("for "), kind)), (c("criteria_met"), wording.MEETING_DSM_5),
+        (F.lit(True), F.format_string(wording.CONFIDENCE, F.round(c("confidence") * 100).cast("int"))),
+        (c("phq").isNotNull(), F.format_string(wording.PHQ_SCORE, c("phq"))))
     return df.select(*KEY, joined(F.concat_ws(". ", parts), F.lit(".")).alias("summary"))
 
 
@@ -336,9 +336,9 @@ def adjusted_confidence(df: DataFrame) -> DataFrame:
     return df.select(
         "user_id", value.alias("adjusted"),
         E.ladder((value >= 0.8, "high"), (value >= 0.6, "medium"), otherwise="low").alias("reliability"),
-        E.messages((thin, "Insufficient data completeness"),
-                   (young, F.format_string("Limited historical data (%d days)", c("days"))),
-                   (blind, joined(F.lit("Missing critical features: "), F.concat_ws(", ", critical)))).alias("limitations"))
+        E.messages((thin, wording.INSUFFICIENT_DATA_COMPLETENESS),
+                   (young, F.format_string(wording.LIMITED_HISTORICAL_DATA, c("days"))),
+                   (blind, joined(F.lit(wording.MISSING_CRITICAL_FEATURES), F.concat_ws(", ", critical)))).alias("limitations"))
 
 
 def personal_thresholds(df: DataFrame) -> DataFrame:
@@ -369,17 +369,17 @@ def interpretation(df: DataFrame) -> DataFrame:
     first, second, third = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1)), F.get(ranked, F.lit(2))
     mixed = (d > 0.5) & ((m > 0.3) | (h > 0.3))
     rules = [
-        (mixed, "Mixed Episode", "critical"), (top < 0.2, "Euthymic (Stable)", "low"),
-        ((d == top) & (d >= 0.8), "Severe Depressive Episode", "high"),
-        ((d == top) & (d >= 0.6), "Moderate Depressive Episode", "moderate"),
-        ((d == top) & (d >= 0.4), "Mild Depressive Episode", "moderate"),
-        (d == top, "Subclinical Depression", "low"),
-        ((m == top) & (m >= 0.8), "Manic Episode", "high"),
-        ((m == top) & (m >= 0.6), "Hypomanic Episode with Manic Features", "high"),
-        (m == top, "Subclinical Mania", "moderate"),
-        (h >= 0.6, "Hypomanic Episode", "moderate"), (h >= 0.4, "Mild Hypomanic Episode", "low"),
+        (mixed, wording.MIXED_EPISODE, "critical"), (top < 0.2, wording.EUTHYMIC_STABLE, "low"),
+        ((d == top) & (d >= 0.8), wording.SEVERE_DEPRESSIVE_EPISODE, "high"),
+        ((d == top) & (d >= 0.6), wording.MODERATE_DEPRESSIVE_EPISODE, "moderate"),
+        ((d == top) & (d >= 0.4), wording.MILD_DEPRESSIVE_EPISODE, "moderate"),
+        (d == top, wording.SUBCLINICAL_DEPRESSION, "low"),
+        ((m == top) & (m >= 0.8), wording.MANIC_EPISODE, "high"),
+        ((m == top) & (m >= 0.6), wording.HYPOMANIC_EPISODE_WITH, "high"),
+        (m == top, wording.SUBCLINICAL_MANIA, "moderate"),
+        (h >= 0.6, wording.HYPOMANIC_EPISODE, "moderate"), (h >= 0.4, wording.MILD_HYPOMANIC_EPISODE, "low"),
     ]
-    label = E.ladder(*[(r, n) for r, n, _ in rules], otherwise="Subclinical Hypomania")
+    label = E.ladder(*[(r, n) for r, n, _ in rules], otherwise=wording.SUBCLINICAL_HYPOMANIA)
     level = E.ladder(*[(r, n) for r, _, n in rules], otherwise="low")
     sure = E.ladder(
         ((first > 0.7) & (second < 0.3), 0.9), ((first > 0.6) & (second < 0.4), 0.8), (first > 0.5, 0.7),
@@ -407,39 +407,39 @@ def notes_and_advice(read: DataFrame) -> DataFrame:
     lifted = (m > 0.3) | (h > 0.3)
     two = lambda text, v: F.format_string(text, v)
     notes = E.messages(
-        (mixed, "Mixed mood episode detected - simultaneous depressive and manic symptoms"),
-        (mixed, "High risk state requiring immediate intervention"),
-        (mixed, "Meets DSM-5 criteria for mixed features specifier"),
-        (calm, "Patient shows stable mood indicators"), (calm, "All mood scores within normal range"),
-        (low, two("Patient shows strong indicators of depression (score: %.2f)", d)),
-        (low & (d > 0.8), "Severity level suggests significant functional impairment"),
-        (low & (d > 0.7), "Meets DSM-5 criteria for major depressive episode"),
-        (manic, two("Patient exhibits manic symptoms (score: %.2f)", m)),
-        (manic & (m > 0.7), "High risk of impulsive behavior and poor judgment"),
-        (manic & (m > 0.7), "Consistent with DSM-5 criteria for manic episode"),
-        (hypo, two("Patient shows hypomania symptoms (score: %.2f)", h)),
-        (hypo, "Monitor for potential escalation to mania"),
-        (hypo & (h > 0.6), "Meets DSM-5 criteria for hypomanic episode"),
-        (other & (d > 0.3) & ~has("Depression"), two("Secondary depression risk detected (%.2f)", d)),
-        (other & lifted & ~has("Manic"), "Elevated mood symptoms present as secondary feature"),
-        (other & (d > 0.5) & lifted, "Mixed features present - increased suicide risk"),
-        (other & (d > 0.5) & lifted, "Mixed episode per DSM-5 criteria - requires urgent care"))
+        (mixed, wording.MIXED_MOOD_EPISODE_DETECTED),
+        (mixed, wording.HIGH_RISK_STATE),
+        (mixed, wording.MEETS_DSM_5),
+        (calm, wording.PATIENT_SHOWS_STABLE), (calm, wording.ALL_MOOD_SCORES),
+        (low, two(wording.PATIENT_SHOWS_STRONG, d)),
+        (low & (d > 0.8), wording.SEVERITY_LEVEL_SUGGESTS),
+        (low & (d > 0.7), wording.MEETS_DSM_5_CRITERIA),
+        (manic, two(wording.PATIENT_EXHIBITS_MANIC, m)),
+        (manic & (m > 0.7), wording.HIGH_RISK_OF),
+        (manic & (m > 0.7), wording.CONSISTENT_WITH_DSM),
+        (hypo, two(wording.PATIENT_SHOWS_HYPOMANIA, h)),
+        (hypo, wording.MONITOR_FOR_POTENTIAL),
+        (hypo & (h > 0.6), wording.MEETS_DSM_5_CRITERIA_FOR),
+        (other & (d > 0.3) & ~has("Depression"), two(wording.SECONDARY_DEPRESSION_RISK, d)),
+        (other & lifted & ~has("Manic"), wording.ELEVATED_MOOD_SYMPTOMS),
+        (other & (d > 0.5) & lifted, wording.MIXED_FEATURES_PRESENT_INCREASED),
+        (other & (d > 0.5) & lifted, wording.MIXED_EPISODE_PER))
     is_ = lambda name: level == name
     high_low, high_up = is_("high") & has("Depression"), is_("high") & ~has("Depression") & has("Manic")
     mid_low, mid_up = is_("moderate") & has("Depression"), is_("moderate") & ~has("Depression") & has("Hypomanic")
     advice = E.messages(
-        (is_("critical"), "Emergency psychiatric evaluation required"),
-        (is_("critical"), "Crisis intervention team consultation"), (is_("critical"), "Consider immediate hospitalization"),
-        (is_("high"), "Urgent psychiatric evaluation recommended"), (is_("high"), "Consider immediate safety assessment"),
-        (high_low, "Assess suicide risk"), (high_low, "Consider antidepressant therapy adjustment"),
-        (high_up, "Evaluate need for mood stabilizers"), (high_up, "Monitor for psychotic features"),
-        (high_up, "Consider emergency department evaluation"),
-        (is_("moderate"), "Schedule psychiatric follow-up within 1-2 weeks"),
-        (is_("moderate"), "Monitor symptom progression daily"),
-        (mid_low, "Consider psychotherapy referral"), (mid_low, "Encourage behavioral activation"),
-        (mid_up, "Maintain regular sleep schedule"), (mid_up, "Avoid stimulants and alcohol"),
-        (is_("low"), "Continue current monitoring schedule"), (is_("low"), "Maintain healthy lifestyle habits"),
-        (F.lit(True), "Ensure medication adherence if prescribed"), (F.lit(True), "Track mood changes using daily logs"))
+        (is_("critical"), wording.EMERGENCY_PSYCHIATRIC_EVALUATION),
+        (is_("critical"), wording.CRISIS_INTERVENTION_TEAM), (is_("critical"), wording.CONSIDER_IMMEDIATE_HOSPITALIZATION),
+        (is_("high"), wording.URGENT_PSYCHIATRIC_EVALUATION), (is_("high"), wording.CONSIDER_IMMEDIATE_SAFETY),
+        (high_low, wording.ASSESS_SUICIDE_RISK), (high_low, wording.CONSIDER_ANTIDEPRESSANT_THERAPY),
+        (high_up, wording.EVALUATE_NEED_FOR), (high_up, wording.MONITOR_FOR_PSYCHOTIC),
+        (high_up, wording.CONSIDER_EMERGENCY_DEPARTMENT),
+        (is_("moderate"), wording.SCHEDULE_PSYCHIATRIC_FOLLOW),
+        (is_("moderate"), wording.MONITOR_SYMPTOM_PROGRESSION),
+        (mid_low, wording.CONSIDER_PSYCHOTHERAPY_REFERRAL), (mid_low, wording.ENCOURAGE_BEHAVIORAL_ACTIVATION),
+        (mid_up, wording.MAINTAIN_REGULAR_SLEEP), (mid_up, wording.AVOID_STIMULANTS_AND),
+        (is_("low"), wording.CONTINUE_CURRENT_MONITORING), (is_("low"), wording.MAINTAIN_HEALTHY_LIFESTYLE),
+        (F.lit(True), wording.ENSURE_MEDICATION_ADHERENCE), (F.lit(True), wording.TRACK_MOOD_CHANGES))
     return read.select(*KEY, F.concat_ws("; ", notes).alias("notes"), F.concat_ws("; ", advice).alias("recommendations"))
 
 
@@ -491,7 +491,7 @@ def treatment_approval(df: DataFrame) -> DataFrame:
     covered = (bipolar & drug.isin("sertraline", "fluoxetine", "escitalopram")
                & any_of("lithium", "valproate", "lamotrigine"))
     return df.select("user_id", (~alone).alias("approved"), E.ladder(
-        (alone, "Antidepressant monotherapy is contraindicated in bipolar disorder"),
-        (covered, "Antidepressant acceptable with mood stabilizer coverage"),
-        (drug == "lithium", "Lithium approved - ensure regular monitoring of levels and renal function"),
-        otherwise="Treatment within clinical guidelines").alias("rationale"))
+        (alone, wording.ANTIDEPRESSANT_MONOTHERAPY_IS),
+        (covered, wording.ANTIDEPRESSANT_ACCEPTABLE_WITH),
+        (drug == "lithium", wording.LITHIUM_APPROVED_ENSURE),
+        otherwise=wording.TREATMENT_WITHIN_CLINICAL).alias("rationale"))
