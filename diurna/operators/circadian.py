@@ -139,11 +139,12 @@ def hour_array() -> Column:
     return F.array(*[F.col(f"h{h}") for h in HOURS])
 
 
-def circular_means(profile: Column, width: int) -> Column:
-    """Mean of every circular block of ``width`` hours, by start hour."""
-    return E.let(F.concat(profile, profile), lambda twice: F.transform(
-        F.sequence(F.lit(1), F.lit(24)),
-        lambda s: F.round(F.aggregate(F.slice(twice, s, width), F.lit(0.0), lambda a, x: a + x) / width, 9)))
+def circular_means(prefix: str, width: int) -> Column:
+    """Mean of every circular block of ``width`` hours of the columns ``prefix0..23``, by start hour."""
+    def block(start: int) -> str:
+        return " + ".join(f"{prefix}{(start + i) % 24}" for i in range(width))
+
+    return F.expr("array(" + ", ".join(f"round(({block(h)}) / {width}D, 9)" for h in HOURS) + ")")
 
 
 def _first(values: Column, wanted: Column) -> Column:
@@ -152,18 +153,19 @@ def _first(values: Column, wanted: Column) -> Column:
 
 def _prepared(wide: DataFrame) -> DataFrame:
     order = W.partitionBy("user_id").orderBy("date")
-    h = [F.col(f"h{i}") for i in HOURS]
-    add = lambda xs: reduce(lambda a, b: a + b, xs)
-    last_hour = F.last("h23", True).over(order.rowsBetween(W.unboundedPreceding, -1))
-    blocks = circular_means(hour_array(), 5)
-    angle = _first(blocks, F.array_min(blocks)) * (2 * 3.141592653589793 / 24)
+    add = lambda term, hours=HOURS: F.expr(" + ".join(term.format(i=i, j=i + 1) for i in hours))
+    before = F.last("h23", True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    rows = wide.select(
+        "*", add("h{i}").alias("sum_x"), add("h{i} * h{i}").alias("sum_xx"),
+        add("(h{j} - h{i}) * (h{j} - h{i})", range(23)).alias("inner_sq"),
+        before.alias("before"), circular_means("h", 5).alias("low"))
+    turn = F.lit(2 * 3.141592653589793 / 24)
+    rows = rows.withColumn("angle", _first(F.col("low"), F.array_min("low")) * turn)
     present = F.col("h0").isNotNull()
-    return wide.select(
-        "*", add(h).alias("sum_x"), add([x * x for x in h]).alias("sum_xx"),
-        add([(b - a) * (b - a) for a, b in zip(h, h[1:])]).alias("inner_sq"),
-        F.when(present, (F.col("h0") - last_hour) * (F.col("h0") - last_hour)).alias("cross_sq"),
-        F.when(present, F.sin(angle)).alias("l5_sin"), F.when(present, F.cos(angle)).alias("l5_cos"),
-    )
+    step = F.col("h0") - F.col("before")
+    return rows.select(
+        *wide.columns, "sum_x", "sum_xx", "inner_sq", F.when(present, step * step).alias("cross_sq"),
+        F.when(present, F.sin("angle")).alias("l5_sin"), F.when(present, F.cos("angle")).alias("l5_cos"))
 
 
 def _rhythm_inputs(over: Callable[[Column], Column]) -> list[Column]:
@@ -184,12 +186,12 @@ def _rhythm(inputs: DataFrame, keys: list[str]) -> DataFrame:
     var = F.greatest(F.col("sxx") / cells - mean * mean, F.lit(0.0))
     df = inputs.filter(n > 0).select(
         *keys, "n", "sq", "ss", "cc", F.round(var, 6).alias("var"), cells.alias("cells"),
-        F.array(*[F.col(f"p{h}") for h in HOURS]).alias("profile"))
+        F.array(*[F.col(f"p{h}") for h in HOURS]).alias("profile"),
+        circular_means("p", 5).alias("low"), circular_means("p", 10).alias("high"))
     p = F.col("profile")
     centre = E.vector_mean(p)
     profile_var = F.aggregate(p, F.lit(0.0), lambda a, x: a + x * x) / 24 - centre * centre
-    df = df.select("*", circular_means(p, 5).alias("low"), circular_means(p, 10).alias("high"),
-                   profile_var.alias("profile_var"))
+    df = df.select("*", profile_var.alias("profile_var"))
     df = df.select("*", F.array_min("low").alias("l5_value"), F.array_max("high").alias("m10_value"))
     both = F.col("l5_value") + F.col("m10_value")
     return df.select(

@@ -71,11 +71,12 @@ def assemble(actigraphy: DataFrame, scores: DataFrame, medications: DataFrame) -
 def sliding_sequences(actigraphy: DataFrame, size: int = 60, stride: int = 30) -> DataFrame:
     """Windows of ``size`` minutes every ``stride`` minutes in (day, minute) order; short tails are dropped.
 
-    Positions come from day counts plus the place inside the day, so no task
+    Positions come from hour counts plus the place inside the hour, so no task
     orders a whole subject.
     """
+    hour = F.col("day").cast("long") * 1_000_000 + F.floor(F.col("minute_no") / 60)
     rows = O.ordered_scan(
-        actigraphy, ["user_id"], F.col("day"), ["day", "minute_no"], pos=O.running_sum(F.lit(1))
+        actigraphy, ["user_id"], hour, ["day", "minute_no"], pos=O.running_sum(F.lit(1))
     ).withColumn("pos", F.col("pos") - 1)
     last = F.floor(F.col("pos") / stride)
     first = F.greatest(F.lit(0), F.ceil((F.col("pos") - size + 1) / stride))

@@ -199,23 +199,25 @@ def hourly_step_metrics(activity: DataFrame) -> DataFrame:
     binned = hourly.groupBy(*KEY).agg(
         F.coalesce(F.sum("raw"), F.lit(0.0)).alias("daily_steps"),
         *[F.coalesce(F.sum(F.when(F.col("hour") == h, F.col("share"))), F.lit(0.0)).alias(f"h{h}") for h in HOURS])
-    h = [F.round(f"h{i}", 9) for i in HOURS]
-    add = lambda cols: reduce(lambda a, b: a + b, cols)
-    mean = add(h) / 24
-    resting = [x < 250 for x in h]
-    n_rest = E.count_true(*resting)
-    active = 24 - n_rest
-    flips = E.count_true(*[a != b for a, b in zip(resting, resting[1:])])
-    bouts = E.count_true(resting[0], *[b & ~a for a, b in zip(resting, resting[1:])])
-    return binned.select(
+    # rounding and mean are stages of their own: inlined, they would repeat in every term below
+    binned = binned.select(*KEY, "daily_steps", *[F.round(f"h{i}", 9).alias(f"h{i}") for i in HOURS])
+    binned = binned.withColumn("mean", F.expr("(" + " + ".join(f"h{i}" for i in HOURS) + ") / 24"))
+
+    def total(term: str, hours=HOURS) -> Column:
+        return F.expr(" + ".join(term.format(i=i, j=i + 1) for i in hours))
+
+    counted = binned.select(
         *KEY, "daily_steps",
-        (add([(x - mean) * (x - mean) for x in h]) / 24).alias("activity_variance"),
-        n_rest.cast("double").alias("sedentary_hours"),
-        (flips / 23.0).alias("activity_fragmentation"),
-        F.when(bouts > 0, n_rest / bouts).otherwise(24.0).alias("sedentary_bout_mean"),
-        F.when(active > 0, E.count_true(*[x >= 1000 for x in h]) / active)
-        .otherwise(0.0).alias("activity_intensity_ratio"),
-    )
+        (total("(h{i} - mean) * (h{i} - mean)") / 24).alias("activity_variance"),
+        total("int(h{i} < 250)").alias("rest"), total("int(h{i} >= 1000)").alias("busy"),
+        total("int((h{i} < 250) != (h{j} < 250))", range(23)).alias("flips"),
+        (F.expr("int(h0 < 250)") + total("int(h{j} < 250 AND h{i} >= 250)", range(23))).alias("bouts"))
+    active = 24 - F.col("rest")
+    return counted.select(
+        *KEY, "daily_steps", "activity_variance", F.col("rest").cast("double").alias("sedentary_hours"),
+        (F.col("flips") / 23.0).alias("activity_fragmentation"),
+        F.when(F.col("bouts") > 0, F.col("rest") / F.col("bouts")).otherwise(24.0).alias("sedentary_bout_mean"),
+        F.when(active > 0, F.col("busy") / active).otherwise(0.0).alias("activity_intensity_ratio"))
 
 
 # ---- heart -----------------------------------------------------------------
