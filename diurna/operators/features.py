@@ -185,12 +185,18 @@ def _with_change(joined: DataFrame) -> DataFrame:
     return joined.withColumn("change", F.when(before > 0, F.abs(F.col("steps") - before) / before))
 
 
-def lookback_features(joined: DataFrame, *groups: str, days: int = 30) -> DataFrame:
-    """Chosen feature groups (sleep, clock, activity, week) for every date of the joined table."""
+def lookback_features(joined: DataFrame, *groups: str, days: int = 30, beside: dict[str, Column] | None = None) -> DataFrame:
+    """Chosen feature groups (sleep, clock, activity, week) for every date of the joined table.
+
+    ``beside`` adds columns of the joined table or other windows over the same
+    user key, so they share its one exchange.
+    """
     look = Lookback(R.days(-days))
     cols = {n: col for g in groups for n, col in getattr(look, g)().items()}
-    framed = _with_change(joined).select(*KEY, *[col.alias(n) for n, col in look.framed.items()])
-    return framed.select(*KEY, *[col.alias(n) for n, col in cols.items()])
+    beside = beside or {}
+    framed = _with_change(joined).select(
+        *KEY, *[col.alias(n) for n, col in look.framed.items()], *[col.alias(n) for n, col in beside.items()])
+    return framed.select(*KEY, *[col.alias(n) for n, col in cols.items()], *beside)
 
 
 def pattern_indicators(f: DataFrame) -> DataFrame:
@@ -204,9 +210,7 @@ def pattern_indicators(f: DataFrame) -> DataFrame:
         F.when(F.col(n), w).otherwise(0.0) for n, w in zip(flags, weights)]))
 
 
-def running_scores(joined: DataFrame) -> DataFrame:
-    """z of each sensor against its own running state; absent sleep and activity count as zero."""
-    out = joined.select(*KEY)
+def _running_columns() -> dict[str, Column]:
     w = R.rows(W.unboundedPreceding)
 
     def z(value: Column, kept: Column) -> Column:
@@ -216,18 +220,20 @@ def running_scores(joined: DataFrame) -> DataFrame:
 
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     hr, hrv = F.col("avg_resting_hr"), F.col("avg_hrv")
-    return joined.select(
-        *KEY, z(zero("sleep_hours"), zero("sleep_hours")).alias("sleep_z"), z(zero("steps"), zero("steps")).alias("activity_z"),
-        z(zero(hr), F.when(hr != 70.0, hr)).alias("hr_z"), z(zero(hrv), F.when(hrv != 50.0, hrv)).alias("hrv_z"))
+    return {"sleep_z": z(zero("sleep_hours"), zero("sleep_hours")), "activity_z": z(zero("steps"), zero("steps")),
+            "hr_z": z(zero(hr), F.when(hr != 70.0, hr)), "hrv_z": z(zero(hrv), F.when(hrv != 50.0, hrv))}
+
+
+def running_scores(joined: DataFrame) -> DataFrame:
+    """z of each sensor against its own running state; absent sleep and activity count as zero."""
+    return joined.select(*KEY, *[v.alias(n) for n, v in _running_columns().items()])
 
 
 def advanced_features(nights: DataFrame, acts: DataFrame, hearts: DataFrame) -> DataFrame:
     """The full lookback table: current values, all groups, running z-scores and pattern flags."""
-    joined = daily_join(nights, acts, hearts)
-    now = joined.select(*KEY, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in (
-        "sleep_hours", "efficiency", "steps", "avg_resting_hr", "avg_hrv")])
-    look = pattern_indicators(lookback_features(joined, "sleep", "clock", "activity", "week"))
-    return now.join(look, KEY).join(running_scores(joined), KEY)
+    now = {c: F.coalesce(c, F.lit(0.0)) for c in ("sleep_hours", "efficiency", "steps", "avg_resting_hr", "avg_hrv")}
+    return pattern_indicators(lookback_features(
+        daily_join(nights, acts, hearts), "sleep", "clock", "activity", "week", beside={**now, **_running_columns()}))
 
 
 def activity_anomalies(acts: DataFrame) -> DataFrame:
