@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diurna.llm import decontaminate, packing, quality_rules, token_counts, token_store
+from diurna.llm import decontaminate, jaccard_join, packing, quality_rules, suffix_dedup, token_counts, token_store
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,14 @@ def op7_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
                          "sequence_id", "offset", "sequence_tokens")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.components(table(spark, folder, "documents"), words=4, percent=85)
+
+
+def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, folder, "documents"), 400)
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judged(table(spark, folder, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -46,6 +54,6 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op4_benchmark_decontamination, op5_token_store, op6_token_counts, op7_mixture_packing,
-                            op10_quality_rules)
+                            op8_ngram_jaccard_join, op9_suffix_array_dedup, op10_quality_rules)
 }
 SQL: dict[str, str] = {}

@@ -1 +1,58 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> documents that go on."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> documents that go on.
+
+All but the last return the columns of documents (doc_id, text, lang, source, n_chars). A
+stage handles null and empty texts, repeated rows and empty tables as its operator does.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from diurna.llm import decontaminate, packing, quality_rules
+from diurna.llm.jaccard_join import components
+from diurna.llm.suffix_dedup import cut
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near duplicates: five words, similarity 0.8 or more.
+SHINGLE_WORDS, SIMILARITY = 5, 80
+#: Bytes of a repeated passage: under 50 words of ordinary length.
+PASSAGE_BYTES = 200
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality_rules.judged(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    Rows without words, or without an id, are in no group and stay.
+    """
+    groups = components(docs, SHINGLE_WORDS, SIMILARITY)
+    gone = groups.filter("component_id < doc_id").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # rows that repeat one id with one text are a group as well
+    named = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(kept.filter("doc_id is null"))
+
+
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur twice or more are cut out everywhere, at whole characters."""
+    return cut(docs.select(*COLUMNS), PASSAGE_BYTES).withColumn(
+        "n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.hits(docs, benchmark, COLUMNS).filter("n_hit = 0").select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset", "sequence_tokens")
