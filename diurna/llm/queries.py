@@ -8,13 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diurna.llm import decontaminate, jaccard_join, packing, quality_rules, suffix_dedup, token_counts, token_store
+from diurna.llm import (decontaminate, jaccard_join, knn_quality, packing, quality_rules, suffix_dedup, token_counts, token_store,
+                        url_model)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    labels = table(spark, folder, "labels").select("doc_id", "quality").filter(fold != 0)
+    scores = knn_quality.scored(docs, knn_quality.fit(*knn_quality.sampled(docs, labels)))
+    return scores.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_model.judged(table(spark, folder, "pages"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
     return found.select(
@@ -53,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_benchmark_decontamination, op5_token_store, op6_token_counts, op7_mixture_packing,
+    f.__name__: f for f in (op2_quality_neighbours, op3_url_filter, op4_benchmark_decontamination, op5_token_store, op6_token_counts, op7_mixture_packing,
                             op8_ngram_jaccard_join, op9_suffix_array_dedup, op10_quality_rules)
 }
 SQL: dict[str, str] = {}
