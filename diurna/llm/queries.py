@@ -8,14 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diurna.llm import (decontaminate, jaccard_join, knn_quality, packing, quality_rules, suffix_dedup, token_counts, token_store,
-                        url_model)
+from diurna.llm import (decontaminate, jaccard_join, knn_quality, license_scan, packing, quality_rules, suffix_dedup,
+                        token_counts, token_store, url_model)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = license_scan.scan(docs, license_scan.fit(license_scan.corpus_lines(docs)))
+    return found.select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_licensed"),
+                        F.array_join("families", ",").alias("families"), "family", "found")
+
+
 def op2_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -67,7 +74,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_neighbours, op3_url_filter, op4_benchmark_decontamination, op5_token_store, op6_token_counts, op7_mixture_packing,
+    f.__name__: f for f in (op1_license_scan, op2_quality_neighbours, op3_url_filter, op4_benchmark_decontamination, op5_token_store, op6_token_counts, op7_mixture_packing,
                             op8_ngram_jaccard_join, op9_suffix_array_dedup, op10_quality_rules)
 }
 SQL: dict[str, str] = {}
