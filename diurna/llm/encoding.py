@@ -10,8 +10,10 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
-#: Distinct chunks that a worker remembers; when full, it starts anew.
-REMEMBERED = 1_200_000
+import numpy as np
+
+#: Distinct chunks that a worker remembers, half of them in a table of older ones.
+REMEMBERED = 1_600_000
 
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -58,6 +60,9 @@ class Encoder:
         self.heads = _Table(self._ids)
         self.table = _Table(self._after_space if self.spaced else self._word)
         self.tails = _Table(self._ids)
+        self.old: dict = {}
+        self.separator = "\n" if self.spaced else "|"
+        self.separator_id = self.lib.encode(self.separator, add_special_tokens=False).ids[0]
         self.cut = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
         self.odd = re.compile(r"[^\S \n]|[\x1c-\x1f]")
         self.chunks = _Table(self._safe)
@@ -67,8 +72,11 @@ class Encoder:
 
     _ids = whole
 
+    def _odd(self, text: str) -> bool:
+        return bool(self.odd.search(text)) or any(a in text for a in self.special)
+
     def _safe(self, chunk: str):
-        return False if self.odd.search(chunk) or any(a in chunk for a in self.special) else self.whole(chunk)
+        return False if self._odd(chunk) else self.whole(chunk)
 
     def _apart(self, part: str) -> bool:
         """Does it end in a full stop or comma after a letter, which is then a piece of its own?"""
@@ -96,20 +104,36 @@ class Encoder:
         return self._lower(text).replace("\n", " ").split(" ")
 
     def _learn(self, parts: set[str]) -> None:
-        """Fill the table for new parts in one call of the library."""
-        cores = {p[:-1] if self._apart(p) else p for p in parts}
-        cores = [c for c in cores if c not in self.table]
-        ask = [(c, c if not self.spaced or c[0] == "\n" else " " + c) for c in cores
-               if not self.spaced or (c not in ("", "\n") and not self.odd.search(c) and not any(a in c for a in self.special))]
-        for (core, _), ids in zip(ask, self.lib.encode_batch_fast([t for _, t in ask], add_special_tokens=False)):
-            self.table[core] = _packed(ids.ids)
+        """Fill the table for new parts: the library encodes them as one text, told apart by a separator.
+
+        The separator is a piece of its own wherever it stands, and parts that hold it, or a
+        special string or odd white space, are encoded alone.
+        """
+        table, old = self.table, self.old
+        for p in parts & old.keys() if len(old) < len(parts) else [p for p in parts if p in old]:
+            table[p] = old[p]
+        cores = {p[:-1] if self._apart(p) else p for p in parts if p not in table}
+        plain = [c for c in cores if c and c not in table and self.separator not in c]
+        if self._odd(" ".join(plain)):
+            plain = [c for c in plain if not self._odd(c)]
+        between = f"{self.separator} " if self.spaced else f" {self.separator} "
+        for at in range(0, len(plain), 20_000):
+            some = plain[at:at + 20_000]
+            ids = np.array(self.lib.encode_batch_fast([" " + between.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.separator_id), len(ids))
+            if len(ends) != len(some):
+                continue  # then each is encoded when it is asked for
+            raw, start = ids.tobytes(), 0
+            for core, end in zip(some, (4 * ends).tolist()):
+                table[core] = raw[start:end]
+                start = end + 4
 
     def _joined(self, text: str, parts: list[str], found: list[bytes]) -> bytes:
         try:
             if not self.spaced:
                 return b"".join(found)
             first = parts[0]
-            if first and (self.odd.search(first) or any(a in first for a in self.special)):
+            if first and self._odd(first):
                 return self.whole(text)
             found[0] = self.heads[first] if first else b""
             return b"".join(found)
@@ -142,7 +166,8 @@ class Encoder:
             yield from (self.whole(t) if t else b"" for t in texts)
             return
         table, get, new = self.table, self.table.get, set()
-        if len(table) >= REMEMBERED * 3 // 4:
+        if len(table) >= REMEMBERED // 2:  # words asked for again move on to the new table
+            self.old = dict(table)
             table.clear()
         split = [self._split(t) if t else [""] for t in texts]
         found = [list(map(get, parts)) for parts in split]
