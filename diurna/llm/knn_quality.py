@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from diurna.llm.common import column
 from diurna.llm.hashing import Rolling
 
-SAMPLE, LATENT, NEIGHBOURS, POWER = 4096, 48, 25, 8.0
+SAMPLE, LATENT, NEIGHBOURS, POWER = 4096, 48, 9, 16.0
 BLOCK_ROWS = 512
 
 _CLASS = np.zeros(256, np.int64)  # 0: bytes of other scripts

@@ -40,7 +40,7 @@ RULES = (
     Rule("word_chars", "n_words", 2.0, 14.0),
     Rule("n_symbols", "n_words", None, 0.1),
     Rule("n_stop_words", "n_words", 0.02, None),
-    Rule("n_dup_lines", "n_word_lines", None, 0.3),
+    Rule("n_dup_lines", "n_word_lines", None, 0.5),
     Rule("n_bang_words", "n_words", None, 0.3),
 )
 

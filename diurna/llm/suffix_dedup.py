@@ -282,7 +282,7 @@ def cut(docs: DataFrame, length: int = 400) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 data = np.frombuffer(_bytes(row["text"]), np.uint8)
                 starts, sizes = _removed(row["windows"], length)
-                keep = np.ones(len(data) + 1, np.int64)
+                keep = np.ones(len(data), np.int64)
                 for s, k in zip(starts, sizes):
                     keep[s:s + k] = 0
                 heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
