@@ -32,7 +32,7 @@ FROM doc LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 
 OP8 = rf"""
 WITH RECURSIVE doc AS (
-  SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+  SELECT doc_id, [x for x in string_split_regex({_LOWER}, '[\x20\x09-\x0D]+') if x <> ''] AS ws FROM documents),
 shingle AS (
   SELECT DISTINCT doc_id, array_to_string(ws[i:i + k - 1], ' ') AS s
   FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i
@@ -51,7 +51,7 @@ FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS
 
 OP9 = """
 WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-place AS (SELECT rid, i, md5_number(substr(h, 2 * i - 1, 800)) AS w
+place AS (SELECT rid, i, hash(substr(h, 2 * i - 1, 800)) AS w
           FROM (SELECT rid, h, unnest(range(1, CAST(len(h) // 2 - 398 AS BIGINT))) AS i FROM doc WHERE len(h) >= 800)),
 again AS (SELECT w FROM place GROUP BY w HAVING count(*) > 1),
 start AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM place SEMI JOIN again USING (w)),
@@ -72,8 +72,8 @@ FROM doc LEFT JOIN kept USING (rid)
 OP10 = rf"""
 WITH doc AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
-         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+         [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS ws,
+         [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls
   FROM documents),
 word AS (SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM doc),
 three AS (SELECT rid, i, w, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM word WINDOW p AS (PARTITION BY rid ORDER BY i)),
@@ -83,7 +83,7 @@ measure AS (
   SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(inside.n, 0) AS n_repeat_words, len(ls) AS n_lines,
-         len(list_filter(ws, x -> lower(x) IN ({_STOPS}))) AS n_stops, len(list_filter(ws, x -> x LIKE '%!')) AS n_bangs
+         len([x for x in ws if lower(x) IN ({_STOPS})]) AS n_stops, len([x for x in ws if x LIKE '%!']) AS n_bangs
   FROM doc LEFT JOIN inside USING (rid)),
 base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measure)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
