@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,12 @@ BROADCAST_ROWS = 500_000
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where none is set (tests), a local one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="stages-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _local_folder()).rstrip("/")
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="stages-")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

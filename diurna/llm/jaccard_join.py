@@ -15,9 +15,10 @@ inverted lists of the taken shingles alone bring every partner together.
 4. Long lists remain only among classes that consist of frequent shingles, that is, large
    groups of near copies. They are not merged: members are probed against the list's most
    central class, and what then lies in one component needs no more comparing. Lists with
-   several components left are compared in blocks, across components only, by 256-bit parity
-   sketches, whose distance never exceeds the difference of two sets.
-5. Every candidate is decided by binary probes of one sorted set into the other.
+   several components left are compared in blocks, across components only, by parity sketches,
+   whose distance never exceeds the difference of two sets.
+5. A candidate whose sketches allow a link is decided by binary probes of one sorted set into
+   the other.
 
 Defined results: a text that is null, empty or without words has no shingles, is linked with
 nothing and is its own component; a row without doc_id is counted but linked with nothing and
@@ -80,8 +81,23 @@ def spare(n: int, percent: int) -> int:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    bits = np.bincount((own.view(np.uint64) >> np.uint64(56)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """Parities of the hashes by their leading bits, half a bit a shingle and SKETCH_BITS at least."""
+    bits = max(SKETCH_BITS, 1 << (len(own) // 2).bit_length())
+    at = (own.view(np.uint64) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(own: bytes, size: int) -> np.ndarray:
+    """A sketch at a smaller size in bytes: neighbouring parities are added."""
+    if len(own) == size:
+        return np.frombuffer(own, np.uint8)
+    bits = np.unpackbits(np.frombuffer(own, np.uint8)).reshape(8 * size, -1)
+    return np.packbits(bits.sum(axis=1).astype(np.uint8) & 1)
+
+
+def most_apart(a: int, b: int, percent: int) -> int:
+    """Largest difference of linked sets of a and b shingles; parities differ in no more places."""
+    return a + b - 2 * -(-percent * (a + b) // (100 + percent))
 
 
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -117,7 +133,25 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return named.mapInArrow(run, "node bigint, own binary")
 
 
-def _decided(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sizes and sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes = []
+            for n, m, a, b in zip(*(column(batch, c).to_pylist() for c in ("na", "nb", "a", "b"))):
+                size = min(len(a), len(b))
+                apart = int(_POPCOUNT[folded(a, size) ^ folded(b, size)].sum())
+                yes.append(100 * min(n, m) >= percent * max(n, m) and apart <= most_apart(n, m, percent))
+            keep = pa.array(yes, pa.bool_())
+            yield pa.RecordBatch.from_arrays([column(batch, "u").filter(keep), column(batch, "v").filter(keep)], names=["u", "v"])
+
+    side = lambda u, n, a: classes.select(F.col("rep").alias(u), F.col("n").alias(n), F.col("sketch").alias(a))
+    named = pairs.filter("u <> v").distinct().join(side("u", "na", "a"), "u").join(side("v", "nb", "b"), "v")
+    return named.mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def _decided(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (u, v) that do link, by binary probes of the smaller set into the larger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +165,7 @@ def _decided(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
             keep = pa.array(yes, pa.bool_())
             yield pa.RecordBatch.from_arrays([column(batch, "u").filter(keep), column(batch, "v").filter(keep)], names=["u", "v"])
 
-    pairs = staged(pairs.distinct(), "pairs")
+    pairs = staged(_possible(pairs, classes, percent), "pairs")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     own = staged(_whole_sets(docs, nodes, words), "own")
     both = pairs.join(own.select(F.col("node").alias("u"), F.col("own").alias("a")), "u") \
@@ -177,7 +211,7 @@ def _across(blocks: DataFrame, percent: int) -> DataFrame:
                 na, nb = (np.array([x["n"] for x in s], np.int64) for s in (a, b))
                 ca, cb = (np.array([x["comp"] for x in s], np.int64) for s in (a, b))
                 ra, rb = (np.array([x["rep"] for x in s], np.int64) for s in (a, b))
-                sa, sb = (np.array([np.frombuffer(x["sketch"], np.uint8) for x in s]) for s in (a, b))
+                sa, sb = (np.array([folded(x["sketch"], SKETCH_BITS // 8) for x in s]) for s in (a, b))
                 us, vs = [], []
                 for i in range(len(a)):
                     total = na[i] + nb
@@ -237,7 +271,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     asked = short.select(F.posexplode("own").alias("at", "x"), "own").filter("at > 0").select(
         F.col("x.rep").alias("rep"), F.col("x.n").alias("n"), F.slice("own", F.lit(1), F.col("at")).alias("own"))
     merged = _merged(asked.groupBy("rep", "n").agg(F.collect_list("own").alias("lists")), percent)
-    found = _decided(docs, merged.select("u", "v"), words, percent)
+    found = _decided(docs, classes, merged.select("u", "v"), words, percent)
 
     long = lists.filter(F.col("m") > LONG)
     if not long.limit(1).count():
@@ -251,7 +285,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
         pairs = apart.join(head, "t").select("rep", "n", (-F.col("h.r")).alias("head"), F.col("h.hn").alias("hn")) \
             .filter((F.col("rep") != F.col("head")) & _sizes_fit(F.col("n"), F.col("hn"), percent)) \
             .select(F.greatest("rep", "head").alias("u"), F.least("rep", "head").alias("v"))
-        found = staged(found.unionByName(_decided(docs, pairs, words, percent)).distinct(), "links")
+        found = staged(found.unionByName(_decided(docs, classes, pairs, words, percent)).distinct(), "links")
         comps = roots(found).select(F.col("u").alias("rep"), F.col("v").alias("comp"))
         named = staged(rows.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "named")
         main = named.groupBy("t", "comp").agg(F.count("*").alias("k")).groupBy("t").agg(
@@ -267,17 +301,18 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     every = open_rows.groupBy("t", part("m2").alias("b")).agg(member.alias("members"))
     minor = open_rows.filter("comp <> main").groupBy("t", part("m1").alias("b1")).agg(member.alias("minor"))
     across = _across(minor.join(every, "t").select("minor", "members"), percent)
-    return found.unionByName(_decided(docs, across, words, percent)).distinct()
+    return found.unionByName(_decided(docs, classes, across, words, percent)).distinct()
 
 
 def components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), one row per row of docs."""
     base = staged(_sets(docs, words, percent), "sets")
-    first = base.filter("n > 0 and doc_id is not null").groupBy("class").agg(
-        F.min(F.struct(F.col("doc_id").alias("rep"), "n", "head", "sketch")).alias("x"))
-    classes = staged(first.select("class", "x.rep", "x.n", "x.head", "x.sketch"), "classes")
+    first = staged(base.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
+    # a class is read from the row of its smallest doc_id
+    classes = base.join(small_or_not(first.select("class", F.col("rep").alias("doc_id"))), ["class", "doc_id"]).select(
+        F.col("doc_id").alias("rep"), "n", "head", "sketch")
     top = roots(links(docs, classes, words, percent)).select(F.col("u").alias("rep"), F.col("v").alias("comp"))
-    named = classes.select("class", "rep").join(top, "rep", "left").select("class", F.coalesce("comp", "rep").alias("comp"))
+    named = first.join(top, "rep", "left").select("class", F.coalesce("comp", "rep").alias("comp"))
     return base.select("doc_id", "n", "class").join(named, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id"))
