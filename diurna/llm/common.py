@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -43,23 +42,12 @@ def unstage(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_or_not(df: DataFrame, sized_by: DataFrame | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if its size is proven small; else as it is, for a shuffled join.
 
-
-def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """f over the Arrow batches of df."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from f(batch)
-
-    return df.mapInArrow(run, schema)
-
-
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
-    return batch.column(batch.schema.names.index(column)).to_pylist()
+    sized_by: what to count where a row of df holds a list, the list's elements.
+    """
+    return F.broadcast(df) if (sized_by or df).limit(rows + 1).count() <= rows else df
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

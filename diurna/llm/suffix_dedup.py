@@ -7,9 +7,9 @@ asked is not the whole order of the suffixes but which of them share their first
 bytes with another, so the suffixes of dictionary and parse are named by hashes of their first
 `length` bytes (equal names, neighbours in the order) and no sort of the corpus is needed:
 
-1. Dictionary. Every window of `length` bytes picks the smallest phrase hash in it. Only
-   picked phrases are counted over all distinct texts; a window whose phrase was picked once
-   is unique. (A window with under two triggers is counted itself.)
+1. Dictionary. Every window of `length` bytes picks the longest phrase in it. Only picked
+   phrases are counted over all distinct texts; a window whose phrase was picked once is
+   unique. (A window with under two triggers is counted itself.)
 2. Parse. Windows with the same whole phrases form a run, two runs a phrase at most. A run is
    named by its whole phrases (inner name) and by all bytes that it touches (outer name). Two
    runs with one outer name repeat each other window by window.
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diurna.llm.common import column, small_or_not, staged
+from diurna.llm.common import column, small_or_not, staged, unstage
 from diurna.llm.hashing import Rolling, mixed
 
 GRAM = 8
@@ -64,13 +64,13 @@ class Parse:
         self.first = np.searchsorted(self.at, self.starts, "left")
         self.past = np.searchsorted(self.at, self.starts + length - GRAM, "right") - 1  # its last trigger
         self.whole = self.past > self.first
-        self.picks = self._smallest(self.first[self.whole], self.past[self.whole])
+        self.picks = self._longest(self.first[self.whole], self.past[self.whole])
 
-    def _smallest(self, first: np.ndarray, past: np.ndarray) -> np.ndarray:
-        """Index of the smallest phrase in each range, the leftmost of equals."""
+    def _longest(self, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+        """Index of the longest phrase in each range, by smaller hash among equals, then the leftmost."""
         if not len(first):
             return np.zeros(0, np.int64)
-        order = np.lexsort((np.arange(len(self.phrases)), self.phrases))
+        order = np.lexsort((np.arange(len(self.phrases)), self.phrases, -np.diff(self.at)))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         levels = [rank]
@@ -206,7 +206,7 @@ def repeated(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFr
     each = distinct.select("id", F.explode(F.arrays_zip("names", "counts")).alias("x")).select(
         "id", F.col("x.names").alias("name"), F.col("x.counts").alias("k"))
     alive = each.groupBy("name").agg(F.sum("k").alias("k")).filter("k >= 2").select("name")
-    held = staged(each.join(alive, "name").groupBy("id").agg(F.collect_list("name").alias("alive")), "alive")
+    held = alive_names = staged(each.join(alive, "name").groupBy("id").agg(F.collect_list("name").alias("alive")), "alive")
     texts = docs.select("text").withColumn("id", _short_of_text()).join(small_or_not(held.select("id")), "id", "left_semi") \
         .dropDuplicates(["id"])
     texts = staged(texts.join(held, "id"), "texts")
@@ -219,13 +219,16 @@ def repeated(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFr
     known = known.unionByName(runs.filter("inner is null").select("id", "at", "size"))
     several = named.groupBy("inner").agg(F.count("*").alias("outers")).filter("outers >= 2").select("inner")
     edges = named.join(several, "inner", "left_semi").select("one.*", (F.col("k") == 1).alias("alone"))
-    edges = edges.groupBy("id").agg(F.collect_list(F.struct("at", "size", "alone")).alias("runs"))
-    windows = staged(_windows(texts.select("id", "text").join(edges, "id"), length), "windows")
+    edges = staged(edges, "edges")
+    runs_of = edges.groupBy("id").agg(F.collect_list(F.struct("at", "size", "alone")).alias("runs"))
+    windows = staged(_windows(texts.select("id", "text").join(small_or_not(runs_of, edges), "id"), length), "windows")
     again = windows.groupBy("name").agg(F.count("*").alias("k")).filter("k >= 2").select("name")
     found = windows.filter("alone").join(again, "name", "left_semi").select("id", "at", F.lit(1).cast("long").alias("size"))
 
-    spans = known.unionByName(found).groupBy("id").agg(F.collect_list(F.struct("at", "size")).alias("windows"))
-    return base.select("doc_id", "sha", "n"), distinct.select("id", "copies"), texts.select("id", "text").join(spans, "id")
+    spans = staged(known.unionByName(found).groupBy("id").agg(F.collect_list(F.struct("at", "size")).alias("windows")), "spans")
+    held = texts.select("id", "text").join(small_or_not(spans, spans.select(F.explode("windows"))), "id")
+    unstage(runs, named, edges, windows, alive_names)
+    return base.select("doc_id", "sha", "n"), distinct.select("id", "copies"), held
 
 
 def _short_of_text() -> Column:
