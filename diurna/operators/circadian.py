@@ -33,24 +33,19 @@ def minute_totals(activity: DataFrame) -> DataFrame:
     )
 
 
-def spread_minutes(activity: DataFrame, span_days: int = 7) -> DataFrame:
-    """Each value split evenly over the minutes it spans, from midnight of the user's first day."""
-    first = activity.groupBy("user_id").agg(F.unix_date(F.to_date(F.min("start_ts"))).alias("day0"))
-    total = span_days * MINUTES_PER_DAY
-
-    def index(ts: str) -> Column:
-        return (F.floor(E.micros(ts) / float(E.MINUTE_US)) - F.col("day0") * MINUTES_PER_DAY).cast("int")
+def spread_minutes(activity: DataFrame) -> DataFrame:
+    """Each value split evenly over the minutes it spans, first and last included, of every record."""
+    def minute(ts: str) -> Column:
+        return F.floor(E.micros(ts) / float(E.MINUTE_US)).cast("long")
 
     return (
-        activity.join(first, "user_id")
-        .select("user_id", "day0", "value", index("start_ts").alias("a"), index("end_ts").alias("b"))
-        .filter(F.col("a") < total)
-        .withColumn("b", F.greatest("a", F.least("b", F.lit(total - 1))))
-        .select("user_id", "day0", (F.col("value") / (F.col("b") - F.col("a") + 1)).alias("share"),
+        activity.select("user_id", "value", minute("start_ts").alias("a"),
+                        F.greatest(minute("start_ts"), minute("end_ts")).alias("b"))
+        .select("user_id", (F.col("value") / (F.col("b") - F.col("a") + 1)).alias("share"),
                 F.explode(F.sequence("a", "b")).alias("m"))
-        .groupBy("user_id", "day0", "m").agg(F.sum("share").alias("value"))
-        .select("user_id", F.date_from_unix_date((F.col("day0") + F.floor(F.col("m") / MINUTES_PER_DAY)).cast("int"))
-                .alias("date"), (F.col("m") % MINUTES_PER_DAY).alias("minute"), "value")
+        .groupBy("user_id", "m").agg(F.sum("share").alias("value"))
+        .select("user_id", F.date_from_unix_date(F.floor(F.col("m") / MINUTES_PER_DAY).cast("int")).alias("date"),
+                F.pmod("m", F.lit(MINUTES_PER_DAY)).cast("int").alias("minute"), "value")
     )
 
 
@@ -295,12 +290,12 @@ def weekly_sequences(minutes: DataFrame, calendar: DataFrame, stride_days: int =
     Days are folded to 1440-vectors first; a week joins seven of them, so no
     task sees more than one user's calendar.
     """
-    zero = F.array_repeat(F.lit(0.0).cast("float"), MINUTES_PER_DAY)
+    zero = F.array_repeat(F.lit(0.0), MINUTES_PER_DAY)
     per_day = minutes.groupBy(*KEY).agg(
-        F.map_from_entries(F.collect_list(F.struct("minute", F.col("value").cast("float")))).alias("m")
+        F.map_from_entries(F.collect_list(F.struct("minute", F.col("value")))).alias("m")
     ).select(*KEY, F.transform(
         F.sequence(F.lit(0), F.lit(MINUTES_PER_DAY - 1)),
-        lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0).cast("float"))).alias("v"))
+        lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
     week = W.partitionBy("user_id").orderBy("date").rowsBetween(-6, 0)
     seen = F.row_number().over(W.partitionBy("user_id").orderBy("date"))
     rows = calendar.join(per_day, KEY, "left").select(

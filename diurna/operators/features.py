@@ -174,8 +174,9 @@ class Lookback:
             v = self.over(F.collect_list(c))
             seven = F.slice(v, F.greatest(F.size(v) - 6, F.lit(1)), 7)
             mean = F.when(F.size(v) > 0, E.vector_mean(seven)).otherwise(0.0)
-            sq = F.when(F.size(v) > 0, F.aggregate(seven, F.lit(0.0), lambda s, x: s + x * x) / F.size(seven)).otherwise(0.0)
-            return {f"{name}_7day_mean": mean, f"{name}_7day_std": F.sqrt(F.round(F.greatest(sq - mean * mean, F.lit(0.0)), 9))}
+            apart = F.when(F.size(v) > 0, F.sqrt(F.aggregate(
+                seven, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(seven))).otherwise(0.0)
+            return {f"{name}_7day_mean": mean, f"{name}_7day_std": apart}
 
         return {**tail("sleep_hours", "sleep"), **tail("steps", "activity"), **tail("avg_resting_hr", "hr")}
 
@@ -214,8 +215,7 @@ def _running_columns() -> dict[str, Column]:
     w = R.rows(W.unboundedPreceding)
 
     def z(value: Column, kept: Column) -> Column:
-        mean, sq, n = F.avg(kept).over(w), F.avg(kept * kept).over(w), F.count(kept).over(w)
-        std = F.sqrt(F.round(F.when(n > 1, F.greatest(sq - mean * mean, F.lit(0.0))).otherwise(0.0), 9))
+        mean, std = F.avg(kept).over(w), F.stddev_pop(kept).over(w)
         return F.when(std > 0, (value - mean) / std).otherwise(0.0)
 
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -361,17 +361,17 @@ def for_dates(features: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def pipeline_table(window_metrics: DataFrame, nights: DataFrame, step_metrics: DataFrame, wide_hours: DataFrame,
-                   calendar: DataFrame, phase: DataFrame, legacy_names: bool = False) -> DataFrame:
-    """Daily feature row: window metrics with 30-row statistics, rhythm, phase and activity.
+                   calendar: DataFrame, eligible: DataFrame, legacy_names: bool = False) -> DataFrame:
+    """Daily feature row: window metrics with 30-row statistics, rhythm and activity.
 
-    ``phase`` holds onset_hour per (user, date). Rhythm statistics run over the
-    days that have both rhythm and phase, whether or not the day has sleep.
+    Rhythm statistics run over the ``eligible`` days (user, date) that have a
+    rhythm, whether or not the day has sleep.
     """
     metrics = [c for c in window_metrics.columns if c not in KEY]
     stats = R.mean_std_z(window_metrics, metrics)
     both = C.lookback_rhythm(wide_hours, calendar).select(*KEY, F.col("relative_amplitude").alias("circadian_amplitude")).join(
-        phase.select(*KEY, F.col("onset_hour").alias("circadian_phase")), KEY)
-    clock = R.mean_std_z(both, ["circadian_amplitude", "circadian_phase"], least=1)
+        eligible, KEY)
+    clock = R.mean_std_z(both, ["circadian_amplitude"], least=1)
     rows = stats.join(clock, KEY, "left").join(nights.select(*KEY, "sleep_hours"), KEY, "left").join(step_metrics, KEY, "left")
     zero = lambda c, d=0.0: F.coalesce(c, F.lit(d)).alias(c)
     shown = F.greatest(F.lit(1), F.col("long_num") + F.col("short_num"))
@@ -379,25 +379,22 @@ def pipeline_table(window_metrics: DataFrame, nights: DataFrame, step_metrics: D
         *KEY, F.coalesce("sleep_hours", F.lit(0.0)).alias("sleep_duration_hours"),
         (F.col("short_num") / shown).alias("short_window_pct"), (F.col("long_num") / shown).alias("long_window_pct"),
         F.coalesce("circadian_amplitude", F.lit(0.0)).alias("relative_amplitude"),
-        F.coalesce("circadian_phase", F.lit(21.0)).alias("dlmo_hour"),
         *[F.col(f"{m}_{k}") for m in metrics for k in ("mean", "std", "zscore")],
-        *[zero(f"circadian_{m}_{k}") for m in ("amplitude", "phase") for k in ("mean", "std", "zscore")],
+        *[zero(f"circadian_amplitude_{k}") for k in ("mean", "std", "zscore")],
         zero("daily_steps"), zero("activity_variance"), zero("sedentary_hours", 24.0), zero("activity_fragmentation"),
         zero("sedentary_bout_mean", 24.0), zero("activity_intensity_ratio"))
     return out.withColumn("interdaily_stability", F.col("relative_amplitude")) if legacy_names else out
 
 
 def model_vector(advanced: DataFrame, onset_wake: DataFrame, fragments: DataFrame, variance: DataFrame, heart: DataFrame,
-                 principal: DataFrame, phase: DataFrame | None = None) -> DataFrame:
+                 principal: DataFrame) -> DataFrame:
     """The 36 ordered inputs as an array; absent pieces use their defaults."""
     f = advanced.withColumn("sedentary_day_hours", F.col("sedentary_mean_minutes") / 60)
     # the advanced table has no onset or wake clock of its own
     for part in (onset_wake, fragments, variance, heart, principal):
         f = f.join(part, KEY, "left")
-    if phase is not None:
-        f = f.join(phase.select(*KEY, F.col("onset_hour").alias("dlmo_hour"), F.col("confidence").alias("dlmo_confidence")), KEY, "left")
-    else:
-        f = f.withColumn("dlmo_hour", F.lit(None).cast("double")).withColumn("dlmo_confidence", F.lit(None).cast("double"))
+    # no phase is estimated: its inputs take their defaults
+    f = f.withColumn("dlmo_hour", F.lit(None).cast("double")).withColumn("dlmo_confidence", F.lit(None).cast("double"))
     defaults = {"onset_hour": 23.0, "wake_hour": 7.0, "dlmo_hour": 21.0, "lowest_hour": 4.0, "pat_hour": 14.0}
     return f.select(*KEY, F.array(*[
         F.coalesce(F.col(c).cast("double"), F.lit(defaults.get(c, 0.0))) for c in VECTOR_FIELDS]).alias("vector"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -116,17 +116,23 @@ def highest_risk(*names: str) -> list[Column]:
 
 def train(features: DataFrame, inputs: list[str], label: str, weight: str | None = None,
           rounds: int = 20, depth: int = 3) -> PipelineModel:
-    """Boosted trees over the named inputs; all of them must be present."""
+    """Boosted trees over the named inputs; all of them must be present.
+
+    A missing input takes the mean of its column, in training and in scoring, so
+    every row is used and gets a score. Rows without a label are not trained on.
+    """
     missing = [c for c in [*inputs, label] if c not in features.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    assembler = VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="skip")
+    filled = [f"_filled_{c}" for c in inputs]
+    imputer = Imputer(inputCols=inputs, outputCols=filled, strategy="mean")
+    assembler = VectorAssembler(inputCols=filled, outputCol="_features", handleInvalid="keep")
     trees = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=rounds, maxDepth=depth, seed=7)
     trees = trees.setPredictionCol(f"{label}_predicted").setProbabilityCol(f"{label}_probability")
     trees = trees.setRawPredictionCol(f"{label}_raw")
     if weight:
         trees = trees.setWeightCol(weight)
-    return Pipeline(stages=[assembler, trees]).fit(features)
+    return Pipeline(stages=[imputer, assembler, trees]).fit(features.filter(F.col(label).isNotNull()))
 
 
 def score(features: DataFrame, models: dict[str, PipelineModel], labels: dict[str, str]) -> DataFrame:
@@ -134,8 +140,9 @@ def score(features: DataFrame, models: dict[str, PipelineModel], labels: dict[st
     out = features
     for risk, model in models.items():
         label = labels[risk]
+        filled = model.stages[0].getOutputCols()
         out = model.transform(out).withColumn(risk, vector_to_array(f"{label}_probability")[1]).drop(
-            "_features", f"{label}_probability", f"{label}_raw", f"{label}_predicted")
+            *filled, "_features", f"{label}_probability", f"{label}_raw", f"{label}_predicted")
     return out.withColumn("confidence", confidence(*[F.col(r) for r in models]))
 
 

@@ -30,16 +30,6 @@ class Scan:
     merge: Callable[[Column, Column], Column]
 
 
-def previous(value: Column) -> Scan:
-    """Value (non-null) of the row before."""
-    return Scan(
-        lambda w: F.lag(value).over(w),
-        lambda rank: F.max_by(value, rank),
-        lambda s, w: F.lag(s).over(w),
-        lambda here, carried: F.coalesce(here, carried),
-    )
-
-
 def running_sum(value: Column) -> Scan:
     """Sum up to and including the row."""
     return Scan(
@@ -60,16 +50,6 @@ def max_before(value: Column) -> Scan:
     )
 
 
-def latest(value: Column) -> Scan:
-    """Last non-null value up to and including the row."""
-    return Scan(
-        lambda w: F.last(value, True).over(w.rowsBetween(_START, _HERE)),
-        lambda rank: F.max_by(value, F.when(value.isNotNull(), rank)),
-        lambda s, w: F.last(s, True).over(w.rowsBetween(_START, _BEFORE)),
-        lambda here, carried: F.coalesce(here, carried),
-    )
-
-
 def ordered_scan(
     df: DataFrame, keys: list[str], bucket: Column, order: list[str], **scans: Scan
 ) -> DataFrame:

@@ -247,24 +247,34 @@ def latest_per_user(records: DataFrame, order: list[Column], n: int) -> DataFram
 
 # ---- baselines that grow with history -----------------------------------------
 
-def incremental_baseline(daily: DataFrame, metric: str | Column, seed: tuple[float, float, int] | None = None
-                         ) -> DataFrame:
-    """Running mean and deviation from count, sum and sum of squares.
+def incremental_baseline(daily: DataFrame, metric: str | Column,
+                         seed: tuple[float, float, int] | DataFrame | None = None) -> DataFrame:
+    """Running mean and deviation, from count, mean and squared deviations.
 
-    A stored (mean, std, points) seeds the state as at least seven observations.
+    A stored (mean, std, points) seeds the state as at least seven observations:
+    one triple for everybody, or a row (user_id, mean, std, n) per user. The seed
+    and the running state are merged by the pairwise formula, so nothing cancels.
     """
     w, y = rows(START), F.col("y")
-    mean0, std0, n0 = seed or (0.0, 0.0, 0)
-    n0 = max(7, n0) if seed and mean0 != 0 else 0
-    n = F.count(y).over(w) + n0
-    total = F.coalesce(F.sum(y).over(w), F.lit(0.0)) + mean0 * n0
-    squares = F.coalesce(F.sum(y * y).over(w), F.lit(0.0)) + (std0 ** 2 + mean0 ** 2) * n0
-    s = daily.select(*KEY, E.col(metric).cast("double").alias("y")).select(
-        *KEY, "y", n.alias("n"), (total / n).alias("mean"),
-        (squares / n).alias("mean_sq"))
-    spread = F.greatest(F.col("mean_sq") - F.col("mean") * F.col("mean"), F.lit(0.0))
-    # rounding keeps a constant history at zero deviation instead of cancellation noise
-    return s.select(*KEY, "y", "n", "mean", F.sqrt(F.round(F.when(F.col("n") > 1, spread).otherwise(0.0), 9)).alias("std"))
+    s = daily.select(*KEY, E.col(metric).cast("double").alias("y"))
+    if isinstance(seed, DataFrame):
+        stored = seed.select("user_id", *[F.col(c).alias(f"{c}0") for c in ("mean", "std", "n")])
+        s = s.join(stored, "user_id", "left")
+    else:
+        mean0, std0, n0 = seed or (0.0, 0.0, 0)
+        s = s.withColumns({"mean0": F.lit(mean0).cast("double"), "std0": F.lit(std0).cast("double"), "n0": F.lit(n0)})
+    before = F.when(F.coalesce("mean0", F.lit(0.0)) != 0, F.greatest(F.coalesce("n0", F.lit(0)), F.lit(7))).otherwise(0)
+    s = s.select(
+        *KEY, "y", before.cast("long").alias("n0"), F.coalesce("mean0", F.lit(0.0)).alias("mean0"),
+        F.coalesce("std0", F.lit(0.0)).alias("std0"), F.count(y).over(w).alias("n1"),
+        F.coalesce(F.avg(y).over(w), F.lit(0.0)).alias("mean1"), F.coalesce(F.stddev_pop(y).over(w), F.lit(0.0)).alias("std1"))
+    c = F.col
+    n, apart = c("n0") + c("n1"), c("mean1") - c("mean0")
+    mean = F.when(c("n0") == 0, c("mean1")).otherwise(c("mean0") + apart * c("n1") / n)
+    spread = (c("n0") * c("std0") * c("std0") + c("n1") * c("std1") * c("std1") + apart * apart * c("n0") * c("n1") / n) / n
+    some = lambda x: F.when(n > 0, x)
+    return s.select(*KEY, "y", n.alias("n"), some(mean).alias("mean"),
+                    F.when(n > 1, F.when(c("n0") == 0, c("std1")).otherwise(F.sqrt(spread))).otherwise(0.0).alias("std"))
 
 
 def individual_z(daily: DataFrame, metric: str | Column, ignored: float | None = None) -> DataFrame:

@@ -147,11 +147,11 @@ query("records_covering_date", "J8", """
         F.sum(F.expr("(unix_micros(cast(end_ts as timestamp)) - unix_micros(cast(start_ts as timestamp))) / 3.6e9D"))
         .alias("hours")))
 query("lookback_records", "J9", """
-  WITH n AS (SELECT user_id, max(start_ts::DATE) AS target_date FROM activity GROUP BY user_id)
+  WITH n AS (SELECT DISTINCT user_id, start_ts::DATE AS target_date FROM activity)
   SELECT a.user_id, rec_id, target_date, (target_date - start_ts::DATE)::INTEGER AS back FROM activity a JOIN n USING (user_id)
   WHERE target_date - start_ts::DATE BETWEEN 0 AND 6""")(
-    lambda t: I.lookback(t.activity, t.activity.groupBy("user_id").agg(
-        F.max(F.to_date("start_ts")).alias("target_date")), 7).select("user_id", "rec_id", "target_date", "back"))
+    lambda t: I.lookback(t.activity, t.activity.select(
+        "user_id", F.to_date("start_ts").alias("target_date")).distinct(), 7).select("user_id", "rec_id", "target_date", "back"))
 
 # ---- missing data -----------------------------------------------------------------
 view("night_grid", """
@@ -240,15 +240,23 @@ query("available_features", "I9", """
     lambda t: M.available_features(M.density(STEPDAYS(t))))
 
 # ---- coverage reports -------------------------------------------------------------
-query("record_type_profile", "A22 L2", """
+PROFILE = """
   SELECT kind, count(*) AS records, min(ts) AS first_ts, max(ts) AS last_ts FROM (
     SELECT state AS kind, start_ts AS ts FROM sleep UNION ALL SELECT activity_type, start_ts FROM activity
-    UNION ALL SELECT metric_type, ts FROM heart) GROUP BY kind ORDER BY records DESC, kind LIMIT 20""")(
-    lambda t: t.sleep.select(F.col("state").alias("kind"), F.col("start_ts").alias("ts"))
-    .unionByName(t.activity.select(F.col("activity_type").alias("kind"), F.col("start_ts").alias("ts")))
-    .unionByName(t.heart.select(F.col("metric_type").alias("kind"), "ts"))
-    .groupBy("kind").agg(F.count(F.lit(1)).alias("records"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    .orderBy(F.desc("records"), "kind").limit(20))
+    UNION ALL SELECT metric_type, ts FROM heart) GROUP BY kind"""
+
+
+def profile(t):
+    return (
+        t.sleep.select(F.col("state").alias("kind"), F.col("start_ts").alias("ts"))
+        .unionByName(t.activity.select(F.col("activity_type").alias("kind"), F.col("start_ts").alias("ts")))
+        .unionByName(t.heart.select(F.col("metric_type").alias("kind"), "ts"))
+        .groupBy("kind").agg(F.count(F.lit(1)).alias("records"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+
+
+query("record_type_profile", "A22", PROFILE)(profile)
+query("top_record_types", "L2", PROFILE + " ORDER BY records DESC, kind LIMIT 20")(
+    lambda t: profile(t).orderBy(F.desc("records"), "kind").limit(20))
 query("monthly_coverage", "A23", """
   WITH j AS (
     SELECT user_id, date, n.sleep_hours IS NOT NULL AS s, a.steps IS NOT NULL AS a

@@ -1,4 +1,4 @@
-"""Sequence, rhythm and phase queries."""
+"""Sequence, rhythm and light queries."""
 
 from pyspark.sql import functions as F
 
@@ -6,7 +6,7 @@ from diurna.functions import exprs as E
 from diurna.operators import circadian as C
 from diurna.operators import daily as D
 from diurna.operators import intervals as I
-from diurna.operators import phase as P
+from diurna.operators import light as P
 from diurna.plans.nights import r
 from diurna.plans.registry import query, view
 
@@ -18,13 +18,10 @@ ACT_DAYS = lambda t: t.activity.select("user_id", F.to_date("start_ts").alias("d
 
 query("minute_sequence", "C1", f"SELECT user_id, date, minute, {r('value')} FROM minutes")(MIN)
 query("spread_minute_sequence", "C2", """
-  WITH f AS (SELECT user_id, min(date) AS d0 FROM acts GROUP BY user_id),
-  i AS (
-    SELECT a.user_id, d0, value, (epoch_us(start_ts) - epoch_us(d0::TIMESTAMP)) // 60000000 AS a,
-           (epoch_us(end_ts) - epoch_us(d0::TIMESTAMP)) // 60000000 AS b FROM acts a JOIN f USING (user_id)),
-  c AS (SELECT user_id, d0, value, a, greatest(a, least(b, 10079)) AS b FROM i WHERE a < 10080),
-  m AS (SELECT user_id, d0, value / (b - a + 1) AS v, unnest(range(a, b + 1)) AS m FROM c)
-  SELECT user_id, d0 + (m // 1440)::INTEGER AS date, (m % 1440)::INTEGER AS minute, round(sum(v), 6) AS value
+  WITH i AS (SELECT user_id, value, epoch_us(start_ts) // 60000000 AS a,
+             greatest(epoch_us(start_ts) // 60000000, epoch_us(end_ts) // 60000000) AS b FROM acts),
+  m AS (SELECT user_id, value / (b - a + 1) AS v, unnest(range(a, b + 1)) AS m FROM i)
+  SELECT user_id, DATE '1970-01-01' + (m // 1440)::INTEGER AS date, (m % 1440)::INTEGER AS minute, round(sum(v), 6) AS value
   FROM m GROUP BY ALL""")(lambda t: C.spread_minutes(t.activity))
 query("sequence_statistics", "C3", """
   SELECT user_id, date, round(sum(value), 6) AS total, count(*) AS active_minutes, round(max(value), 6) AS max_minute,
@@ -189,15 +186,14 @@ query("weekly_sequence_features", "C16 L2", """
 query("weekly_sequences", "W23", """
   WITH c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date) AS nth FROM act_calendar)
   SELECT c.user_id, c.date, 10080 AS length, (7 - count(DISTINCT m.date))::INTEGER AS missing,
-         round(count(DISTINCT m.date) / 7.0, 6)::DOUBLE AS quality, round(coalesce(sum(value), 0.0), 3) AS total,
-         round(coalesce(sum(value * ((m.date - c.date + 6) * 1440 + m.minute)), 0.0) / 1e6, 3) AS mass
+         round(count(DISTINCT m.date) / 7.0, 6)::DOUBLE AS quality, round(coalesce(sum(value), 0.0), 6) AS total,
+         round(coalesce(sum(value * ((m.date - c.date + 6) * 1440 + m.minute)), 0.0) / 1e6, 6) AS mass
   FROM c LEFT JOIN minutes m ON m.user_id = c.user_id AND m.date BETWEEN c.date - 6 AND c.date
-  WHERE nth >= 7 AND (nth - 7) % 7 = 0 GROUP BY ALL""")(
-    lambda t: C.weekly_sequences(MIN(t), C.user_calendar(ACT_DAYS(t)), stride_days=7).select(
+  WHERE nth >= 7 GROUP BY ALL""")(
+    lambda t: C.weekly_sequences(MIN(t), C.user_calendar(ACT_DAYS(t))).select(
         "user_id", "date", F.size("activity").alias("length"), F.size("missing_days").alias("missing"), "quality",
-        F.round(F.aggregate("activity", F.lit(0.0), lambda a, x: a + x), 3).alias("total"),
-        F.round(F.aggregate(F.transform("activity", lambda x, i: x.cast("double") * i), F.lit(0.0), lambda a, x: a + x)
-                / 1e6, 3).alias("mass")))
+        F.aggregate("activity", F.lit(0.0), lambda a, x: a + x).alias("total"),
+        (F.aggregate(F.transform("activity", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x) / 1e6).alias("mass")))
 query("standardized_hours", "P19", """
   SELECT user_id, date, hr AS hour, round(CASE WHEN stddev_pop(v) OVER w > 0 THEN (v - avg(v) OVER w)
          / stddev_pop(v) OVER w ELSE v - avg(v) OVER w END, 6) AS z FROM hour_rows
@@ -239,10 +235,6 @@ query("activity_light_profile", "C35", ACT_LUX.format("1.0::DOUBLE"))(
 query("seasonal_light_profile", "C36", ACT_LUX.format("(CASE WHEN day(d.date) % 2 = 0 THEN 2.0 ELSE 1.0 END)::DOUBLE"))(
     lambda t: P.activity_light(t.activity).select("user_id", "date", F.posexplode(P.seasonal(
         F.col("lux"), F.when(F.dayofmonth("date") % 2 == 0, 9.5).otherwise(14.0))).alias("hour", "lux")))
-query("circadian_phase", "C37")(
-    lambda t: P.circadian_phase(t.sleep, C.user_calendar(
-        t.sleep.select("user_id", F.to_date("start_ts").alias("date")))))
-
 view("cohort_days", """
   SELECT user_id, day, sum(intensity) AS total_activity FROM actigraphy GROUP BY ALL""")
 query("cohort_circadian_features", "C38", """

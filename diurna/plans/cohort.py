@@ -120,9 +120,9 @@ def snaps(t):
 
 
 query("latest_baseline", "M12 J14", f"""
-  SELECT user_id, feature_name, as_of, n, {r('mean')}, round(std, 3) AS std FROM baselines
+  SELECT user_id, feature_name, as_of, n, {r('mean')}, round(std, 6) AS std FROM baselines
   QUALIFY row_number() OVER (PARTITION BY user_id, feature_name ORDER BY as_of DESC) = 1""")(
-    lambda t: CO.latest_snapshot(snaps(t)).withColumn("std", F.round("std", 3)))
+    lambda t: CO.latest_snapshot(snaps(t)))
 query("baseline_as_of", "J14", """
   SELECT a.user_id, a.date, b.as_of AS baseline_date, round(b.mean, 6) AS baseline_mean, round(b.std, 6) AS baseline_std
   FROM act_days a ASOF LEFT JOIN (SELECT * FROM baselines WHERE feature_name = 'sleep') b ON a.user_id = b.user_id AND a.date >= b.as_of""")(

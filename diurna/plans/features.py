@@ -6,7 +6,7 @@ from diurna.operators import circadian as C
 from diurna.operators import daily as D
 from diurna.operators import features as X
 from diurna.operators import intervals as I
-from diurna.operators import phase as P
+from diurna.operators import light as P
 from diurna.operators import rolling as R
 from diurna.plans.nights import r
 from diurna.plans.registry import query, view
@@ -160,8 +160,8 @@ view("f_week", """
   FROM day_rows t LEFT JOIN sg USING (user_id, date) LEFT JOIN ag USING (user_id, date) LEFT JOIN hg USING (user_id, date)""")
 WEEK_F = [f"{n}_7day_{k}" for n in ("sleep", "activity", "hr") for k in ("mean", "std")]
 query("seven_day_statistics", "W4 D2", f"SELECT user_id, date, {r('sleep_7day_mean', 'activity_7day_mean', 'hr_7day_mean')}, "
-      + ", ".join(f"round({n}_7day_std, 3) AS {n}_7day_std" for n in ("sleep", "activity", "hr")) + " FROM f_week")(
-    lambda t: look(t, "week").withColumns({f"{n}_7day_std": F.round(f"{n}_7day_std", 3) for n in ("sleep", "activity", "hr")}))
+      + ", ".join(f"round({n}_7day_std, 6) AS {n}_7day_std" for n in ("sleep", "activity", "hr")) + " FROM f_week")(
+    lambda t: look(t, "week"))
 view("f_z", """
   WITH v AS (
     SELECT user_id, date, coalesce(sleep_hours, 0) AS s, coalesce(steps, 0) AS a, coalesce(avg_resting_hr, 0) AS h, coalesce(avg_hrv, 0) AS hv,
@@ -293,11 +293,10 @@ def calendar(t):
 def pipeline(t):
     cal = calendar(t)
     return X.pipeline_table(I.daily_window_metrics(t.sleep), D.daily_sleep(t.sleep), D.hourly_step_metrics(t.activity),
-                            C.hourly_wide(t.activity), cal, P.circadian_phase(t.sleep, cal))
+                            C.hourly_wide(t.activity), cal, P.eligible_days(t.sleep, cal))
 
 
 STEP = ["daily_steps", "activity_variance", "sedentary_hours", "activity_fragmentation", "sedentary_bout_mean", "activity_intensity_ratio"]
-PHASE = ["dlmo_hour", "circadian_phase_mean", "circadian_phase_std", "circadian_phase_zscore"]
 view("cal_days", """
   SELECT user_id, unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date FROM (
     SELECT user_id, min(d) AS lo, max(d) AS hi FROM (SELECT user_id, start_ts::DATE AS d FROM sleep UNION ALL
@@ -332,8 +331,7 @@ PIPE = f"""
          round(coalesce(m.sedentary_hours, 24.0), 6) AS sedentary_hours, round(coalesce(m.activity_fragmentation, 0.0), 6) AS activity_fragmentation,
          round(coalesce(sedentary_bout_mean, 24.0), 6) AS sedentary_bout_mean, round(coalesce(activity_intensity_ratio, 0.0), 6) AS activity_intensity_ratio
   FROM sw LEFT JOIN ci USING (user_id, date) LEFT JOIN nights USING (user_id, date) LEFT JOIN step_metrics m USING (user_id, date)"""
-query("daily_feature_table", "D1 W1 W2 Q5 Q7", PIPE)(lambda t: pipeline(t).drop(*PHASE))
-query("daily_feature_table_with_phase", "D1 C37 W2")(pipeline)
+query("daily_feature_table", "D1 W1 W2 Q5 Q7", PIPE)(pipeline)
 NORM = ["sleep_percentage_mean", "sleep_percentage_std", "sleep_amplitude_mean", "long_num_mean", "short_num_zscore", "long_len_mean"]
 query("normalized_features", "P18", f"""
   WITH sw AS (
@@ -348,11 +346,11 @@ query("normalized_features", "P18", f"""
 
 
 # ---- model vector -----------------------------------------------------------------------
-def vector(t, phase=None):
+def vector(t):
     nights, acts, hearts = daily(t)
     return X.model_vector(
         X.advanced_features(nights, acts, hearts), D.first_onset_and_wake(t.sleep), D.episode_fragmentation(t.sleep),
-        D.activity_scalars(t.activity), D.heart_scalars(t.heart), C.principal_time(C.minute_totals(t.activity)).select(*K, "pat_hour"), phase)
+        D.activity_scalars(t.activity), D.heart_scalars(t.heart), C.principal_time(C.minute_totals(t.activity)).select(*K, "pat_hour"))
 
 
 view("vec", """
@@ -377,8 +375,6 @@ query("vector_confidence", "P24", """
   SELECT user_id, date, round(least(1.0, (len(list_filter(v, lambda x: x <> 0)) / 36
          + len(list_filter([v[3 * i] for i in range(1, 13)], lambda x: abs(x) < 3)) / 12) / 2), 6) AS confidence FROM vec""")(
     lambda t: vector(t).select(*K, X.vector_confidence(F.col("vector")).alias("confidence")))
-query("model_vector_with_phase", "D4 C35 C37")(
-    lambda t: vector(t, P.activity_phase(t.activity, calendar(t))).select(*K, F.posexplode("vector").alias("position", "value")))
 query("enhanced_vector", "M11", """
   SELECT user_id, date, (i - 1)::INTEGER AS position, round(CASE WHEN i <= 20 THEN v[i] WHEN i <= 32 THEN v[i + 4] ELSE 0.0 END, 6) AS value
   FROM vec, range(1, 37) g(i)""")(

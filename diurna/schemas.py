@@ -33,12 +33,18 @@ SURVEY = T.StructType(
     [T.StructField("user_id", _L)] + [T.StructField(f"q{i}", _I) for i in range(1, 10)]
 )
 
-# Sleep states by their platform identifier suffix, and their reading.
-SLEEP_IDENTIFIER = "HKCategoryValueSleepAnalysis"
-SLEEP_STATE_BY_SUFFIX = {
-    "InBed": "IN_BED", "Asleep": "ASLEEP", "Awake": "AWAKE", "REM": "REM", "Core": "CORE",
-    "Deep": "DEEP", "AsleepCore": "ASLEEP_CORE", "AsleepDeep": "ASLEEP_DEEP",
-    "AsleepREM": "ASLEEP_REM", "AsleepUnspecified": "ASLEEP_UNSPECIFIED",
+# Sleep states by their platform identifier, and their reading.
+SLEEP_STATES = {
+    "HKCategoryValueSleepAnalysisInBed": "IN_BED",
+    "HKCategoryValueSleepAnalysisAsleep": "ASLEEP",
+    "HKCategoryValueSleepAnalysisAwake": "AWAKE",
+    "HKCategoryValueSleepAnalysisREM": "REM",
+    "HKCategoryValueSleepAnalysisCore": "CORE",
+    "HKCategoryValueSleepAnalysisDeep": "DEEP",
+    "HKCategoryValueSleepAnalysisAsleepCore": "ASLEEP_CORE",
+    "HKCategoryValueSleepAnalysisAsleepDeep": "ASLEEP_DEEP",
+    "HKCategoryValueSleepAnalysisAsleepREM": "ASLEEP_REM",
+    "HKCategoryValueSleepAnalysisAsleepUnspecified": "ASLEEP_UNSPECIFIED",
 }
 ASLEEP_STATES = [
     "ASLEEP", "REM", "CORE", "DEEP",
@@ -50,19 +56,22 @@ SLEEP_QUALITY = {
     "ASLEEP_UNSPECIFIED": "general", "IN_BED": "resting", "AWAKE": "disrupted",
 }
 
-# Quantity identifiers of the activity and heart records.
-QUANTITY_IDENTIFIER = "HKQuantityTypeIdentifier"
-ACTIVITY_TYPE_BY_SUFFIX = {
-    "StepCount": "STEP_COUNT", "DistanceWalkingRunning": "DISTANCE_WALKING",
-    "FlightsClimbed": "FLIGHTS_CLIMBED", "ActiveEnergyBurned": "ACTIVE_ENERGY",
-    "BasalEnergyBurned": "BASAL_ENERGY", "AppleExerciseTime": "EXERCISE_TIME",
-    "AppleStandTime": "STAND_TIME",
+# Platform identifiers of the activity and heart records.
+ACTIVITY_TYPES = {
+    "HKQuantityTypeIdentifierStepCount": "STEP_COUNT",
+    "HKQuantityTypeIdentifierDistanceWalkingRunning": "DISTANCE_WALKING",
+    "HKQuantityTypeIdentifierFlightsClimbed": "FLIGHTS_CLIMBED",
+    "HKQuantityTypeIdentifierActiveEnergyBurned": "ACTIVE_ENERGY",
+    "HKQuantityTypeIdentifierBasalEnergyBurned": "BASAL_ENERGY",
+    "HKQuantityTypeIdentifierAppleExerciseTime": "EXERCISE_TIME",
+    "HKQuantityTypeIdentifierAppleStandTime": "STAND_TIME",
 }
-HEART_METRIC_BY_SUFFIX = {
-    "HeartRate": "HEART_RATE", "HeartRateVariabilitySDNN": "HRV_SDNN",
-    "RestingHeartRate": "RESTING_HEART_RATE",
-    "WalkingHeartRateAverage": "WALKING_HEART_RATE_AVG",
-    "HeartRateRecoveryOneMinute": "HEART_RATE_RECOVERY",
+HEART_METRICS = {
+    "HKQuantityTypeIdentifierHeartRate": "HEART_RATE",
+    "HKQuantityTypeIdentifierHeartRateVariabilitySDNN": "HRV_SDNN",
+    "HKQuantityTypeIdentifierRestingHeartRate": "RESTING_HEART_RATE",
+    "HKQuantityTypeIdentifierWalkingHeartRateAverage": "WALKING_HEART_RATE_AVG",
+    "HKQuantityTypeIdentifierHeartRateRecoveryOneMinute": "HEART_RATE_RECOVERY",
 }
 MOTION_METADATA_KEY = "HKMetadataKeyHeartRateMotionContext"
 MOTION_CONTEXTS = ["sedentary", "active", "unknown"]

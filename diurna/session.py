@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int = 8, app: str = "diurna") -> SparkSession:
@@ -31,14 +28,3 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by the session.
-
-    Falls back to a fresh folder only when the session names none (local tests).
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or os.path.join(tempfile.mkdtemp(prefix="run-"), "ckpt"))
-    return df.checkpoint()

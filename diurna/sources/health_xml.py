@@ -22,8 +22,14 @@ RECORD = T.StructType([
 
 
 def user_of(path: Column, pattern: str = r"user[_=](\d+)") -> Column:
-    """Person a file belongs to, from its path; no match gives user 0."""
-    return F.coalesce(F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
+    """Person a file belongs to, from its path.
+
+    Files that name no person belong to their folder: a negative id from its
+    hash, so that unnamed people are neither merged nor taken for a named one.
+    """
+    named = F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")).cast("long")
+    folder = F.shiftrightunsigned(F.xxhash64(F.regexp_replace(path, "/[^/]*$", "")), 1)
+    return F.coalesce(named, -folder - 1)
 
 
 def read_health_xml(spark: SparkSession, path: str | list[str], types: list[str] | None = None,
@@ -46,17 +52,10 @@ def _id() -> Column:
     return F.xxhash64("user_id", "type", "source_name", "start_ts", "end_ts", "value").alias("rec_id")
 
 
-def _named(prefix: str, table: dict[str, str]) -> Column:
-    kind = F.when(F.startswith("type", F.lit(prefix)), F.substring("type", len(prefix) + 1, 200))
-    return E.lookup(table, kind)
-
-
 def sleep_from_xml(records: DataFrame) -> DataFrame:
     """Sleep rows with a ``reason`` that is null when the row is valid."""
-    suffix = F.when(F.startswith("value", F.lit(S.SLEEP_IDENTIFIER)),
-                    F.substring("value", len(S.SLEEP_IDENTIFIER) + 1, 200))
     r = records.filter(F.col("type") == "HKCategoryTypeIdentifierSleepAnalysis")
-    state = E.lookup(S.SLEEP_STATE_BY_SUFFIX, suffix)
+    state = E.lookup(S.SLEEP_STATES, F.col("value"))
     reason = E.ladder(
         (state.isNull(), "unknown state"), (F.col("start_ts").isNull() | F.col("end_ts").isNull(), "bad date"),
         (F.col("end_ts") <= F.col("start_ts"), "end not after start"),
@@ -65,7 +64,7 @@ def sleep_from_xml(records: DataFrame) -> DataFrame:
 
 
 def activity_from_xml(records: DataFrame) -> DataFrame:
-    kind = _named(S.QUANTITY_IDENTIFIER, S.ACTIVITY_TYPE_BY_SUFFIX)
+    kind = E.lookup(S.ACTIVITY_TYPES, F.col("type"))
     value = F.col("value").try_cast("double")
     reason = E.ladder(
         (F.col("start_ts").isNull() | F.col("end_ts").isNull(), "bad date"), (F.col("end_ts") < F.col("start_ts"), "end before start"),
@@ -87,7 +86,7 @@ def motion_context(word: Column, numeric: bool = False) -> Column:
 
 
 def heart_from_xml(records: DataFrame, numeric_motion: bool = False) -> DataFrame:
-    kind = _named(S.QUANTITY_IDENTIFIER, S.HEART_METRIC_BY_SUFFIX)
+    kind = E.lookup(S.HEART_METRICS, F.col("type"))
     value = F.col("value").try_cast("double")
     reason = E.ladder(
         (F.col("start_ts").isNull(), "bad date"), (value.isNull(), "bad value"), (value < 0, "negative value"),

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from diurna.operators import cohort, modelling
 
 
 def write_features(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Feature table partitioned by date; rows of a date are gathered before writing to keep files few."""
-    writer = df.repartition("date").write.mode(mode).partitionBy("date")
+    """Feature table partitioned by date, in few files: rows of a date are gathered, and a date
+    too large for one task is split over several (a rebalance, sized at run time)."""
+    writer = df.hint("rebalance", "date").write.mode(mode).partitionBy("date")
     writer.parquet(path) if fmt == "parquet" else writer.option("header", True).csv(path)
 
 
@@ -44,14 +47,19 @@ def upsert_to(stored_path: str, incoming: DataFrame, keys: list[str], newest: li
     cohort.upsert(stored, incoming, keys, [F.col(c) for c in newest]).write.mode("overwrite").parquet(out_path)
 
 
-def append_snapshot(wide: DataFrame, metrics: list[str], path: str) -> None:
-    """Bitemporal append: one row per metric with the time it became known."""
-    rows = cohort.long_snapshot(wide, metrics).withColumn("effective_ts", F.current_timestamp())
-    rows.write.mode("append").partitionBy("as_of").parquet(path)
+def append_snapshot(wide: DataFrame, metrics: list[str], path: str, effective_ts: dt.datetime) -> None:
+    """Bitemporal append: one row per metric with the time it became known.
+
+    A job that is run again with its effective_ts replaces its own partitions only.
+    """
+    rows = cohort.long_snapshot(wide, metrics).withColumn("effective_ts", F.lit(effective_ts))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("effective_ts", "as_of").parquet(path)
 
 
 def delete_period(df: DataFrame, start: str, end: str, out_path: str, ts: str = "start_ts") -> int:
     """Write what lies outside [start, end] and return how many rows were dropped."""
     inside = F.col(ts).between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
-    df.filter(~F.coalesce(inside, F.lit(False))).write.mode("overwrite").parquet(out_path)
-    return df.filter(inside).count()
+    seen = Observation()
+    counted = df.observe(seen, F.count_if(inside).alias("dropped"))
+    counted.filter(~F.coalesce(inside, F.lit(False))).write.mode("overwrite").parquet(out_path)
+    return seen.get["dropped"]

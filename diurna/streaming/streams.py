@@ -48,12 +48,10 @@ def daily_totals(stream: DataFrame, ts: str = "start_ts", value: str = "value")
 
 
 def baseline_state(stream: DataFrame, metric: str, value: str = "value") -> DataFrame:
-    """Count, mean and deviation per user and metric from three running sums."""
+    """Count, mean and deviation per user and metric; the state keeps squared deviations from the mean."""
     v = F.col(value)
-    sums = stream.groupBy("user_id", metric).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-    mean = F.col("s") / F.col("n")
-    return sums.select("user_id", metric, "n", mean.alias("mean"),
-                       F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"))
+    return stream.groupBy("user_id", metric).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
 
 
 def sleep_sessions(stream: DataFrame, gap_minutes: int = 225) -> DataFrame:

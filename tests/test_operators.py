@@ -18,7 +18,7 @@ from diurna.operators import intervals as I
 from diurna.operators import missing as M
 from diurna.operators import modelling as MO
 from diurna.operators import ordering as O
-from diurna.operators import phase as P
+from diurna.operators import light as P
 from diurna.operators import rolling as R
 
 BASE = dt.datetime(2024, 1, 1)
@@ -105,14 +105,12 @@ def test_ordered_scan_equals_plain_windows(spark):
     random.seed(5)
     rows = [(u, random.randint(0, 500_000), i, random.randint(0, 9)) for u in (1, 2) for i in range(300)]
     df = spark.createDataFrame(rows, "user_id long, at long, i long, v long")
-    maybe = F.when(F.col("v") > 6, F.col("v"))
-    two = O.ordered_scan(df, ["user_id"], F.floor(F.col("at") / 10_000), ["at", "i"], prev=O.previous(F.col("v")),
-                         total=O.running_sum(F.col("v")), top=O.max_before(F.col("v")), seen=O.latest(maybe))
+    two = O.ordered_scan(df, ["user_id"], F.floor(F.col("at") / 10_000), ["at", "i"],
+                         total=O.running_sum(F.col("v")), top=O.max_before(F.col("v")))
     w = "OVER (PARTITION BY user_id ORDER BY at, i"
     df.createOrReplaceTempView("scan_rows")
-    plain = spark.sql(f"""SELECT *, lag(v) {w}) prev, sum(v) {w} ROWS UNBOUNDED PRECEDING) total,
-      max(v) {w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) top,
-      last(CASE WHEN v > 6 THEN v END, true) {w} ROWS UNBOUNDED PRECEDING) seen FROM scan_rows""")
+    plain = spark.sql(f"""SELECT *, sum(v) {w} ROWS UNBOUNDED PRECEDING) total,
+      max(v) {w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) top FROM scan_rows""")
     assert sorted(map(tuple, two.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
 
 
@@ -194,37 +192,22 @@ def test_duration_vs_calendar_frames_differ(spark):
 
 # ---- circadian -----------------------------------------------------------------------
 
-def test_pacemaker_equals_plain_loop():
-    def loop(lux):
-        x, xc, n = P.resting_state()
-        states = []
-        for h, light in enumerate(lux):
-            if h >= len(lux) - 24:
-                states.append((x, xc))
-            a = P.MAX_DRIVE * light ** 0.5 / (light ** 0.5 + P.HALF_LIGHT ** 0.5)
-            for _ in range(60):
-                b = P.COUPLING * (1 - n) * a
-                f = b * (1 - 0.4 * x) * (1 - 0.4 * xc) * max(0, 1 - P.SUPPRESSION * b)
-                dx = math.pi / 12 * (xc + f)
-                dc = math.pi / 12 * (P.RECOVERY * (xc - 4 * xc ** 3 / 3)
-                                     - x * ((24 / (0.99669 * P.PERIOD_HOURS)) ** 2 + P.STIFFNESS * f))
-                dn = 60 * (a * (1 - n) - P.RECEPTOR_DECAY * n)
-                x, xc, n = x + dx / 60, xc + dc / 60, n + dn / 60
-        return states
-
-    rng = np.random.default_rng(1)
-    lux = rng.choice([0.0, 250.0], size=(3, 72))
-    x, xc = P.last_day_states(lux)
-    for i in range(3):
-        plain = np.array(loop(list(lux[i])))
-        assert np.allclose(x[i], plain[:, 0]) and np.allclose(xc[i], plain[:, 1])
-
-
-def test_regular_sleep_gives_evening_onset(spark):
-    nights = sleep(spark, *[(24 * d + 23, 24 * d + 31) for d in range(14)])
+def test_records_are_spread_over_all_their_days(spark):
+    rows = spark.sql("""SELECT 1L AS user_id, 'STEP_COUNT' AS activity_type, v AS value,
+        TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, a) AS start_ts,
+        TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, b) AS end_ts
+        FROM VALUES (30.0D, 0, 2), (10.0D, 1439, 1440), (7.0D, 20000, 20000) AS t(v, a, b)""")
+    got = {(str(r.date), r.minute): r.value for r in C.spread_minutes(rows).collect()}
+    assert got == {("2024-01-01", 0): 10, ("2024-01-01", 1): 10, ("2024-01-01", 2): 10, ("2024-01-01", 1439): 5,
+                   ("2024-01-02", 0): 5, ("2024-01-14", 1280): 7}
+
+
+def test_days_with_enough_sleep(spark):
+    nights = sleep(spark, *[(24 * d, 24 * d + 8) for d in (0, 1, 5, 25)])
     cal = C.user_calendar(nights.select("user_id", F.to_date("start_ts").alias("date")))
-    row = P.circadian_phase(nights, cal).orderBy(F.desc("date")).first()
-    assert 17 <= row.onset_hour <= 24 and 0 < row.confidence <= 1
+    first = cal.agg(F.min("date")).first()[0]
+    days = sorted((r.date - first).days for r in P.eligible_days(nights, cal).collect())
+    assert days == list(range(5, 14))
 
 
 def test_hour_end_does_not_mark_next_hour(spark):
@@ -370,3 +353,32 @@ def test_missing_inputs_lower_confidence(spark):
     row = rules.depression_risk(df).first()
     assert row.confidence == pytest.approx(0.81) and row.missing_factors == ["sleep data", "activity data"]
     assert row.rationale.endswith("(limited data: sleep data, activity data missing)")
+
+
+# ---- numbers and gaps -----------------------------------------------------------------
+
+def test_running_deviation_of_large_values(spark):
+    rows = [(1, i, 1e8 + (i % 2) * 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "user_id long, d int, y double").select(
+        "user_id", F.date_add(F.lit("2024-01-01").cast("date"), F.col("d")).alias("date"), "y")
+    last = R.incremental_baseline(df, "y").orderBy(F.desc("date")).first()
+    assert last.mean == pytest.approx(1e8 + 1) and last.std == pytest.approx(1.0, abs=1e-6)
+
+
+def test_seed_per_user(spark):
+    df = spark.createDataFrame([(u, i, float(v)) for u in (1, 2, 3) for i, v in enumerate((4, 8))], "user_id long, d int, y double").select(
+        "user_id", F.date_add(F.lit("2024-01-01").cast("date"), F.col("d")).alias("date"), "y")
+    seeds = spark.createDataFrame([(1, 6.0, 1.0, 20), (2, 10.0, 0.0, 3)], "user_id long, mean double, std double, n int")
+    got = {r.user_id: r for r in R.incremental_baseline(df, "y", seeds).filter("date = DATE '2024-01-02'").collect()}
+    for user, (mean, std, n) in {1: (6.0, 1.0, 20), 2: (10.0, 0.0, 7), 3: (0.0, 0.0, 0)}.items():
+        total = n + 2
+        want = (n * mean + 12) / total
+        spread = (n * (std ** 2 + mean ** 2) + 16 + 64) / total - want ** 2
+        assert got[user].n == total and got[user].mean == pytest.approx(want) and got[user].std == pytest.approx(spread ** 0.5)
+
+
+def test_missing_inputs_are_scored(spark):
+    rows = [(i, None if i % 5 == 0 else float(i % 10), float(i % 3), float(i % 10 > 4) if i % 7 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "user_id long, a double, b double, y double")
+    out = MO.score(df, {"risk": MO.train(df, ["a", "b"], "y", rounds=2)}, {"risk": "y"})
+    assert out.count() == 60 and out.filter("risk IS NULL").count() == 0 and set(df.columns) < set(out.columns)

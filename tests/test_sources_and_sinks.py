@@ -76,17 +76,56 @@ def test_json_layouts(spark, folder):
     sleep = J.read_sleep_json(spark, folder).orderBy("start_ts").collect()
     assert [(r.source_name, r.state) for r in sleep] == [
         ("Watch", "ASLEEP"), ("Unknown", "ASLEEP"), ("Ring", "ASLEEP"), ("Unknown", "IN_BED")]
-    acts = J.nested_activity(J.nested_entries(spark, folder)).orderBy("activity_type").collect()
+    acts = X.accepted(J.nested_activity(J.nested_entries(spark, folder))).orderBy("activity_type").collect()
     assert [(r.activity_type, r.value, r.source_name) for r in acts] == [
         ("DISTANCE_WALKING", 5.5, "Unknown"), ("STEP_COUNT", 8000.0, "Phone")]
     assert acts[1].end_ts == dt.datetime(2024, 1, 2, 23, 59, 59)
-    heart = J.nested_heart(J.nested_entries(spark, folder)).orderBy("value").collect()
+    heart = X.accepted(J.nested_heart(J.nested_entries(spark, folder))).orderBy("value").collect()
     assert [(r.metric_type, r.motion_context, r.value) for r in heart] == [
         ("HRV_SDNN", "unknown", 42.0), ("HEART_RATE", "sedentary", 55.0), ("HEART_RATE", "unknown", 70.0)]
     flat_rows = J.read_activity_json(spark, folder).orderBy("value").collect()
     assert [(r.activity_type, r.value) for r in flat_rows] == [("DISTANCE_WALKING", 1.5), ("STEP_COUNT", 100.0)]
 
 
+def test_every_json_entry_is_accepted_or_rejected(spark, folder):
+    heart = {"data": {"metrics": [
+        {"name": "resting_heart_rate", "data": [{"date": "2024-01-02 00:00:00"}, {"date": "x", "qty": 3}, {"date": "2024-01-02", "qty": -1}]},
+        {"name": "heart_rate", "data": [{"date": "2024-01-02 08:00:00", "Avg": "many"}]}]}}
+    steps = {"data": [{"startDate": "2024-01-05 08:00:00", "endDate": "2024-01-05 07:00:00", "value": "1"},
+                      {"startDate": "2024-01-05 08:00:00", "endDate": "2024-01-05 09:00:00", "value": "ten"},
+                      {"startDate": "2024-01-05 08:00:00", "endDate": "2024-01-05 09:00:00"}]}
+    (Path(folder) / "Heart Rate.json").write_text(json.dumps(heart))
+    (Path(folder) / "Step Count.json").write_text(json.dumps(steps))
+    rows = J.heart_json(spark, folder)
+    assert sorted(r.reason or "" for r in rows.collect()) == ["", "bad date", "bad value", "negative value"]
+    assert [r.value for r in J.read_heart_json(spark, folder).collect()] == [0.0]
+    rows = J.activity_json(spark, folder)
+    assert sorted(r.reason or "" for r in rows.collect()) == ["", "bad value", "end before start"]
+    assert X.accepted(rows).count() + X.rejected(rows).count() == 3
+    assert X.file_outcomes(rows).collect()[0].status == "success"
+
+
+def test_people_without_a_name_are_not_merged(spark, folder):
+    for name in ("a", "b"):
+        (Path(folder) / name).mkdir()
+        (Path(folder) / name / "export.xml").write_text(EXPORT)
+    users = {r.user_id for r in X.read_health_xml(spark, folder + "/*").select("user_id").collect()}
+    assert len(users) == 2 and all(u < 0 for u in users)
+
+
+def test_one_date_with_most_rows_is_written_in_several_files(spark, folder):
+    rows = spark.range(400_000).selectExpr(
+        "id AS user_id", "date_add(DATE '2024-01-01', int(if(id % 10 = 0, id % 7, 0))) AS date", "rand(1) AS value")
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        sinks.write_features(rows, f"{folder}/w")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(list(Path(f"{folder}/w/date=2024-01-01").glob("part-*"))) > 1
+    assert spark.read.parquet(f"{folder}/w").count() == 400_000
+
+
 def test_label_csv_defaults_and_skips(spark, folder):
     (Path(folder) / "a.csv").write_text("date,mood,severity\n2024-01-01,manic,4\n,manic,4\n")
     ok, skipped = tables.read_labels_csv(spark, f"{folder}/a.csv")
@@ -118,8 +157,8 @@ def test_writers_round_trip(spark, folder):
         sinks.write_labels(labels, f"{folder}/l_{fmt}", fmt)
         assert spark.read.option("header", True).format(fmt).load(f"{folder}/l_{fmt}").count() == 6
     wide = spark.createDataFrame([(1, dt.date(2024, 1, 1), 7.0, 1.0)], "user_id long, as_of date, mean double, std double")
-    for _ in range(2):
-        sinks.append_snapshot(wide, ["mean", "std"], f"{folder}/b")
+    for hour in (1, 2, 2):  # the job of two o'clock runs twice
+        sinks.append_snapshot(wide, ["mean", "std"], f"{folder}/b", dt.datetime(2024, 1, 2, hour))
     assert spark.read.parquet(f"{folder}/b").count() == 4
     (Path(folder) / "pred.json").write_text(json.dumps([{"user_id": 1, "date": "2024-01-01", "depression": 0.4}]))
     assert tables.read_predictions(spark, f"{folder}/pred.json").collect()[0].depression == 0.4
