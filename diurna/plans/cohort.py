@@ -30,8 +30,11 @@ view("med_flags", """
   FROM rx LEFT JOIN drugs USING (drug_key) GROUP BY user_id""")
 query("medication_flags", "A20 J7", "SELECT user_id, benzodiazepine, ssri, ssri AS antidepressant FROM med_flags")(
     lambda t: CO.medication_flags(t.rx, t.drugs, CLASSES))
-query("medication_class_tokens", "A20", """
-  SELECT user_id, 0 AS benzodiazepine, 0 AS ssri, 0 AS antidepressant FROM rx GROUP BY user_id""")(
+query("medication_class_tokens", "A20", f"""
+  SELECT user_id, benzodiazepine, ssri, ssri AS antidepressant FROM (
+    SELECT user_id, coalesce(max(regexp_matches(drug_id, '{'|'.join(CO.BENZODIAZEPINES)}')::INTEGER), 0) AS benzodiazepine,
+           coalesce(max(regexp_matches(drug_id, '{'|'.join(CO.SSRIS)}')::INTEGER), 0) AS ssri
+    FROM rx LEFT JOIN drugs USING (drug_key) GROUP BY user_id)""")(
     lambda t: CO.medication_flags(t.rx, t.drugs, {"benzodiazepine": CO.BENZODIAZEPINES, "ssri": CO.SSRIS}))
 query("attached_drug_ids", "J7", """
   SELECT drug_id, count(*) AS prescriptions FROM rx LEFT JOIN drugs USING (drug_key) GROUP BY drug_id""")(

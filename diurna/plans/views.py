@@ -42,7 +42,7 @@ view("actigraphy", """
 view("survey", "SELECT c_custkey AS user_id, " + ", ".join(
     f"((c_custkey * ({i} + 3) + {i}) % 4)::INTEGER AS q{i}" for i in range(1, 10)) + " FROM customer")
 view("rx", "SELECT l_suppkey AS user_id, l_partkey AS drug_key FROM lineitem")
-view("drugs", "SELECT p_partkey AS drug_key, lower(p_name) AS drug_id FROM part")
+view("drugs", "SELECT p_partkey AS drug_key, lower(p_name) || CASE p_partkey % 400 WHEN 7 THEN ' sertraline' WHEN 13 THEN ' d00149' ELSE '' END AS drug_id FROM part")
 
 view("slept", """
   SELECT *, (epoch_us(end_ts) - epoch_us(start_ts)) / 3.6e9 AS hrs,

@@ -124,5 +124,6 @@ class TestTables:
     @cached_property
     def drugs(self) -> DataFrame:
         return self.raw("part").select(
-            F.col("p_partkey").alias("drug_key"), F.lower("p_name").alias("drug_id")
+            F.col("p_partkey").alias("drug_key"), F.concat(F.lower("p_name"), F.expr(
+                "CASE p_partkey % 400 WHEN 7 THEN ' sertraline' WHEN 13 THEN ' d00149' ELSE '' END")).alias("drug_id")
         )

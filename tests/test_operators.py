@@ -293,6 +293,17 @@ def test_ensemble_falls_back(spark):
     assert got[0] == pytest.approx((.7, .3, .3, .6)) and got[1] == pytest.approx((.3, .2, .1, .6))
 
 
+@pytest.mark.parametrize("shape", ["margins", "crowded", "one value"])
+def test_auc_of_any_scores(spark, shape):
+    random.seed(4)
+    draw = {"margins": lambda: random.gauss(0, 1e4), "crowded": lambda: random.choice([random.random(), 1e-9 * random.randint(0, 400)] ),
+            "one value": lambda: 3.0}[shape]
+    rows = [(random.randint(0, 1), draw()) for _ in range(700)]
+    got = MO.auc(spark.createDataFrame(rows, "y int, s double"), "y", "s").first().auc
+    pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
+    assert got == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)))
+
+
 def test_required_training_columns(spark):
     with pytest.raises(ValueError, match="missing columns: b"):
         MO.train(spark.createDataFrame([(1.0, 1.0)], "a double, y double"), ["a", "b"], "y")
