@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
@@ -57,3 +59,15 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def document_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that clashing extra columns never meet an operator's own."""
     return docs.select(*[docs[n] for n in names])
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Inside, Python workers are sent at most that many rows at a time: for rows that hold long lists."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

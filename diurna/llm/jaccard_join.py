@@ -10,8 +10,7 @@ inverted lists of the taken shingles alone bring every partner together.
 2. The order is by hash, with frequent shingles (lists over LONG) last: they are found by
    counting the taken shingles, of which every class takes a few more than it needs. A class
    left with too few rare ones takes all its shingles and goes on in the same order.
-3. Short lists: every class heap-merges the short lists of its shingles into candidates and
-   their occurrence counts.
+3. Short lists: every class heap-merges the short lists of its shingles into candidates.
 4. Long lists remain only among classes that consist of frequent shingles, that is, large
    groups of near copies. They are not merged: members are probed against the list's most
    central class, and what then lies in one component needs no more comparing. Lists with
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diurna.llm.common import column, small_or_not, staged, unstage
+from diurna.llm.common import column, small_batches, small_or_not, staged, unstage
 from diurna.llm.connected import roots
 from diurna.llm.hashing import Rolling, mixed
 
@@ -44,6 +43,8 @@ from diurna.llm.hashing import Rolling, mixed
 LONG = 100
 SKETCH_BITS = 256
 BLOCK = 256
+#: Classes whose lists are in a worker's memory at a time.
+MERGE_ROWS = 100
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WHITE = np.zeros(256, bool)
@@ -179,26 +180,23 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _merged(lists: DataFrame, percent: int) -> DataFrame:
-    """Candidates (u, v, found) of each class u among smaller v, by a heap merge of its lists."""
+def _merged(lists: DataFrame) -> DataFrame:
+    """Candidates (u, v) of each class u among smaller v, by a heap merge of its lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for row in batch.to_pylist():
-                last, count, n = None, 0, row["n"]
-                runs = [[(x["rep"], x["n"]) for x in own] for own in row["lists"]]
-                for rep, size in [*heapq.merge(*runs), (None, 0)]:
-                    if rep != last:
-                        if count:
-                            for values, v in zip(out, (row["rep"], last, count)):
-                                values.append(v)
-                        last, count = rep, 0
-                    if rep is not None and min(n, size) * 100 >= max(n, size) * percent:
-                        count += 1
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=["u", "v", "found"])
+            us: list[int] = []
+            vs: list[int] = []
+            for u, runs in zip(column(batch, "rep"), column(batch, "lists")):
+                before, last = len(vs), None
+                for v in heapq.merge(*(x.values.to_numpy().tolist() for x in runs)):
+                    if v != last:
+                        vs.append(v)
+                        last = v
+                us += [u.as_py()] * (len(vs) - before)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return lists.mapInArrow(run, "u bigint, v bigint, found bigint")
+    return lists.mapInArrow(run, "u bigint, v bigint")
 
 
 def _across(blocks: DataFrame, percent: int) -> DataFrame:
@@ -267,11 +265,11 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     """Links (u, v) between classes (rep, n, head, sketch) that have the components of all links."""
     chosen, lengths = _lists(docs, classes, words, percent)
     lists = staged(chosen.join(lengths, "t"), "lists")
-    short = lists.filter(F.col("m") <= LONG).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("rep", "n"))).alias("own"))
-    asked = short.select(F.posexplode("own").alias("at", "x"), "own").filter("at > 0").select(
-        F.col("x.rep").alias("rep"), F.col("x.n").alias("n"), F.slice("own", F.lit(1), F.col("at")).alias("own"))
-    merged = _merged(asked.groupBy("rep", "n").agg(F.collect_list("own").alias("lists")), percent)
-    found = _decided(docs, classes, merged.select("u", "v"), words, percent)
+    short = lists.filter(F.col("m") <= LONG).groupBy("t").agg(F.sort_array(F.collect_list("rep")).alias("own"))
+    asked = short.select(F.posexplode("own").alias("at", "rep"), "own").filter("at > 0").select(
+        "rep", F.slice("own", F.lit(1), F.col("at")).alias("own"))
+    with small_batches(docs.sparkSession, MERGE_ROWS):
+        found = _decided(docs, classes, _merged(asked.groupBy("rep").agg(F.collect_list("own").alias("lists"))), words, percent)
 
     long = lists.filter(F.col("m") > LONG)
     if not long.limit(1).count():
