@@ -43,8 +43,8 @@ from diurna.llm.hashing import Rolling, mixed
 LONG = 100
 SKETCH_BITS = 256
 BLOCK = 256
-#: Classes whose lists are in a worker's memory at a time.
-MERGE_ROWS = 100
+#: Rows with whole lists or sets that are in a worker's memory at a time.
+BATCH_ROWS = 100
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WHITE = np.zeros(256, bool)
@@ -166,12 +166,13 @@ def _decided(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
             keep = pa.array(yes, pa.bool_())
             yield pa.RecordBatch.from_arrays([column(batch, "u").filter(keep), column(batch, "v").filter(keep)], names=["u", "v"])
 
-    pairs = staged(_possible(pairs, classes, percent), "pairs")
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    own = staged(_whole_sets(docs, nodes, words), "own")
-    both = pairs.join(own.select(F.col("node").alias("u"), F.col("own").alias("a")), "u") \
-        .join(own.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
-    links = staged(both.mapInArrow(run, "u bigint, v bigint").distinct(), "links")
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        pairs = staged(_possible(pairs, classes, percent), "pairs")
+        nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        own = staged(_whole_sets(docs, nodes, words), "own")
+        both = pairs.join(own.select(F.col("node").alias("u"), F.col("own").alias("a")), "u") \
+            .join(own.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
+        links = staged(both.mapInArrow(run, "u bigint, v bigint").distinct(), "links")
     unstage(pairs, own)
     return links
 
@@ -268,8 +269,8 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     short = lists.filter(F.col("m") <= LONG).groupBy("t").agg(F.sort_array(F.collect_list("rep")).alias("own"))
     asked = short.select(F.posexplode("own").alias("at", "rep"), "own").filter("at > 0").select(
         "rep", F.slice("own", F.lit(1), F.col("at")).alias("own"))
-    with small_batches(docs.sparkSession, MERGE_ROWS):
-        found = _decided(docs, classes, _merged(asked.groupBy("rep").agg(F.collect_list("own").alias("lists"))), words, percent)
+    merged = _merged(asked.groupBy("rep").agg(F.collect_list("own").alias("lists")))
+    found = _decided(docs, classes, merged, words, percent)
 
     long = lists.filter(F.col("m") > LONG)
     if not long.limit(1).count():
