@@ -68,9 +68,11 @@ def assemble(actigraphy: DataFrame, scores: DataFrame, medications: DataFrame) -
     )
 
 
-def sliding_sequences(actigraphy: DataFrame, size: int = 60, stride: int = 30) -> DataFrame:
+def sliding_sequences(actigraphy: DataFrame, size: int = 60, stride: int = 30, label: Column | None = None) -> DataFrame:
     """Windows of ``size`` minutes every ``stride`` minutes in (day, minute) order; short tails are dropped.
 
+    ``label`` is read from the middle row of each window; without one it is null.
+
     Positions come from hour counts plus the place inside the hour, so no task
     orders a whole subject.
     """
@@ -81,11 +83,12 @@ def sliding_sequences(actigraphy: DataFrame, size: int = 60, stride: int = 30) -
     last = F.floor(F.col("pos") / stride)
     first = F.greatest(F.lit(0), F.ceil((F.col("pos") - size + 1) / stride))
     return (
-        rows.select("user_id", "pos", "intensity", F.explode(F.sequence(first, last)).alias("window_no"))
+        rows.select("user_id", "pos", "intensity", (F.lit(None) if label is None else label).alias("label"), F.explode(F.sequence(first, last)).alias("window_no"))
         .groupBy("user_id", "window_no")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "intensity"))).alias("v"))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "intensity", "label"))).alias("v"))
         .filter(F.size("v") == size)
-        .select("user_id", "window_no", F.transform("v", lambda x: x.intensity).alias("sequence"))
+        .select("user_id", "window_no", F.transform("v", lambda x: x.intensity).alias("sequence"),
+                F.get("v", F.lit(size // 2))["label"].alias("label"))
     )
 
 

@@ -46,13 +46,13 @@ query("cohort_assembled", "J6 U4", """
 query("distinct_subjects", "U4", "SELECT DISTINCT user_id FROM actigraphy")(lambda t: t.actigraphy.select("user_id").distinct())
 query("sliding_sequences", "W22", """
   WITH p AS (
-    SELECT user_id, intensity, row_number() OVER (PARTITION BY user_id ORDER BY day, minute_no) - 1 AS i FROM actigraphy),
+    SELECT user_id, intensity, (minute_no % 7)::INTEGER AS label, row_number() OVER (PARTITION BY user_id ORDER BY day, minute_no) - 1 AS i FROM actigraphy),
   w AS (
-    SELECT user_id, k AS window_no, intensity, i FROM p, range(0, 100000) g(k) WHERE k BETWEEN (i - 19) / 5 AND i // 5 AND i BETWEEN k * 5 AND k * 5 + 19)
+    SELECT user_id, k AS window_no, intensity, label, i FROM p, range(0, 100000) g(k) WHERE k BETWEEN (i - 19) / 5 AND i // 5 AND i BETWEEN k * 5 AND k * 5 + 19)
   SELECT user_id, window_no, count(*)::INTEGER AS size, round(sum(intensity), 6) AS total,
-         round(sum(intensity * (i - window_no * 5)), 6) AS mass FROM w GROUP BY user_id, window_no HAVING count(*) = 20""")(
-    lambda t: CO.sliding_sequences(t.actigraphy, 20, 5).select(
-        "user_id", "window_no", F.size("sequence").alias("size"), F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x).alias("total"),
+         round(sum(intensity * (i - window_no * 5)), 6) AS mass, max(label) FILTER (i = window_no * 5 + 10) AS label FROM w GROUP BY user_id, window_no HAVING count(*) = 20""")(
+    lambda t: CO.sliding_sequences(t.actigraphy, 20, 5, (F.col("minute_no") % 7).cast("int")).select(
+        "user_id", "window_no", "label", F.size("sequence").alias("size"), F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x).alias("total"),
         F.aggregate(F.transform("sequence", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x).alias("mass")))
 
 # ---- labels -------------------------------------------------------------------------
