@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diurna.llm import decontaminate, packing, quality_rules
+from diurna.llm.common import small_or_not
 from diurna.llm.jaccard_join import components
 from diurna.llm.suffix_dedup import cut
 
@@ -33,10 +34,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     groups = components(docs, SHINGLE_WORDS, SIMILARITY)
     gone = groups.filter("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.select(*COLUMNS).join(small_or_not(gone), "doc_id", "left_anti").select(*COLUMNS)
     # rows that repeat one id with one text are a group as well
-    named = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(kept.filter("doc_id is null"))
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    ids = small_or_not(ids)
+    twice = kept.join(ids, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    return kept.join(ids, "doc_id", "left_anti").select(*COLUMNS).unionByName(twice)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -296,7 +296,12 @@ def cut(docs: DataFrame, length: int = 400) -> DataFrame:
     changed = held.mapInArrow(run, "id binary, kept string")
     per_text = distinct.join(changed, "id", "left").filter("copies > 1 or kept is not null").withColumnsRenamed(
         {"id": "_id", "kept": "_kept", "copies": "_copies"})
+    per_text = staged(per_text, "cut")
+    ids = small_or_not(per_text.select("_id"))
+    same = _short_of_text() == F.col("_id")
+    # only texts that change are sent to where their rest is
+    changing = docs.join(ids, same, "left_semi").join(per_text, same)
     whole = (F.col("_copies") > 1) & (F.octet_length("text") >= length)
-    joined = docs.join(per_text, _short_of_text() == F.col("_id"), "left")
     text = F.when(whole, F.lit("")).otherwise(F.coalesce("_kept", "text"))
-    return joined.withColumn("text", text).drop("_id", "_kept", "_copies")
+    changing = changing.withColumn("text", text).drop("_id", "_kept", "_copies")
+    return docs.join(ids, same, "left_anti").unionByName(changing)
