@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diurna.llm.common import column, small_batches, small_or_not, staged, unstage
+from diurna.llm.common import BROADCAST_ROWS, column, small_batches, small_or_not, staged, unstage
 from diurna.llm.connected import roots
 from diurna.llm.hashing import Rolling, mixed
 
@@ -225,6 +225,40 @@ def _across(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.mapInArrow(run, "u bigint, v bigint")
 
 
+def _rare_first(own: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
+    """(t, rep, n): the shingles that whole sets (node, own) take, frequent ones last.
+
+    Frequent shingles are few (each is in over LONG classes) and go to the tasks as one array
+    if they are at most BROADCAST_ROWS; beyond that they are joined to the sets' shingles.
+    """
+    if frequent.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        known = own.sparkSession.sparkContext.broadcast(np.array([r.t for r in frequent.collect()], np.int64))
+
+        def first(x: np.ndarray) -> np.ndarray:
+            often = np.isin(x, known.value)
+            return np.concatenate([x[~often], x[often]])[:taken(len(x), percent)]
+    else:
+        def first(x: np.ndarray) -> np.ndarray:
+            return x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_py(), np.int64) for x in column(batch, "own")]
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "node"), pa.array([len(x) for x in sets], pa.int64()),
+                 pa.array([first(x) for x in sets], pa.list_(pa.int64()))], names=["rep", "n", "some"])
+
+    each = own.mapInArrow(run, "rep bigint, n bigint, some array<bigint>").select("rep", "n", F.explode("some").alias("t"))
+    if frequent.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return each.select("t", "rep", "n")
+    marked = each.join(frequent.withColumn("often", F.lit(True)), "t", "left")
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(False)).alias("often"), "t")))
+    take = F.col("n") - ((F.col("n") * percent + 99) / 100).cast("long") + 1
+    kept = marked.groupBy("rep", "n").agg(order.alias("all")).select(
+        "rep", "n", F.explode(F.slice("all", F.lit(1), take.cast("int"))).alias("x"))
+    return kept.select("x.t", "rep", "n")
+
+
 def _lists(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The taken shingles (t, rep, n) of all classes, and the lengths (t, m) of lists of two or more."""
     need = ((F.col("n") * percent + 99) / 100).cast("long")
@@ -239,20 +273,7 @@ def _lists(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tup
     rare = shared.filter(F.col("count") <= LONG).select("t", "rep", "n")
     if full.limit(1).count():
         own = _whole_sets(docs, full.withColumnRenamed("rep", "node"), words)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = [np.frombuffer(x.as_py(), np.int64) for x in column(batch, "own")]
-                yield pa.RecordBatch.from_arrays(
-                    [column(batch, "node"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-                    names=["rep", "n", "all"])
-
-        each = own.mapInArrow(run, "rep bigint, n bigint, all array<bigint>").select("rep", "n", F.explode("all").alias("t"))
-        marked = each.join(small_or_not(frequent.withColumn("often", F.lit(True))), "t", "left")
-        first = marked.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct(
-            F.coalesce("often", F.lit(False)).alias("often"), "t"))).alias("all"))
-        more = staged(first.select(F.explode(F.slice("all", F.lit(1), take.cast("int"))).alias("x"), "rep", "n")
-                      .select("x.t", "rep", "n"), "more")
+        more = staged(_rare_first(own, frequent, percent), "more")
         # a shingle that one class showed may now meet those that show all
         met = postings.join(small_or_not(more.select("t").distinct()), "t", "left_semi") \
             .join(small_or_not(frequent), "t", "left_anti").select("t", "rep", "n")

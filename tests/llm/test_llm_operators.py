@@ -194,9 +194,10 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("long", [6, 100])
-def test_jaccard_components(spark, monkeypatch, long):
+@pytest.mark.parametrize("long, sent", [(6, 500_000), (6, 0), (100, 500_000)])
+def test_jaccard_components(spark, monkeypatch, long, sent):
     monkeypatch.setattr(jaccard_join, "LONG", long)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", sent)
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     texts = near_copies(4) + ODD + made(2, 20)
     docs = table(spark, texts).withColumns({c: F.lit("x") for c in ("n", "rep", "t", "class")})
