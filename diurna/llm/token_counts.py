@@ -74,6 +74,8 @@ class Counter:
         # a run of white space belongs to what follows it, as its split depends on that
         self.cut = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
         self.lead = regex.compile(r"\p{White_Space}+(?=\P{White_Space})")
+        # a run that mixes such white space with spaces is one piece, so it must not be cut at its spaces
+        self.odd = regex.compile(r"[^\P{White_Space} \n]")
 
     def _left(self, token: int) -> list[tuple[int, float]]:
         """Nodes on the left edge of a token's merge tree, each with the rank at which it is merged further."""
@@ -166,7 +168,7 @@ class Counter:
 
     def _plain(self, text: str) -> bytes:
         """Steps of a text in which no special string is looked for."""
-        if text:
+        if text and not self.odd.search(text):
             try:
                 first, *rest = text.replace("\n", " \n").split(" ")
                 return (self.units[first] if first else b"") + b"".join(map(self.table.__getitem__, rest))

@@ -100,6 +100,16 @@ def test_prefix_counts_are_exact(texts):
             assert token_counts.longest_prefix(steps, 3) == max((i + 1 for i, n in enumerate(want) if n <= 3), default=0)
 
 
+def test_prefix_counts_of_mixed_white_space():
+    lib, tool = encoding.Encoder(BYTE), token_counts.Counter(BYTE)
+    chance = random.Random(8)
+    parts = [" ", " ", "\xa0", "\xa0 ", " \xa0", "\t", "\r\n", "\n", "\u3000", "\u2028", "a", "foo.", "12"]
+    more = ["".join(chance.choice(parts) for _ in range(chance.randint(2, 14))) for _ in range(200)]
+    for t in ["word \xa0 \xa0 word", "Price: \xa0 \xa0 \xa0 10", *more]:
+        want = [len(lib.lib.encode(t[:i + 1], add_special_tokens=False).ids) for i in range(len(t))]
+        assert np.cumsum(np.frombuffer(tool.steps(t), np.int8), dtype=int).tolist() == want
+
+
 def test_levels_give_any_token():
     ids = np.random.default_rng(1).integers(0, 70000, 4000).astype(np.uint32)
     ids[::3] = 7
