@@ -21,7 +21,8 @@ inverted lists of the taken shingles alone bring every partner together.
 
 Defined results: a text that is null, empty or without words has no shingles, is linked with
 nothing and is its own component; a row without doc_id is counted but linked with nothing and
-its component is null; rows with one doc_id are one node. Other columns are not read.
+its component is null; rows with one doc_id are one document, whose set is the union of its
+rows' sets. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ SKETCH_BITS = 256
 BLOCK = 256
 #: Rows with whole lists or sets that are in a worker's memory at a time.
 BATCH_ROWS = 100
+#: Rows with texts and the heads of their sets that are in a worker's memory at a time.
+SET_ROWS = 1000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WHITE = np.zeros(256, bool)
@@ -101,12 +104,17 @@ def most_apart(a: int, b: int, percent: int) -> int:
     return a + b - 2 * -(-percent * (a + b) // (100 + percent))
 
 
+def _owns(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
+    """The set of each row: the joined one of a document with several texts, or that of its text."""
+    for text, joined in zip(column(batch, "text"), column(batch, "joined")):
+        yield np.frombuffer(joined.as_py(), np.int64) if joined.is_valid else shingles(text.as_py(), words)
+
+
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, names, heads, sketches = [], [], [], []
-            for text in column(batch, "text"):
-                own = shingles(text.as_py(), words)
+            for own in _owns(batch, words):
                 n = len(own)
                 sizes.append(n)
                 names.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
@@ -117,8 +125,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                  pa.array(heads, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                 names=["doc_id", "n", "class", "head", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, class binary, head array<bigint>, sketch binary")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, class binary, head array<bigint>, sketch binary")
 
 
 def _whole_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -126,11 +133,11 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owns = [shingles(t.as_py(), words) for t in column(batch, "text")]
+            owns = list(_owns(batch, words))
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "node"), pa.array([o.tobytes() for o in owns], pa.binary())], names=["node", "own"])
 
-    named = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(small_or_not(nodes), "node", "left_semi")
+    named = docs.withColumnRenamed("doc_id", "node").join(small_or_not(nodes), "node", "left_semi")
     return named.mapInArrow(run, "node bigint, own binary")
 
 
@@ -324,9 +331,46 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     return found.unionByName(_decided(docs, classes, across, words, percent)).distinct()
 
 
+def _joined(docs: DataFrame, several: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text, joined): a row for each of the named documents, with the union of its rows' sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owns = [shingles(t.as_py(), words) for t in column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(owns, pa.list_(pa.int64()))], names=["doc_id", "own"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owns = [np.sort(x.values.to_numpy()).tobytes() for x in column(batch, "own")]
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "doc_id"), pa.nulls(len(owns), pa.string()), pa.array(owns, pa.binary())], names=["doc_id", "text", "joined"])
+
+    rows = docs.select("doc_id", "text").join(small_or_not(several.select("doc_id")), "doc_id", "left_semi")
+    each = rows.mapInArrow(run, "doc_id bigint, own array<bigint>").select("doc_id", F.explode("own").alias("t")).distinct()
+    return each.groupBy("doc_id").agg(F.collect_list("t").alias("own")).mapInArrow(pack, "doc_id bigint, text string, joined binary")
+
+
 def components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), one row per row of docs."""
-    base = staged(_sets(docs, words, percent), "sets")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("joined"))
+    with small_batches(docs.sparkSession, SET_ROWS):
+        base = staged(_sets(docs, words, percent), "sets")
+    name = F.xxhash64("class")
+    several = staged(base.filter("doc_id is not null").groupBy("doc_id").agg(
+        F.count("*").alias("times"), F.min(name).alias("a"), F.max(name).alias("b")).filter("a <> b").select("doc_id", "times"), "several")
+    if not several.limit(1).count():
+        return _components(docs, base, words, percent)
+    # in between, a document with several texts is one row
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        joined = staged(_joined(docs, several, words), "joined")
+        rest = lambda rows: rows.join(small_or_not(several.select("doc_id")), "doc_id", "left_anti")
+        base = staged(rest(base).unionByName(_sets(joined, words, percent)), "sets")
+    found = _components(rest(docs).unionByName(joined), base, words, percent)
+    times = F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)))).alias("_")
+    return found.join(small_or_not(several), "doc_id", "left").select(*found.columns, times).drop("_")
+
+
+def _components(docs: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame:
     first = staged(base.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
     # a class is read from the row of its smallest doc_id
     classes = base.join(small_or_not(first.select("class", F.col("rep").alias("doc_id"))), ["class", "doc_id"]).select(

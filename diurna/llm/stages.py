@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diurna.llm import decontaminate, packing, quality_rules
-from diurna.llm.common import small_or_not
+from diurna.llm.common import small_or_not, staged
 from diurna.llm.jaccard_join import components
 from diurna.llm.suffix_dedup import cut
 
@@ -30,14 +30,31 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays.
 
-    Rows without words, or without an id, are in no group and stay.
+    Rows without words, or without an id, are in no group and stay. Different texts under one
+    id are documents of their own: they are compared, and stay or go, each for itself.
     """
-    groups = components(docs, SHINGLE_WORDS, SIMILARITY)
-    gone = groups.filter("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(small_or_not(gone), "doc_id", "left_anti").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    text = F.xxhash64("text")
+    ids = staged(docs.filter("doc_id is not null").groupBy("doc_id").agg(
+        F.count("*").alias("n"), (F.min(text) < F.max(text)).alias("several")).filter("n > 1").select("doc_id", "several"), "repeated")
+    several = ids.filter("several").select("doc_id")
+    nodes = docs.withColumn("node", F.col("doc_id"))
+    some = several.limit(1).count() > 0
+    if some:
+        nodes = docs.join(small_or_not(several.withColumn("_own", F.lit(True))), "doc_id", "left").select(
+            *COLUMNS, F.when(F.col("_own"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("node"))
+    groups = components(nodes.select(F.col("node").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILARITY)
+    if some:
+        named = nodes.join(small_or_not(several), "doc_id", "left_semi").select(F.col("node"), F.col("doc_id").alias("own")).distinct()
+        groups = staged(groups.filter("doc_id is not null").withColumnRenamed("doc_id", "node").join(small_or_not(named), "node", "left").select(
+            "node", "component_id", F.coalesce("own", "node").alias("own")), "groups")
+        first = groups.groupBy("component_id").agg(F.min(F.struct("own", "node")).alias("first"))
+        gone = groups.join(first, "component_id").filter("node <> first.node").select("node").distinct()
+    else:
+        gone = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("node")).distinct()
+    kept = nodes.join(small_or_not(gone), "node", "left_anti").select(*COLUMNS)
     # rows that repeat one id with one text are a group as well
-    ids = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    ids = small_or_not(ids)
+    ids = small_or_not(ids.select("doc_id"))
     twice = kept.join(ids, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
     return kept.join(ids, "doc_id", "left_anti").select(*COLUMNS).unionByName(twice)
 

@@ -222,6 +222,23 @@ def test_jaccard_rows_without_id_and_repeated_ids(spark, nothing):
     assert jaccard_join.components(nothing).collect() == []
 
 
+def test_jaccard_documents_with_several_texts(spark, folder):
+    import duckdb
+
+    from diurna.llm.sql import OP8
+
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    more = f"{a} more"
+    texts, ids = [a, a, b, b, f"{a} {b}", a, more, "", b, b], [5, 7, 7, 9, 8, 11, 11, 12, 12, 12]
+    docs = table(spark, texts, ids)
+    got = sorted(tuple(r) for r in jaccard_join.components(docs).collect())
+    con = duckdb.connect()
+    docs.coalesce(1).write.parquet(f"{folder}/documents")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents/*.parquet'")
+    assert got == sorted(con.execute(OP8).fetchall())
+    assert {i: c for i, _, c in got} == {5: 5, 7: 7, 8: 7, 9: 9, 11: 5, 12: 9}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)], "u long, v long")
     assert dict(map(tuple, connected.roots(links).collect())) == {**{i: 0 for i in range(1, 41)}, 101: 100, 103: 100}

@@ -63,3 +63,13 @@ def test_rows_without_id_or_text_go_on(spark):
     docs = spark.createDataFrame([(None, text, "en", "a", 1), (1, None, None, None, None), (2, text, "en", "a", 1), (2, text, "en", "a", 1)],
                                  "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id or 0 for r in stages.near_duplicate_stage(spark, docs, SMALL).collect()) == [0, 1, 2]
+
+
+def test_texts_that_share_an_id_stay_or_go_each_for_itself(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (7, a), (7, b), (7, b), (9, b), (3, c), (3, c + " end"), (None, a), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in stages.near_duplicate_stage(spark, docs, SMALL).collect()]
+    assert len([g for g in got if g[0] == 3]) == 1
+    assert sorted((g for g in got if g[0] != 3), key=str) == sorted([(5, a), (7, b), (None, a), (4, None), (4, "")], key=str)
