@@ -17,8 +17,11 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where none is set (tests), a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _local_folder()).rstrip("/")
+    """The folder in spark.checkpoint.dir; where none is set, a local one, but never on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (folder or _local_folder()).rstrip("/")
 
 
 @lru_cache(maxsize=1)

@@ -10,6 +10,7 @@ so clashing names do no harm. Three-word windows are compared by their 64-bit xx
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -71,41 +72,64 @@ def _repeated(words: Column) -> Column:
     return _let(windows, marked)
 
 
+def _measured(text: Column) -> Column:
+    """The measures of a text as one struct.
+
+    Words, lines and hashes are bound to lambda variables, never to columns: a filter on a
+    verdict is pushed below the projection with its expressions written out, and a column
+    named inside a lambda would then be computed again for every word.
+    """
+
+    def of_parts(t: Column, words: Column, lines: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.char_length(F.translate(t, " " + WHITE, "")).cast("long").alias("word_chars"),
+            (F.char_length(t) - F.char_length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+            F.size(lines).cast("long").alias("n_word_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+            F.size(F.filter(words, lambda w: w.endswith("!"))).cast("long").alias("n_bang_words"),
+            _repeated(words).cast("long").alias("n_repeat_words"),
+        )
+
+    def words(t: Column) -> Column:
+        return F.array_remove(F.split(F.translate(t, WHITE, " " * len(WHITE)), " "), "")
+
+    def lines(t: Column) -> Column:
+        return F.filter(F.split(t, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+
+    return _let(F.coalesce(text, F.lit("")),
+                lambda t: _let(words(t), lambda w: _let(lines(t), lambda x: of_parts(t, w, x))))
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_word_lines", "n_dup_lines", "n_stop_words", "n_bang_words", "n_repeat_words")
+
+
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measures of the rules as further columns."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    words = F.array_remove(F.split(F.translate(t, WHITE, " " * len(WHITE)), " "), "")
-    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    return (
-        docs.withColumns({"_words": words, "_lines": lines})
-        .withColumns({
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.char_length(F.translate(t, " " + WHITE, "")).cast("long"),
-            "n_symbols": (F.char_length(t) - F.char_length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
-            "n_word_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
-            "n_bang_words": F.size(F.filter("_words", lambda w: w.endswith("!"))).cast("long"),
-            "n_repeat_words": _repeated(F.col("_words")).cast("long"),
-        })
-        .drop("_words", "_lines")
-    )
-
-
-def passes(rules: tuple[Rule, ...]) -> Column:
+    return docs.withColumn("_m", _measured(F.col(text))).withColumns({n: F.col("_m")[n] for n in MEASURES}).drop("_m")
+
+
+def passes(rules: tuple[Rule, ...], measure: Callable[[str], Column] = F.col) -> Column:
     """The table as one boolean expression; a rule per nothing (0 words, 0 lines) is compared as 0."""
     verdict = F.lit(True)
     for r in rules:
         # measure against bound * per: no division, so no special case at zero
-        per = F.col(r.per).cast("double") if r.per else F.lit(1.0)
+        per = measure(r.per).cast("double") if r.per else F.lit(1.0)
         if r.low is not None:
-            verdict = verdict & (F.col(r.measure) >= F.lit(float(r.low)) * per)
+            verdict = verdict & (measure(r.measure) >= F.lit(float(r.low)) * per)
         if r.high is not None:
-            verdict = verdict & (F.col(r.measure) <= F.lit(float(r.high)) * per)
+            verdict = verdict & (measure(r.measure) <= F.lit(float(r.high)) * per)
     return verdict
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """docs with measures, base_failed and kept."""
-    out = measures(docs, text).withColumn("base_failed", ~passes(BASE))
-    return out.withColumn("kept", ~F.col("base_failed") & passes(rules))
+    """docs with measures, base_failed and kept, all from one expression: whoever filters on one pays once."""
+
+    def verdicts(m: Column) -> Column:
+        base = passes(BASE, lambda n: m[n])
+        return F.struct(*[m[n].alias(n) for n in MEASURES], (~base).alias("base_failed"),
+                        (base & passes(rules, lambda n: m[n])).alias("kept"))
+
+    out = docs.withColumn("_m", _let(_measured(F.col(text)), verdicts))
+    return out.withColumns({n: F.col("_m")[n] for n in (*MEASURES, "base_failed", "kept")}).drop("_m")

@@ -1,5 +1,8 @@
 """The pipeline's stages against plain versions on a small corpus."""
 
+import re
+import time
+
 import brute
 import corpus_pipeline
 import public_tokenizers
@@ -73,3 +76,31 @@ def test_texts_that_share_an_id_stay_or_go_each_for_itself(spark):
     got = [(r.doc_id, r.text) for r in stages.near_duplicate_stage(spark, docs, SMALL).collect()]
     assert len([g for g in got if g[0] == 3]) == 1
     assert sorted((g for g in got if g[0] != 3), key=str) == sorted([(5, a), (7, b), (None, a), (4, None), (4, "")], key=str)
+
+
+def test_quality_stage_is_linear_in_text_length(spark):
+    def docs(n):
+        text = " ".join(f"the{i % 977} of" for i in range(n // 2))
+        return spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def seconds(n):
+        start = time.monotonic()
+        assert len(stages.quality_rules_stage(spark, docs(n), SMALL).collect()) <= 1
+        return time.monotonic() - start
+
+    seconds(100)
+    short, long = min(seconds(2_000) for _ in range(2)), min(seconds(20_000) for _ in range(2))
+    assert long < 20 * short + 2
+    # lambdas of the pushed filter refer to lambda variables only: the text is split once into words, once into lines
+    plan = stages.quality_rules_stage(spark, docs(100), SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"split\(", plan)) == 2
+
+
+def test_pipeline_with_long_texts(spark, folder):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    text = " ".join(f"the word{i % 4001} of{i}" for i in range(7_000))
+    long = spark.createDataFrame([(10**6, text, "en", "s", len(text)), (10**6 + 1, None, None, None, None)], docs.schema)
+    docs.unionByName(long).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, folder).collect()
+    assert sum(r.length for r in rows if r.doc_id == 10**6) > 20_000
