@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diurna.llm import (decontaminate, jaccard_join, knn_quality, license_scan, packing, quality_rules, sql,
-                        suffix_dedup, token_counts, token_store, url_model)
+from diurna.llm import (decontaminate, fill_middle, jaccard_join, knn_quality, license_scan, line_dedup, merkle, packing,
+                        quality_rules, sql, suffix_dedup, token_counts, token_store, url_model)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -73,9 +73,22 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.digests(table(spark, folder, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.documents_manifest(table(spark, folder, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_quality_neighbours, op3_url_filter, op4_benchmark_decontamination, op5_token_store, op6_token_counts, op7_mixture_packing,
-                            op8_ngram_jaccard_join, op9_suffix_array_dedup, op10_quality_rules)
+                            op8_ngram_jaccard_join, op9_suffix_array_dedup, op10_quality_rules, op11_line_dedup,
+                            op12_merkle_manifest, op13_fill_in_middle)
 }
 #: The others need a library, a trained model or its floating-point order; tests hold them against plain versions.
 SQL: dict[str, str] = {
@@ -83,4 +96,7 @@ SQL: dict[str, str] = {
     "op8_ngram_jaccard_join": sql.OP8,
     "op9_suffix_array_dedup": sql.OP9,
     "op10_quality_rules": sql.OP10,
+    "op11_line_dedup": sql.OP11,
+    "op12_merkle_manifest": sql.OP12,
+    "op13_fill_in_middle": sql.OP13,
 }

@@ -93,3 +93,113 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        AND 50 * n_stops >= n_words AND 2 * n_dup_lines <= n_lines AND 10 * n_bangs <= 3 * n_words AS kept
 FROM base
 """
+
+_UNIQUE = "(SELECT doc_id, coalesce(text, '') AS text, count(*) AS copies FROM documents GROUP BY doc_id, text)"
+
+OP11 = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, copies, string_split(text, chr(10)) AS ls
+  FROM (SELECT doc_id, text, sum(copies) AS copies FROM {_UNIQUE} GROUP BY doc_id, text)),
+line AS (
+  SELECT rid, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT rid, i, ls[i] AS line FROM (SELECT rid, ls, unnest(range(1, len(ls) + 1)) AS i FROM doc))),
+common AS (SELECT key FROM line WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rid) >= 10),
+left_over AS (
+  SELECT rid, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS text
+  FROM line WHERE key NOT IN (SELECT key FROM common) GROUP BY rid)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(left_over.n, 0) AS BIGINT) AS n_dropped,
+       sha256(coalesce(left_over.text, '')) AS kept_sha256
+FROM (SELECT *, unnest(range(copies::BIGINT)) FROM doc) LEFT JOIN left_over USING (rid)
+"""
+
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {0})"
+_CRC_BIT = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+
+
+def _crc_step() -> str:
+    """One byte of the CRC-32: eight shifts."""
+    out = "c"
+    for _ in range(8):
+        out = f"list_transform([{out}], lambda c: {_CRC_BIT})[1]"
+    return out
+
+
+OP12 = rf"""
+WITH RECURSIVE crc AS (
+  SELECT doc_id, s, 0 AS k, 4294967295::BIGINT AS c FROM (SELECT DISTINCT doc_id, doc_id::VARCHAR AS s FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL
+  SELECT doc_id, s, k + 1, {_crc_step()} FROM (
+    SELECT doc_id, s, k, xor(c, ascii(s[k + 1])::BIGINT) AS c FROM crc WHERE k < length(s))),
+tampered AS (SELECT doc_id, xor(c, 4294967295) % 3 = 0 AS hit FROM crc WHERE k = length(s)),
+made AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, {_LEAF.format(_FIELD.format("text"))} AS leaf,
+         CASE WHEN hit THEN {_LEAF.format(_FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))}
+              ELSE {_LEAF.format(_FIELD.format("text"))} END AS changed
+  FROM documents LEFT JOIN tampered USING (doc_id)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS idx,
+         count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM made),
+node AS (
+  SELECT tree, 0 AS lvl, idx, leaf AS h, n FROM ranked
+  UNION ALL
+  SELECT tree, lvl + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 7) // 8)
+  FROM node WHERE n > 1 GROUP BY tree, lvl, idx // 8),
+subroot AS (SELECT tree, h AS subroot, lvl AS height FROM node WHERE n = 1),
+upper AS (
+  SELECT 0 AS lvl, tree AS idx, subroot AS h, (SELECT count(*) FROM subroot) AS n FROM subroot
+  UNION ALL
+  SELECT lvl + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 7) // 8)
+  FROM upper WHERE n > 1 GROUP BY lvl, idx // 8),
+root AS (SELECT h AS root FROM upper WHERE n = 1),
+beside AS (
+  SELECT a.tree, a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS before,
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS after
+  FROM node AS a JOIN node AS b ON a.tree = b.tree AND a.lvl = b.lvl AND a.idx // 8 = b.idx // 8
+  WHERE a.n > 1 GROUP BY a.tree, a.lvl, a.idx),
+over AS (
+  SELECT a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS before,
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS after
+  FROM upper AS a JOIN upper AS b ON a.lvl = b.lvl AND a.idx // 8 = b.idx // 8 WHERE a.n > 1 GROUP BY a.lvl, a.idx),
+step AS (
+  SELECT rid, beside.lvl, beside.before, beside.after
+  FROM ranked JOIN beside ON ranked.tree = beside.tree AND beside.idx = ranked.idx // (8 ** beside.lvl)::BIGINT
+  UNION ALL
+  SELECT rid, height + over.lvl, over.before, over.after
+  FROM ranked JOIN subroot USING (tree) JOIN over ON over.idx = ranked.tree // (8 ** over.lvl)::BIGINT),
+fold AS (
+  SELECT rid, 0 AS lvl, changed AS h FROM ranked
+  UNION ALL
+  SELECT fold.rid, fold.lvl + 1, sha256(step.before || fold.h || step.after) FROM fold JOIN step ON fold.rid = step.rid AND fold.lvl = step.lvl),
+proof AS (SELECT rid, string_agg(before || after, '' ORDER BY lvl) AS siblings FROM step GROUP BY rid),
+ends AS (SELECT rid, arg_max(h, lvl) AS folded_root FROM fold GROUP BY rid)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM ranked JOIN subroot USING (tree) JOIN ends USING (rid) LEFT JOIN proof USING (rid), root
+"""
+
+OP13 = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+cut AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^
+]*
+|[^
+]+') AS ls,
+         ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4
+  FROM doc),
+part AS (
+  SELECT doc_id, text, len(ls) AS n, least(h1 % (len(ls) + 1), h2 % (len(ls) + 1)) AS a, greatest(h1 % (len(ls) + 1), h2 % (len(ls) + 1)) AS b, ls,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut),
+three AS (
+  SELECT doc_id, text, n, form, array_to_string(ls[1:a], '') AS p, array_to_string(ls[a + 1:b], '') AS m, array_to_string(ls[b + 1:], '') AS s
+  FROM part)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM three
+"""
