@@ -1,8 +1,15 @@
 """Record scans of the XML health export.
 
-Each export is one file per person and is read by one task as a stream of
-``Record`` elements, so the work spreads over people. Predicates are not pushed
-into XML: land the typed tables as Parquet once and query those.
+A file is read as text rows that end at the opening ``<Record`` of the next one, so Spark cuts
+a large export into byte ranges: each range owns the records that begin in it, and the reader
+carries a record and its metadata children over the edge. One export of any size is thus read
+by many tasks. A row is one record; what stands between two records (the header, workouts)
+travels with the row before it and is cut off there.
+
+The start tag is found by a pattern that knows quotes, so ``>`` inside an attribute's value does
+not end it; the record alone is then given to the XML parser, once: the parsed row comes out of
+a generator, below which no later filter is pushed. Text that is no whole start tag of a record
+gives no row. Comments are not recognised: a record inside one is read.
 """
 
 from __future__ import annotations
@@ -14,8 +21,12 @@ from pyspark.sql import types as T
 from diurna import schemas as S
 from diurna.functions import exprs as E
 
+OPENING = "<Record"
+#: White space, then anything up to the closing mark that no quotes hide.
+START_TAG = r"""^(\s(?:[^"'<>]|"[^"<]*+"|'[^'<]*+')*+)>"""
+ATTRIBUTES = ("type", "sourceName", "unit", "startDate", "endDate", "value")
 RECORD = T.StructType([
-    *[T.StructField(f"_{n}", T.StringType()) for n in ("type", "sourceName", "unit", "startDate", "endDate", "value")],
+    *[T.StructField(f"_{n}", T.StringType()) for n in ATTRIBUTES],
     T.StructField("MetadataEntry", T.ArrayType(T.StructType([
         T.StructField("_key", T.StringType()), T.StructField("_value", T.StringType())]))),
 ])
@@ -35,10 +46,18 @@ def user_of(path: Column, pattern: str = r"user[_=](\d+)") -> Column:
 def read_health_xml(spark: SparkSession, path: str | list[str], types: list[str] | None = None,
                     start: str | None = None, end: str | None = None) -> DataFrame:
     """All records with their attributes; ``start`` and ``end`` are inclusive start dates."""
-    raw = spark.read.format("xml").option("rowTag", "Record").schema(RECORD).load(path).select(
-        "*", F.col("_metadata.file_path").alias("file"))
+    raw = spark.read.option("lineSep", OPENING).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("rest"))
+    if types:  # records that do not even name a wanted type are not parsed
+        named = F.col("rest").rlike("type\\s*=\\s*[\"'][^\"']*&")  # spelt with an entity
+        for t in types:
+            named = named | F.contains(F.col("rest"), F.lit(t))
+        raw = raw.filter(named)
+    tagged = raw.select("file", "rest", F.regexp_extract("rest", START_TAG, 1).alias("tag"))
+    whole = F.when(F.endswith(F.col("tag"), F.lit("/")), F.concat(F.lit(OPENING), "tag", F.lit(">"))).otherwise(
+        F.concat(F.lit(OPENING), F.substring_index("rest", "</Record", 1), F.lit("</Record>")))
+    parsed = F.inline(F.array(F.when(F.col("tag") != "", F.from_xml(whole, RECORD))))
     motion = F.get(F.filter("MetadataEntry", lambda m: m["_key"] == S.MOTION_METADATA_KEY), F.lit(0))["_value"]
-    r = raw.select(
+    r = tagged.select("file", parsed).filter("_type IS NOT NULL OR _startDate IS NOT NULL").select(
         "file", user_of(F.col("file")).alias("user_id"), F.col("_type").alias("type"), F.col("_sourceName").alias("source_name"),
         F.col("_unit").alias("unit"), F.col("_value").alias("value"), motion.alias("motion"),
         E.local_timestamp("_startDate").alias("start_ts"), E.local_timestamp("_endDate").alias("end_ts"))

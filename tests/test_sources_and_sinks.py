@@ -1,7 +1,9 @@
 import datetime as dt
 import json
+import xml.etree.ElementTree as ET
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from diurna.sources import health_xml as X
@@ -54,6 +56,58 @@ def test_xml_date_and_type_filters(spark, folder):
     assert [r.value for r in only.collect()] == ["-4"]
 
 
+def odd_export(folder, records=60):
+    """Records with children, quotes, entities, marks inside values and other elements between them."""
+    rows = ["<?xml version='1.0' encoding='UTF-8'?>\r\n<!DOCTYPE HealthData [\n<!ELEMENT Record (MetadataEntry*)>\n<!ATTLIST Record type CDATA #REQUIRED>\n]>\n<HealthData locale='en'>\n"]
+    for i in range(records):
+        start, end = f"2024-01-{1 + i % 28:02d} 08:00:00 -0800", f"2024-01-{1 + i % 28:02d} 08:{i % 60:02d}:00 -0800"
+        attributes = [f'type="HKQuantityTypeIdentifierHeartRate"', f"sourceName='Kim&apos;s &quot;{i}&quot; &#x231a; &gt; > a=\"b\"'", 'unit="count/min"',
+                      f'device="&lt;Record type=&quot;no&quot;/&gt; /> {"y" * (i % 13)}"', f'startDate="{start}"', f'endDate="{end}"', f'value="{60 + i}"']
+        tag = ("\n  " if i % 3 else " ").join(attributes)
+        if i % 4 == 0:
+            rows.append(f" <Record {tag}/>\n")
+        else:
+            word = "sedentary" if i % 2 else "active"
+            rows.append(f' <Record\t{tag}>\r\n  <MetadataEntry key="Other" value="x>y"/>\n'
+                        f'  <MetadataEntry value="{word}" key="HKMetadataKeyHeartRateMotionContext"/>\n </Record>\n')
+        if i % 10 == 9:
+            rows.append('<Workout type="run"><MetadataEntry key="HKMetadataKeyHeartRateMotionContext" value="active"/></Workout>\n<RecordSet n="1"/>\n')
+    path = Path(folder) / "user_9"
+    path.mkdir()
+    (path / "export.xml").write_bytes("".join([*rows, "</HealthData>\n"]).encode())
+    return path / "export.xml"
+
+
+@pytest.mark.parametrize("size", [61, 173, 512, 1000, 4096])
+def test_one_export_is_read_in_ranges(spark, folder, size):
+    path = odd_export(folder)
+    want = []
+    for r in ET.parse(path).getroot().iter("Record"):
+        motion = [m.get("value") for m in r.iter("MetadataEntry") if m.get("key") == "HKMetadataKeyHeartRateMotionContext"]
+        day = dt.datetime.fromisoformat
+        want.append((9, r.get("type"), r.get("sourceName"), r.get("unit"), r.get("value"), motion[0] if motion else None,
+                     day(r.get("startDate")[:19]), day(r.get("endDate")[:19])))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        records = X.read_health_xml(spark, str(path))
+        got = records.drop("file").collect()
+        filled = {r.p for r in records.select(F.spark_partition_id().alias("p")).distinct().collect()}
+        assert X.read_health_xml(spark, str(path), types=["HKQuantityTypeIdentifierStepCount"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(want) == 60
+    assert len(filled) > 4
+
+
+def test_xml_without_records(spark, folder):
+    path = Path(folder) / "user_1"
+    path.mkdir()
+    for name, text in {"a": "", "b": "<HealthData></HealthData>", "c": "\n<HealthData><Record type='x' startDate='2024-01-01", "d": "<a><Record></Record></a>"}.items():
+        (path / f"{name}.xml").write_text(text)
+    assert X.read_health_xml(spark, str(path)).collect() == []
+
+
 def test_json_layouts(spark, folder):
     root = Path(folder)
     nested = {"data": {"metrics": [
