@@ -173,6 +173,34 @@ def as_of(daily: DataFrame, baselines: DataFrame) -> DataFrame:
                        F.col("b.std").alias("baseline_std"))
 
 
+def as_known(requests: DataFrame, versions: DataFrame, keys: list[str]) -> DataFrame:
+    """The version that was valid at ``date`` as it was known at ``known_at``, for each request.
+
+    versions: an append-only table with ``as_of`` (from when it is valid) and ``effective_ts`` (when
+    it became known); a correction is a later row for the same ``as_of``. Wanted is the latest
+    ``as_of`` up to the date, and of that the latest row, among what was known by then.
+
+    No history is sorted. Versions lie in blocks of one month of ``as_of``; a block's summary is
+    when anything in it was first known. A request meets its own month and at most one earlier
+    one, the last in which something was known, so a version meets only requests of its block.
+    Requests without an answer have nulls.
+    """
+    asked = [*keys, "date", "known_at"]
+    month = lambda c: F.trunc(c, "month")
+    rest = [c for c in versions.columns if c not in (*keys, "as_of", "effective_ts")]
+    v = versions.select(*keys, month("as_of").alias("_block"), "as_of", "effective_ts", F.struct(*rest).alias("_rest"))
+    blocks = v.groupBy(*keys, "_block").agg(F.min("effective_ts").alias("first_known"))
+    summary = blocks.groupBy(*keys).agg(F.collect_list(F.struct("_block", "first_known")).alias("_blocks"))
+    known = lambda b: (b["_block"] < month(F.col("date"))) & (b["first_known"] <= F.col("known_at"))
+    before = F.array_max(F.transform(F.filter("_blocks", known), lambda b: b["_block"]))
+    wanted = requests.select(*asked).distinct().join(summary, keys).select(
+        *asked, F.explode(F.array_compact(F.array(month("date"), before))).alias("_block"))
+    found = wanted.join(v, [*keys, "_block"]).filter("as_of <= date AND effective_ts <= known_at")
+    best = found.groupBy(*asked).agg(F.max_by(F.struct("as_of", "effective_ts", "_rest"), F.struct("as_of", "effective_ts")).alias("_b"))
+    return requests.join(best, asked, "left").select(
+        *requests.columns, "_b.as_of", "_b.effective_ts", *[F.col(f"_b._rest.{c}").alias(c) for c in rest])
+
+
 def baseline_history(baselines: DataFrame, features: dict[str, float], limit: int = 10, latest: bool = False) -> DataFrame:
     """First (or last) ``limit`` snapshot dates per user with the metrics side by side."""
     order = F.col("as_of").desc() if latest else F.col("as_of").asc()

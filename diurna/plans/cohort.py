@@ -10,6 +10,8 @@ from diurna.operators import modelling as MO
 from diurna.operators import rolling as R
 from diurna.plans.nights import r
 from diurna.plans.registry import query, view
+from diurna.session import scratch
+from diurna.sources.stored import StoredTable
 
 K = ["user_id", "date"]
 CLASSES = {"benzodiazepine": ["ring"], "ssri": ["widget"]}
@@ -99,6 +101,26 @@ query("upserted_episodes", "K7", """
             "user_id", "start_date", "rater_id", (F.col("severity") + 10).alias("severity"),
             F.expr("labeled_at + interval 1 day").alias("labeled_at"), "rec_id"),
         ["user_id", "start_date", "rater_id"], [F.col("labeled_at"), F.col("rec_id")]))
+
+
+def stored_episodes(t):
+    """Two batches into a stored table; the second meets a seventh of the rows."""
+    columns = ["user_id", "start_date", "rater_id", "severity", "labeled_at", "rec_id"]
+    first = t.episodes.select(*columns)
+    table = StoredTable(t.spark, scratch(t.spark), first.schema, ("user_id", "start_date", "rater_id"), buckets=8, bucket_by=("user_id",))
+    newest = [F.col("labeled_at"), F.col("rec_id")]
+    table.upsert(first, newest)
+    table.upsert(first.filter("rec_id % 7 = 0").withColumns(
+        {"severity": F.col("severity") + 10, "labeled_at": F.expr("labeled_at + interval 1 day")}), newest)
+    return table.read()
+
+
+query("stored_episodes", "K7", """
+  WITH n AS (
+    SELECT user_id, start_date, rater_id, severity, labeled_at, rec_id FROM episodes UNION ALL
+    SELECT user_id, start_date, rater_id, severity + 10, labeled_at + INTERVAL 1 DAY, rec_id FROM episodes WHERE rec_id % 7 = 0)
+  SELECT user_id, start_date, rater_id, severity, labeled_at, rec_id FROM n
+  QUALIFY row_number() OVER (PARTITION BY user_id, start_date, rater_id ORDER BY labeled_at DESC, rec_id DESC) = 1""")(stored_episodes)
 query("first_row_per_date", "K2", """
   SELECT user_id, start_ts::DATE AS date, rec_id, start_ts FROM sleep
   QUALIFY row_number() OVER (PARTITION BY user_id, start_ts::DATE ORDER BY start_ts, rec_id) = 1""")(
@@ -149,6 +171,29 @@ query("bitemporal_rows", "K8", """
     SELECT user_id, date AS as_of, 'mean' AS feature_name, mean AS value FROM sleep_state UNION ALL
     SELECT user_id, date, 'std', std FROM sleep_state)""")(
     lambda t: CO.long_snapshot(sleep_snaps(t), ["mean", "std"]))
+
+
+def known_versions(t):
+    """Sleep baselines as first known, and a correction of some that came twelve days after."""
+    first = sleep_snaps(t)
+    late = first.filter("(user_id + unix_date(as_of)) % 5 = 0").withColumns(
+        {"mean": F.col("mean") + 1, "effective_ts": F.col("effective_ts") + F.expr("interval 12 days")})
+    return first.unionByName(late)
+
+
+query("baseline_as_known", "K8 J14", """
+  WITH v AS (
+    SELECT user_id, as_of, effective_ts, mean, std FROM baselines WHERE feature_name = 'sleep' UNION ALL
+    SELECT user_id, as_of, effective_ts + INTERVAL 12 DAY, mean + 1, std FROM baselines
+    WHERE feature_name = 'sleep' AND (user_id + (as_of - DATE '1970-01-01')) % 5 = 0),
+  q AS (SELECT user_id, date, date::TIMESTAMP + to_days((CASE user_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 15 END)::INTEGER) AS known_at FROM act_days)
+  SELECT q.user_id, q.date, q.known_at, v.as_of, v.effective_ts, round(v.mean, 6) AS mean, round(v.std, 6) AS std
+  FROM q LEFT JOIN v ON q.user_id = v.user_id AND v.as_of <= q.date AND v.effective_ts <= q.known_at
+  QUALIFY row_number() OVER (PARTITION BY q.user_id, q.date ORDER BY v.as_of DESC NULLS LAST, v.effective_ts DESC) = 1""")(
+    lambda t: CO.as_known(
+        D.daily_activity(t.activity).select(*K, (
+            F.col("date").cast("timestamp_ntz") + F.expr("make_dt_interval(CASE user_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 15 END)")).alias("known_at")),
+        known_versions(t).select("user_id", "as_of", "effective_ts", "mean", "std"), ["user_id"]))
 query("personal_sleep_baseline", "M1", """
   WITH n AS (SELECT * FROM nights QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY date DESC) <= 30)
   SELECT user_id, round(avg(sleep_hours), 6) AS mean_sleep, round(stddev_samp(sleep_hours), 6) AS std_sleep,

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from diurna.functions import exprs as E
 from diurna.plans.registry import query
+from diurna.session import scratch
+from diurna.sources.stored import StoredTable
 
 query("records_in_date_range", "P1 L1", """
   SELECT rec_id, user_id, start_ts, end_ts FROM sleep
@@ -34,6 +36,29 @@ query("record_identifiers", "P4", """
         F.date_format("start_ts", "yyyy/MM/dd HH:mm:ss").alias("a"),
         F.date_format("end_ts", "yyyy/MM/dd HH:mm:ss").alias("b"))
     .select("rec_id", E.record_id("source_name", "a", "b", "activity_type").alias("record_key")))
+
+
+def keyed(activity):
+    return activity.select(
+        "rec_id", "user_id", "value", "source_name", "activity_type", F.date_format("start_ts", "yyyy/MM/dd HH:mm:ss").alias("a"),
+        F.date_format("end_ts", "yyyy/MM/dd HH:mm:ss").alias("b"), "start_ts").select(
+        E.record_id("source_name", "a", "b", "activity_type").alias("record_key"), "rec_id", "user_id", "start_ts", "value")
+
+
+def found_records(t):
+    """Records laid out by key, and a list of keys looked up, every second of which is absent."""
+    rows = keyed(t.activity)
+    table = StoredTable(t.spark, scratch(t.spark), rows.schema, ("record_key", "rec_id"), buckets=16, bucket_by=("record_key",), bloom=("record_key",))
+    table.upsert(rows, [F.col("rec_id")])
+    some = rows.orderBy("rec_id").limit(40).select("record_key", "rec_id")
+    return table.lookup(some.unionByName(some.select(F.concat("record_key", F.lit("-absent")).alias("record_key"), "rec_id")))
+
+
+query("records_by_id", "P4", """
+  SELECT replace(replace(source_name || '_' || strftime(start_ts, '%Y/%m/%d %H:%M:%S') || '_'
+         || strftime(end_ts, '%Y/%m/%d %H:%M:%S') || '_' || activity_type, ':', '-'), '/', '-') AS record_key,
+         rec_id, user_id, start_ts, round(value, 6) AS value
+  FROM activity WHERE rec_id IN (SELECT rec_id FROM activity ORDER BY rec_id LIMIT 40)""")(found_records)
 query("delete_by_period", "P5", """
   SELECT rec_id, user_id, start_ts FROM sleep
   WHERE NOT (start_ts BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-15')""")(
