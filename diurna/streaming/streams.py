@@ -2,7 +2,8 @@
 
 Watermarks need a zoned timestamp, so wall-clock columns are cast under the UTC
 session zone. Late rows beyond the watermark are dropped from state and show in
-the query progress; a batch re-run repairs them.
+the query progress; `upkeep.admit` sets them aside beforehand and `upkeep.repair` makes
+their days anew.
 """
 
 from __future__ import annotations
@@ -57,7 +58,8 @@ def baseline_state(stream: DataFrame, metric: str, value: str = "value") -> Data
 def sleep_sessions(stream: DataFrame, gap_minutes: int = 225) -> DataFrame:
     """Merged sleep sessions; the gap of each episode is its own length plus the merge threshold.
 
-    Matches the batch windows unless an episode lies inside an earlier, longer one.
+    Matches the batch windows unless an episode lies inside an earlier, longer one; for those
+    too see `sessions.merged_windows`.
     """
     length = F.ceil((E.micros("end_ts") - E.micros("start_ts")) / E.MINUTE_US)
     gap = F.concat((length + gap_minutes).cast("string"), F.lit(" minutes"))
