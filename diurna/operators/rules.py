@@ -7,12 +7,14 @@ arrays in rule order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diurna import schemas as S, wording
 from diurna.functions import exprs as E
+from diurna.operators.thresholds import limit_of
 
 KEY = ["user_id", "date"]
 LEVELS = ["low", "moderate", "high", "critical"]
@@ -35,14 +37,14 @@ def level_number(level: Column) -> Column:
 def depression_risk(df: DataFrame) -> DataFrame:
     """Level from the score, raised by biomarkers; upper edges belong to the next band."""
     phq, sleep, steps = c("phq"), c("sleep_hours"), c("steps")
-    at = S.PHQ_MAX
-    bands = [phq < at["none"], phq < at["mild"], phq < at["moderate"], phq < at["severe"]]
+    at = limit_of(df)
+    bands = [phq < at(f"phq_{k}_max") for k in ("none", "mild", "moderate", "severe")]
 
     def pick(*values: object) -> Column:
         return E.ladder(*zip(bands, values[:-1]), otherwise=values[-1])
 
     factor = pick(None, wording.MILD_PHQ_9, wording.MODERATE_PHQ_9, wording.SEVERE_PHQ_9, wording.VERY_SEVERE_PHQ)
-    short, long, still = sleep < S.NORMAL_SLEEP_MIN, sleep > S.HYPERSOMNIA_HOURS, steps <= S.SEVERE_LOW_STEPS
+    short, long, still = sleep < at("normal_sleep_min"), sleep > at("hypersomnia_hours"), steps <= at("severe_low_steps")
     modifier = (E.ladder((short, 1.2), (long, 1.1), otherwise=1.0) * E.ladder((still, 1.2), otherwise=1.0))
     base = pick("low", "low", "moderate", "high", "critical")
     raised = (modifier > 1.3) & (base == "moderate")
@@ -64,15 +66,15 @@ def depression_risk(df: DataFrame) -> DataFrame:
 
 
 def mania_risk(df: DataFrame) -> DataFrame:
-    asrm, at = c("asrm"), S.ASRM_MAX
-    bands = [asrm < at["none"], asrm < at["hypomanic"], asrm < at["manic_moderate"]]
+    asrm, at = c("asrm"), limit_of(df)
+    bands = [asrm < at(f"asrm_{k}_max") for k in ("none", "hypomanic", "manic_moderate")]
     pick = lambda *v: E.ladder(*zip(bands, v[:-1]), otherwise=v[-1])
     factor = pick(None, wording.ELEVATED_ASRM_SCORE, wording.HIGH_ASRM_SCORE, wording.VERY_HIGH_ASRM)
     urgent = c("psychotic")
     return df.select(
         *KEY, F.when(urgent, "critical").otherwise(pick("low", "moderate", "high", "critical")).alias("risk_level"),
-        E.messages((factor.isNotNull(), factor), (c("sleep_hours") < S.REDUCED_SLEEP, wording.REDUCED_SLEEP),
-                   (c("steps") >= S.ELEVATED_STEPS, "hyperactivity"), (urgent, wording.PSYCHOTIC_FEATURES)).alias("risk_factors"),
+        E.messages((factor.isNotNull(), factor), (c("sleep_hours") < at("reduced_sleep"), wording.REDUCED_SLEEP),
+                   (c("steps") >= at("elevated_steps"), "hyperactivity"), (urgent, wording.PSYCHOTIC_FEATURES)).alias("risk_factors"),
         F.when(urgent, wording.MANIC_EPISODE_WITH).otherwise(
             pick(wording.NO_MANIC_SYMPTOMS, wording.HYPOMANIC_SYMPTOMS_PRESENT, wording.MANIC_EPISODE_LIKELY,
                  wording.SEVERE_MANIC_EPISODE)).alias("rationale"),
@@ -81,12 +83,12 @@ def mania_risk(df: DataFrame) -> DataFrame:
 
 def mixed_risk(df: DataFrame) -> DataFrame:
     """Count of mixed features, level and the pole that outweighs the other by half."""
-    phq, asrm = c("phq"), c("asrm")
+    phq, asrm, at = c("phq"), c("asrm"), limit_of(df)
     flags = [(c("sleep_disturbance"), wording.SLEEP_DISTURBANCE), (c("racing_thoughts"), wording.RACING_THOUGHTS),
              (c("anhedonia"), "anhedonia"), (c("increased_energy"), wording.INCREASED_ENERGY)]
     n = E.count_true(*[f for f, _ in flags])
-    severe = (phq >= S.PHQ_MIN["severe"]) | (asrm >= S.ASRM_MIN["manic_moderate"])
-    both = (phq >= S.PHQ_MIN["moderate"]) & (asrm >= S.ASRM_MIN["hypomanic"])
+    severe = (phq >= at("phq_severe_min")) | (asrm >= at("asrm_manic_moderate_min"))
+    both = (phq >= at("phq_moderate_min")) & (asrm >= at("asrm_hypomanic_min"))
     return df.select(
         *KEY, n.alias("mixed_features"), F.greatest(phq, asrm).cast("double").alias("severity_score"),
         E.ladder((severe, "critical"), (n >= 2, "high"), otherwise="moderate").alias("risk_level"),
@@ -98,14 +100,14 @@ def mixed_risk(df: DataFrame) -> DataFrame:
 
 # ---- episode reading, inclusive edges ---------------------------------------------
 
-def _depression_reading(suicidal: Column) -> dict[str, Column]:
-    phq, at = c("phq"), S.PHQ_MAX
-    bands = [phq <= at["none"], phq <= at["mild"], phq <= at["moderate"], phq <= at["moderately_severe"]]
+def _depression_reading(suicidal: Column, at: Callable[[str], Column]) -> dict[str, Column]:
+    phq = c("phq")
+    bands = [phq <= at(f"phq_{k}_max") for k in ("none", "mild", "moderate", "moderately_severe")]
     pick = lambda *v: E.ladder(*zip(bands, v[:-1]), otherwise=v[-1])
     level = pick("low", "low", "moderate", "high", "critical")
-    sleepy = c("sleep_hours") > S.HYPERSOMNIA_HOURS
+    sleepy = c("sleep_hours") > at("hypersomnia_hours")
     level = F.when(sleepy & (level == "low"), "moderate").otherwise(level)
-    still = (c("steps") < S.SEVERE_LOW_STEPS) & (level != "critical")
+    still = (c("steps") < at("severe_low_steps")) & (level != "critical")
     summary = joined(
         pick(wording.DEPRESSION_SCREENING_WITHIN, wording.MILD_DEPRESSIVE_SYMPTOMS_BELOW,
              wording.MODERATE_DEPRESSION_DETECTED,
@@ -116,15 +118,15 @@ def _depression_reading(suicidal: Column) -> dict[str, Column]:
         F.when(suicidal, wording.SUICIDAL_IDEATION_PRESENT_URGENT).otherwise(""))
     return {"risk_level": F.when(suicidal, "critical").otherwise(level),
             "episode_type": pick("none", "none", "depressive", "depressive", "depressive"),
-            "criteria_met": phq >= S.PHQ_MIN["moderate"], "summary": summary}
+            "criteria_met": phq >= at("phq_moderate_min"), "summary": summary}
 
 
-def _mania_reading(psychotic: Column) -> dict[str, Column]:
-    asrm, at = c("asrm"), S.ASRM_MAX
-    bands = [asrm <= at["none"], asrm <= at["hypomanic"], asrm <= at["manic_moderate"]]
+def _mania_reading(psychotic: Column, at: Callable[[str], Column]) -> dict[str, Column]:
+    asrm = c("asrm")
+    bands = [asrm <= at(f"asrm_{k}_max") for k in ("none", "hypomanic", "manic_moderate")]
     pick = lambda *v: E.ladder(*zip(bands, v[:-1]), otherwise=v[-1])
-    sleepless = F.coalesce(c("sleep_hours") < S.CRITICAL_SLEEP, F.lit(False))
-    extreme = F.coalesce(c("steps") > S.EXTREME_STEPS, F.lit(False))
+    sleepless = F.coalesce(c("sleep_hours") < at("critical_sleep"), F.lit(False))
+    extreme = F.coalesce(c("steps") > at("extreme_steps"), F.lit(False))
     forced = sleepless | psychotic
     level = F.when(forced, "critical").otherwise(pick("low", "moderate", "high", "critical"))
     summary = F.when(
@@ -136,27 +138,28 @@ def _mania_reading(psychotic: Column) -> dict[str, Column]:
         F.when(sleepless, wording.CRITICAL_SLEEP_REDUCTION).otherwise("")))
     return {"risk_level": F.when(extreme & (level == "moderate"), "high").otherwise(level),
             "episode_type": F.when(forced, "manic").otherwise(pick("none", "hypomanic", "hypomanic", "manic")),
-            "criteria_met": asrm >= S.ASRM_MIN["hypomanic"],
+            "criteria_met": asrm >= at("asrm_hypomanic_min"),
             "summary": joined(summary, F.when(extreme, wording.SIGNIFICANTLY_ELEVATED_ACTIVITY).otherwise(""))}
 
 
 def depression_episode(df: DataFrame) -> DataFrame:
     """Level, episode type, criterion and text; upper edges belong to the band."""
-    return df.select(*KEY, *[v.alias(n) for n, v in _depression_reading(c("suicidal")).items()])
+    return df.select(*KEY, *[v.alias(n) for n, v in _depression_reading(c("suicidal"), limit_of(df)).items()])
 
 
 def mania_episode(df: DataFrame) -> DataFrame:
-    return df.select(*KEY, *[v.alias(n) for n, v in _mania_reading(c("psychotic")).items()])
+    return df.select(*KEY, *[v.alias(n) for n, v in _mania_reading(c("psychotic"), limit_of(df)).items()])
 
 
 def mixed_episode(df: DataFrame) -> DataFrame:
     """Full criteria of one pole with at least three symptoms of the other, else the leading pole."""
+    at = limit_of(df)
     manic = E.count_true(c("racing_thoughts"), c("increased_energy"),
-                         c("decreased_sleep") | F.coalesce(c("sleep_hours") < S.NORMAL_SLEEP_MIN, F.lit(False)))
+                         c("decreased_sleep") | F.coalesce(c("sleep_hours") < at("normal_sleep_min"), F.lit(False)))
     low = E.count_true(c("depressed_mood"), c("anhedonia"), c("guilt"))
-    down = (c("phq") >= S.PHQ_MIN["moderate"]) & (manic >= 3)
-    up = (c("asrm") >= S.ASRM_MIN["hypomanic"]) & (low >= 3)
-    dep, man = _depression_reading(F.lit(False)), _mania_reading(F.lit(False))
+    down = (c("phq") >= at("phq_moderate_min")) & (manic >= 3)
+    up = (c("asrm") >= at("asrm_hypomanic_min")) & (low >= 3)
+    dep, man = _depression_reading(F.lit(False), at), _mania_reading(F.lit(False), at)
     fixed_down = {"risk_level": "high", "episode_type": "depressive_with_mixed_features", "criteria_met": True,
                   "summary": wording.MAJOR_DEPRESSIVE_EPISODE}
     fixed_up = {"risk_level": "high", "episode_type": "manic_with_mixed_features", "criteria_met": True,
@@ -168,11 +171,11 @@ def mixed_episode(df: DataFrame) -> DataFrame:
 
 def composite_risk(df: DataFrame) -> DataFrame:
     """Larger of the two component levels; poor adherence turns moderate into high."""
-    phq, asrm = c("phq"), c("asrm")
-    dep = E.ladder((phq < S.PHQ_MAX["mild"], "low"), (phq < S.PHQ_MAX["moderate"], "moderate"),
-                   (phq < S.PHQ_MAX["severe"], "high"), otherwise="critical")
-    man = E.ladder((asrm < S.ASRM_MAX["none"], "low"), (asrm < S.ASRM_MAX["hypomanic"], "moderate"),
-                   (asrm < S.ASRM_MAX["manic_moderate"], "high"), otherwise="critical")
+    phq, asrm, at = c("phq"), c("asrm"), limit_of(df)
+    dep = E.ladder((phq < at("phq_mild_max"), "low"), (phq < at("phq_moderate_max"), "moderate"),
+                   (phq < at("phq_severe_max"), "high"), otherwise="critical")
+    man = E.ladder((asrm < at("asrm_none_max"), "low"), (asrm < at("asrm_hypomanic_max"), "moderate"),
+                   (asrm < at("asrm_manic_moderate_max"), "high"), otherwise="critical")
     a, b = level_number(dep), level_number(man)
     top = F.when(b > a, man).otherwise(dep)
     return df.select(
@@ -188,22 +191,24 @@ def biomarkers(df: DataFrame) -> DataFrame:
     s, e, v = c("sleep_hours"), c("efficiency"), c("timing_variance")
     steps, rest = c("steps"), c("sedentary_hours")
     adv, stab, var = c("phase_advance"), c("interdaily_stability"), c("intradaily_variability")
-    sleep_rules = [(s < S.CRITICAL_SLEEP, wording.CRITICAL_SHORT_SLEEP),
-                   (e < 0.85, wording.POOR_SLEEP_EFFICIENCY), (v > 2.0, wording.HIGHLY_VARIABLE_SLEEP)]
-    up_rules = [(steps > S.ELEVATED_STEPS, wording.SIGNIFICANTLY_ELEVATED_ACTIVITY_LEVEL),
-                (steps > S.EXTREME_STEPS, wording.EXTREME_ACTIVITY_ELEVATION), (rest < 4, wording.MINIMAL_REST_PERIODS)]
-    down_rule = (steps < S.SEVERE_LOW_STEPS, wording.SEVERE_ACTIVITY_REDUCTION_2)
-    clock_rules = [(adv > 2.0, wording.SIGNIFICANT_CIRCADIAN_PHASE), (stab < 0.5, wording.LOW_CIRCADIAN_RHYTHM),
-                   (var > 1.0, wording.HIGH_CIRCADIAN_FRAGMENTATION)]
+    at = limit_of(df)
+    weak, broken, ahead = stab < at("stability_low"), var > at("variability_high"), adv > at("phase_advance_high")
+    sleep_rules = [(s < at("critical_sleep"), wording.CRITICAL_SHORT_SLEEP),
+                   (e < at("efficiency_low"), wording.POOR_SLEEP_EFFICIENCY), (v > at("timing_variance_high"), wording.HIGHLY_VARIABLE_SLEEP)]
+    up_rules = [(steps > at("elevated_steps"), wording.SIGNIFICANTLY_ELEVATED_ACTIVITY_LEVEL),
+                (steps > at("extreme_steps"), wording.EXTREME_ACTIVITY_ELEVATION), (rest < 4, wording.MINIMAL_REST_PERIODS)]
+    down_rule = (steps < at("severe_low_steps"), wording.SEVERE_ACTIVITY_REDUCTION_2)
+    clock_rules = [(ahead, wording.SIGNIFICANT_CIRCADIAN_PHASE), (weak, wording.LOW_CIRCADIAN_RHYTHM),
+                   (broken, wording.HIGH_CIRCADIAN_FRAGMENTATION)]
     n_sleep, n_up = E.count_true(*[r for r, _ in sleep_rules]), E.count_true(*[r for r, _ in up_rules])
-    n_clock, n_down = E.count_true(adv > 2.0), E.count_true(down_rule[0])
-    unstable = F.coalesce(stab < 0.5, F.lit(False)) | F.coalesce(var > 1.0, F.lit(False))
+    n_clock, n_down = E.count_true(ahead), E.count_true(down_rule[0])
+    unstable = F.coalesce(weak, F.lit(False)) | F.coalesce(broken, F.lit(False))
     mania = n_sleep + n_up + n_clock
     return df.select(
         *KEY, n_sleep.alias("sleep_factors"), n_up.alias("activity_factors"), n_clock.alias("circadian_factors"),
         mania.alias("mania_factors"), n_down.alias("depression_factors"),
         F.when(unstable, "high").otherwise("low").alias("instability"),
-        F.when(s < S.CRITICAL_SLEEP, "urgent").otherwise("routine").alias("priority"),
+        F.when(s < at("critical_sleep"), "urgent").otherwise("routine").alias("priority"),
         E.messages(*sleep_rules, *up_rules, down_rule, *clock_rules).alias("notes"),
         F.when((mania > 0) | (n_down > 0), F.format_string(
             wording.DIGITAL_BIOMARKERS_INDICATE, mania, n_down))
@@ -216,8 +221,10 @@ def criteria(df: DataFrame) -> DataFrame:
     """Duration, symptom count and impairment of an episode row, and their conjunction."""
     kind, days, ward = c("episode_type"), c("symptom_days"), c("hospitalized")
     mixed = F.contains(kind, F.lit("mixed"))
-    need = E.ladder((kind == "manic", 7), (kind == "hypomanic", 4), (kind == "depressive", 14),
-                    (mixed & F.contains(kind, F.lit("depressive")), 14), (mixed, 7), otherwise=0)
+    at = limit_of(df)
+    manic, hypomanic, low = (at(f"{k}_days").cast("int") for k in ("manic", "hypomanic", "depressive"))
+    need = E.ladder((kind == "manic", manic), (kind == "hypomanic", hypomanic), (kind == "depressive", low),
+                    (mixed & F.contains(kind, F.lit("depressive")), low), (mixed, manic), otherwise=0)
     long = days >= need
     met = E.ladder((kind == "manic", long | ward), (kind == "hypomanic", long & ~ward), (kind == "depressive", long),
                    (mixed, long | (F.contains(kind, F.lit("manic")) & ward)), otherwise=False)
@@ -243,11 +250,15 @@ def criteria(df: DataFrame) -> DataFrame:
 # ---- early warnings and interventions ------------------------------------------------------
 
 def early_warnings(df: DataFrame, sleep_factor: float = 1.0, activity_factor: float = 1.0) -> DataFrame:
-    """Signs against the user's own baseline; the factors personalise the sensitivity."""
-    sleep, act = c("sleep_change") * sleep_factor, c("activity_change") * activity_factor
-    down = [(sleep > 2.0, wording.SIGNIFICANT_SLEEP_INCREASE), (act <= -30.0, wording.MAJOR_ACTIVITY_REDUCTION),
-            (c("circadian_shift") > 1, wording.CIRCADIAN_PHASE_DELAY)]
-    up = [(sleep < -2, wording.SIGNIFICANT_SLEEP_REDUCTION), (act > 50, wording.MAJOR_ACTIVITY_INCREASE),
+    """Signs against the user's own baseline; the factors, and each row's own sensitivities, scale the changes."""
+    at = limit_of(df)
+    sleep = c("sleep_change") * sleep_factor * at("sleep_sensitivity")
+    act = c("activity_change") * activity_factor * at("activity_sensitivity")
+    down = [(sleep > at("sleep_increase_hours"), wording.SIGNIFICANT_SLEEP_INCREASE),
+            (act <= -at("activity_decrease_percent"), wording.MAJOR_ACTIVITY_REDUCTION),
+            (c("circadian_shift") > at("circadian_delay_hours"), wording.CIRCADIAN_PHASE_DELAY)]
+    up = [(sleep < -at("sleep_decrease_hours"), wording.SIGNIFICANT_SLEEP_REDUCTION),
+          (act > at("activity_increase_percent"), wording.MAJOR_ACTIVITY_INCREASE),
           (c("fast_speech"), wording.INCREASED_SPEECH_RATE)]
     n_down, n_up = E.count_true(*[r for r, _ in down]), E.count_true(*[r for r, _ in up])
     n, run = n_down + n_up, c("consecutive_days")
@@ -259,6 +270,22 @@ def early_warnings(df: DataFrame, sleep_factor: float = 1.0, activity_factor: fl
         F.least(F.lit(1.0), n / 4.0).alias("severity"), F.when(run >= 3, 1.0).otherwise(0.8).alias("confidence"))
 
 
+def warning_summary(warned: DataFrame, days: str = "consecutive_days") -> DataFrame:
+    """warned with the text of its signs; ``personal`` rows say that their own sensitivities were used."""
+    down, up, signs = c("depression_warning"), c("mania_warning"), F.concat_ws(", ", "signs")
+    any_sign = c("sign_count") > 0
+    found = F.lit(wording.DETECTED)
+    if "personal" in warned.columns:
+        found = F.when(c("personal") & any_sign, wording.DETECTED_PERSONALLY).otherwise(found)
+    text = E.ladder(
+        (~any_sign, joined(F.lit(wording.NO_WARNING_SIGNS), found)),
+        (down & up, joined(F.lit(wording.MIXED_WARNING_SIGNS), found, F.lit(wording.BOTH_INDICATORS))),
+        (down, joined(F.lit(wording.DEPRESSION_WARNING_SIGNS), found, F.lit(": "), signs)),
+        otherwise=joined(F.lit(wording.MANIA_WARNING_SIGNS), found, F.lit(": "), signs))
+    after = E.ladder((c("trigger_intervention"), wording.INTERVENE_NOW), ((c(days) < 3) & any_sign, wording.KEEP_MONITORING), otherwise="")
+    return warned.withColumn("summary", joined(text, after))
+
+
 def interventions(warned: DataFrame) -> DataFrame:
     """Whether to intervene, how, and how soon, from warnings, current level and past episodes."""
     level, urgency, past = c("risk_level"), c("urgency"), c("previous_episodes")

@@ -8,6 +8,7 @@ from diurna.operators import daily as D
 from diurna.operators import modelling as MO
 from diurna.operators import rolling as R
 from diurna.operators import rules as X
+from diurna.operators import thresholds as TH
 from diurna.plans.nights import r
 from diurna.plans.registry import query, view
 
@@ -242,14 +243,14 @@ def change_days(t):
         .alias("risk_level"))
 
 
-def warn_sql(sf: float, af: float) -> str:
+def warn_sql(sf: float | str, af: float | str) -> str:
     return f"""
   WITH x AS (SELECT *, sleep_change * {sf} AS s, activity_change * {af} AS a, consecutive_days AS run FROM change_days),
   n AS (
     SELECT *, (s > 2)::INTEGER + (a <= -30)::INTEGER + (circadian_shift > 1)::INTEGER AS dn,
            (s < -2)::INTEGER + (a > 50)::INTEGER + fast_speech::INTEGER AS up FROM x),
   w AS (
-    SELECT user_id, date, sleep_change, risk_level, previous_episodes, dn > 0 AS depression_warning, up > 0 AS mania_warning,
+    SELECT user_id, date, sleep_change, risk_level, previous_episodes, consecutive_days, dn > 0 AS depression_warning, up > 0 AS mania_warning,
            dn + up >= 3 AND run >= 3 AS trigger_intervention,
            concat_ws('; ', CASE WHEN s > 2 THEN 'Significant sleep increase' END, CASE WHEN a <= -30 THEN 'Major activity reduction' END,
              CASE WHEN circadian_shift > 1 THEN 'Circadian phase delay' END, CASE WHEN s < -2 THEN 'Significant sleep reduction' END,
@@ -265,6 +266,76 @@ query("early_warnings", "R7", warn_sql(1, 1) + f"SELECT {', '.join(WARN)} FROM w
     lambda t: text(X.early_warnings(change_days(t)), "signs").select(*WARN))
 query("early_warnings_personalized", "R7", warn_sql(1.5, 0.5) + f"SELECT {', '.join(WARN)} FROM w")(
     lambda t: text(X.early_warnings(change_days(t), 1.5, 0.5), "signs").select(*WARN))
+
+# ---- thresholds from a parameter table --------------------------------------------------
+
+def parameters(t):
+    """Values for everyone, for a cohort and, from the questionnaires, for single users."""
+    rows = t.spark.createDataFrame(
+        [(None, None, "hypersomnia_hours", 11.0), (None, "b", "phq_mild_max", 11.0), (None, "b", "phq_moderate_max", 16.0),
+         (None, "b", "normal_sleep_min", 5.5), (None, "b", "asrm_none_max", 3.0), (None, "b", "asrm_hypomanic_max", 8.0),
+         (None, "b", "hypersomnia_hours", 10.0), (None, "b", "no_such_name", 1.0), (None, "b", "elevated_steps", -1.0)], TH.PARAMETERS)
+    own = t.survey.filter("user_id % 5 = 0").select(
+        "user_id", F.lit(None).cast("string").alias("cohort"),
+        F.inline(F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value")) for n, v in (
+            ("severe_low_steps", F.lit(3000)), ("sleep_sensitivity", 1 + F.col("q1") / 4), ("activity_sensitivity", 0.5 + F.col("q2") / 4))])))
+    return rows.unionByName(own)
+
+
+def limited(t, df):
+    members = t.survey.select("user_id", F.when(F.col("user_id") % 2 == 1, "b").otherwise("a").alias("cohort"))
+    return TH.attach(df, parameters(t), members)
+
+
+view("limits", """
+  SELECT d.*, CASE WHEN s.user_id % 2 = 1 THEN 11 ELSE 9 END AS l_mild, CASE WHEN s.user_id % 2 = 1 THEN 16 ELSE 14 END AS l_moderate,
+         CASE WHEN s.user_id % 2 = 1 THEN 5.5 ELSE 6 END AS l_short, CASE WHEN s.user_id % 2 = 1 THEN 10 ELSE 11 END AS l_long,
+         CASE WHEN s.user_id % 2 = 1 THEN 3 ELSE 5 END AS l_calm, CASE WHEN s.user_id % 2 = 1 THEN 8 ELSE 10 END AS l_hypomanic,
+         CASE WHEN s.user_id % 5 = 0 THEN 3000 ELSE 2000 END AS l_still
+  FROM patient_days d LEFT JOIN survey s ON s.user_id = d.user_id""")
+query("depression_risk_by_parameters", "R1", """
+  WITH b AS (
+    SELECT *, CASE WHEN phq < l_mild THEN 'low' WHEN phq < l_moderate THEN 'moderate' WHEN phq < 27 THEN 'high' ELSE 'critical' END AS lv,
+           (CASE WHEN sleep_hours < l_short THEN 1.2::DOUBLE WHEN sleep_hours > l_long THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END)
+             * (CASE WHEN steps <= l_still THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END) AS m FROM limits)
+  SELECT user_id, date, CASE WHEN suicidal THEN 'critical' WHEN m > 1.3 AND lv = 'moderate' THEN 'high' ELSE lv END AS risk_level,
+         round(m, 6) AS biomarker_modifier FROM b""")(
+    lambda t: X.depression_risk(limited(t, patient_days(t))).select(*K, "risk_level", "biomarker_modifier"))
+query("mania_risk_by_parameters", "R2", """
+  SELECT user_id, date, CASE WHEN psychotic THEN 'critical' WHEN asrm < l_calm THEN 'low' WHEN asrm < l_hypomanic THEN 'moderate'
+         WHEN asrm < 15 THEN 'high' ELSE 'critical' END AS risk_level FROM limits""")(
+    lambda t: X.mania_risk(limited(t, patient_days(t))).select(*K, "risk_level"))
+query("composite_risk_by_parameters", "R4", """
+  WITH b AS (
+    SELECT *, CASE WHEN phq < l_mild THEN 0 WHEN phq < l_moderate THEN 1 WHEN phq < 27 THEN 2 ELSE 3 END AS d,
+           CASE WHEN asrm < l_calm THEN 0 WHEN asrm < l_hypomanic THEN 1 WHEN asrm < 15 THEN 2 ELSE 3 END AS m FROM limits),
+  k AS (SELECT *, ['low', 'moderate', 'high', 'critical'] AS names FROM b)
+  SELECT user_id, date, names[d + 1] AS depression_level, names[m + 1] AS mania_level,
+         CASE WHEN adherence < 0.7 AND greatest(d, m) = 1 THEN 'high' ELSE names[greatest(d, m) + 1] END AS overall_level,
+         CASE WHEN d = 0 AND m = 0 THEN 'none' WHEN m > d THEN 'mania' ELSE 'depression' END AS primary_concern FROM k""")(
+    lambda t: X.composite_risk(limited(t, patient_days(t))))
+query("parameter_checks", "R4", """
+  SELECT NULL::BIGINT AS user_id, 'b' AS cohort, 'no_such_name' AS name, 1.0::DOUBLE AS value, 'unknown name' AS reason
+  UNION ALL SELECT NULL, 'b', 'elevated_steps', -1.0, 'negative value'
+  UNION ALL SELECT user_id, NULL, 'severe_low_steps', 3000.0, NULL FROM survey WHERE user_id % 5 = 0""")(
+    lambda t: TH.checked(parameters(t)).filter("reason IS NOT NULL OR name = 'severe_low_steps'"))
+SUMMARY = """
+  SELECT user_id, date, sign_count, urgency,
+         CASE WHEN sign_count = 0 THEN 'No significant warning signs ' || f
+              WHEN depression_warning AND mania_warning THEN 'Mixed warning signs ' || f || ' - both depression and mania indicators present'
+              WHEN depression_warning THEN 'Depression warning signs ' || f || ': ' || replace(signs, '; ', ', ')
+              ELSE 'Mania warning signs ' || f || ': ' || replace(signs, '; ', ', ') END
+           || CASE WHEN trigger_intervention THEN '. Immediate clinical intervention recommended'
+                   WHEN consecutive_days < 3 AND sign_count > 0 THEN '. Continued monitoring required' ELSE '' END AS summary
+  FROM (SELECT *, {found} AS f FROM w)"""
+SUMMARIZED = [*K, "sign_count", "urgency", "summary"]
+query("early_warning_summary", "R7", warn_sql(1, 1) + SUMMARY.format(found="'detected'"))(
+    lambda t: X.warning_summary(X.early_warnings(change_days(t))).select(*SUMMARIZED))
+PERSONAL = "CASE WHEN user_id % 5 = 0 AND sign_count > 0 AND user_id IN (SELECT user_id FROM survey) THEN 'detected (using personalized thresholds)' ELSE 'detected' END"
+query("early_warning_per_user", "R7", warn_sql(
+    "coalesce((SELECT 1 + q1 / 4 FROM survey y WHERE y.user_id = change_days.user_id AND y.user_id % 5 = 0), 1)",
+    "coalesce((SELECT 0.5 + q2 / 4 FROM survey y WHERE y.user_id = change_days.user_id AND y.user_id % 5 = 0), 1)") + SUMMARY.format(found=PERSONAL))(
+    lambda t: X.warning_summary(X.early_warnings(limited(t, change_days(t)))).select(*SUMMARIZED))
 query("intervention_decision", "R8", warn_sql(1, 1) + """,
   i AS (
     SELECT *, urgency IN ('moderate', 'high') OR previous_episodes >= 2 AS yes, abs(sleep_change) AS sh FROM w),

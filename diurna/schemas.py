@@ -88,3 +88,6 @@ HYPERSOMNIA_HOURS, NORMAL_SLEEP_MIN, NORMAL_SLEEP_MAX = 12.0, 6.0, 9.0
 CRITICAL_SLEEP, REDUCED_SLEEP = 3.0, 5.0
 SEVERE_LOW_STEPS, ELEVATED_STEPS, EXTREME_STEPS = 2000, 15000, 20000
 REQUIRED_DAYS = {"manic": 7, "hypomanic": 4, "depressive": 14}
+BIOMARKERS = {"efficiency_low": 0.85, "timing_variance_high": 2.0, "phase_advance_high": 2.0, "stability_low": 0.5, "variability_high": 1.0}
+EARLY_WARNING = {"sleep_increase_hours": 2.0, "activity_decrease_percent": 30.0, "circadian_delay_hours": 1.0, "sleep_decrease_hours": 2.0,
+                 "activity_increase_percent": 50.0}

@@ -239,3 +239,14 @@ HIGH_DEPRESSION_RISK = "HIGH DEPRESSION RISK DETECTED"
 MODERATE_DEPRESSION_RISK = "MODERATE DEPRESSION RISK"
 LOW_DEPRESSION_RISK = "Low depression risk"
 ELEVATED_MOOD_EPISODE = "ELEVATED MOOD EPISODE RISK"
+
+# Texts of the early warning summary.
+DETECTED = "detected"
+DETECTED_PERSONALLY = "detected (using personalized thresholds)"
+NO_WARNING_SIGNS = "No significant warning signs "
+MIXED_WARNING_SIGNS = "Mixed warning signs "
+BOTH_INDICATORS = " - both depression and mania indicators present"
+DEPRESSION_WARNING_SIGNS = "Depression warning signs "
+MANIA_WARNING_SIGNS = "Mania warning signs "
+INTERVENE_NOW = ". Immediate clinical intervention recommended"
+KEEP_MONITORING = ". Continued monitoring required"
