@@ -75,6 +75,20 @@ def episode_steps(
     )
 
 
+def _slot_chunks(sleep: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Per key and time slot: the distinct start instants in order, each with its last end, and the episodes.
+
+    Copies of an episode combine before the shuffle. A slot is an hour at most, so at the second
+    resolution of the exports an array has at most 3,600 entries.
+    """
+    slot = F.floor(F.col("start_us") / F.lit(float(min(E.HOUR_US, limit)))).cast("long")
+    chunks = _bounds(sleep, keys).groupBy(*keys, slot.alias("slot")).agg(
+        F.sort_array(F.collect_set(F.struct("start_us", "end_us"))).alias("pairs"), F.count(F.lit(1)).alias("n"))
+    # of equal starts the last pair has the last end
+    last = lambda x, i: ~F.coalesce(F.get("pairs", i + 1)["start_us"] == x["start_us"], F.lit(False))
+    return chunks.withColumn("pairs", F.filter("pairs", last))
+
+
 def merge_sleep_windows(
     sleep: DataFrame, keys: list[str] = USER, threshold_hours: float = S.MERGE_THRESHOLD_HOURS
 ) -> DataFrame:
@@ -82,20 +96,43 @@ def merge_sleep_windows(
 
     The hours slept are free of double counting: each episode adds only what lies
     beyond the furthest end seen before it in its window.
+
+    Starts in one slot no wider than the threshold are never parted, so a slot is one chunk of
+    one window: records are read and shuffled once, to chunks, and the chunks of a key, whose
+    number the calendar bounds, once more to be put in order. What a chunk needs of those
+    before it is the last end and the reach; its own instants are folded from there.
     """
-    steps = episode_steps(sleep, keys, threshold_hours)
-    fresh_from = F.greatest(F.col("start_us"), F.col("reach"))
-    fresh = F.greatest(F.col("end_us") - fresh_from, F.lit(0))
-    gap = F.col("inner_gap_us")
+    limit = round(threshold_hours * E.HOUR_US)
+    if limit <= 0:
+        raise ValueError(wording.THE_MERGE_THRESHOLD)
     hour = float(E.HOUR_US)
-    grouped = steps.groupBy(*keys, "window_us").agg(
-        F.max("end_us").alias("stop_us"),
-        F.sum("n").alias("episodes"),
-        F.sum(fresh).alias("slept_us"),
-        F.count(gap).alias("gaps"),
-        F.coalesce(F.sum(gap), F.lit(0)).alias("gap_us"),
-        F.coalesce(F.sum((gap / hour) * (gap / hour)), F.lit(0.0)).alias("gap_sq"),
-    )
+    across = W.partitionBy(*keys).orderBy("slot")
+    chunks = _slot_chunks(sleep, keys, limit).withColumns({
+        "first_us": F.col("pairs")[0]["start_us"], "last_end": F.element_at("pairs", -1)["end_us"],
+        "max_end": F.array_max(F.transform("pairs", lambda x: x["end_us"]))})
+    chunks = chunks.withColumn("prev_end", F.lag("last_end").over(across))
+    opens = F.col("prev_end").isNull() | (F.col("first_us") - F.col("prev_end") > limit)
+    chunks = chunks.withColumn("opens", opens).withColumn(
+        "window_us", F.last(F.when(F.col("opens"), F.col("first_us")), True).over(across.rowsBetween(W.unboundedPreceding, 0)))
+    inside = W.partitionBy(*keys, "window_us").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    start = F.struct(
+        F.when(~F.col("opens"), F.col("prev_end")).alias("last"), F.max("max_end").over(inside).alias("reach"),
+        zero.alias("slept"), zero.alias("gaps"), zero.alias("gap_us"), F.lit(0.0).alias("gap_sq"))
+
+    def folded(acc: Column, x: Column) -> Column:
+        gap = F.greatest(F.coalesce(x["start_us"] - acc["last"], zero), zero)
+        fresh = F.greatest(x["end_us"] - F.greatest(x["start_us"], acc["reach"]), zero)
+        return F.struct(
+            x["end_us"].alias("last"), F.greatest(acc["reach"], x["end_us"]).alias("reach"), (acc["slept"] + fresh).alias("slept"),
+            (acc["gaps"] + F.when(gap > 0, 1).otherwise(0)).alias("gaps"), (acc["gap_us"] + gap).alias("gap_us"),
+            (acc["gap_sq"] + (gap / hour) * (gap / hour)).alias("gap_sq"))
+
+    told = chunks.withColumn("start", start).select(
+        *keys, "window_us", "max_end", "n", F.aggregate("pairs", F.col("start"), folded).alias("f"))
+    grouped = told.groupBy(*keys, "window_us").agg(
+        F.max("max_end").alias("stop_us"), F.sum("n").alias("episodes"), F.sum("f.slept").alias("slept_us"),
+        F.sum("f.gaps").alias("gaps"), F.sum("f.gap_us").alias("gap_us"), F.sum("f.gap_sq").alias("gap_sq"))
     span = (F.col("stop_us") - F.col("window_us")) / hour
     return grouped.select(
         *keys,
