@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Most rows that a broadcast side may have (a few tens of MB of narrow rows).
 BROADCAST_ROWS = 500_000
+#: Bytes of a batch that a Python worker is sent.
+BATCH_BYTES = "8m"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,9 +31,15 @@ def _local_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="stages-")
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Python workers are sent some megabytes at a time, however long the texts of the rows are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: a lost executor costs only its own tasks."""
-    spark = df.sparkSession
+    spark = bounded_batches(df.sparkSession)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -61,6 +69,7 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def document_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that clashing extra columns never meet an operator's own."""
+    bounded_batches(docs.sparkSession)
     return docs.select(*[docs[n] for n in names])
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Distinct chunks that a worker remembers, half of them in a table of older ones.
-REMEMBERED = 1_600_000
+REMEMBERED = 800_000
 
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -150,7 +150,7 @@ class Encoder:
             return b""
         return next(self._group([text]))
 
-    def encode_many(self, texts: Iterable[str], characters: int = 4_000_000) -> Iterator[bytes]:
+    def encode_many(self, texts: Iterable[str], characters: int = 1_500_000) -> Iterator[bytes]:
         """encode() of each; new words of several texts are learned together."""
         group, size = [], 0
         for text in texts:
@@ -165,10 +165,9 @@ class Encoder:
         if self.whole_only:
             yield from (self.whole(t) if t else b"" for t in texts)
             return
+        if len(self.table) >= REMEMBERED // 2:  # words asked for again move on to the new table
+            self.old, self.table = self.table, _Table(self.table.make)
         table, get, new = self.table, self.table.get, set()
-        if len(table) >= REMEMBERED // 2:  # words asked for again move on to the new table
-            self.old = dict(table)
-            table.clear()
         split = [self._split(t) if t else [""] for t in texts]
         found = [list(map(get, parts)) for parts in split]
         for parts, ids in zip(split, found):

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from diurna.llm import (decontaminate, fill_middle, jaccard_join, knn_quality, license_scan, line_dedup, merkle, packing,
                         quality_rules, sql, suffix_dedup, token_counts, token_store, url_model)
+from diurna.llm.common import bounded_batches
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
