@@ -6,7 +6,7 @@ import importlib
 
 from diurna.plans.registry import ENTRIES, Entry
 
-MODULES = ["views", "records", "nights", "rolling", "circadian", "alignment", "rules", "features", "cohort"]
+MODULES = ["views", "records", "nights", "rolling", "circadian", "alignment", "rules", "features", "cohort", "exports"]
 
 
 def entries() -> dict[str, Entry]:
