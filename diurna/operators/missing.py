@@ -226,6 +226,18 @@ def data_summary(sleep: DataFrame, activity: DataFrame, heart: DataFrame) -> Dat
         (F.col("density") < 0.5, wording.SPARSE_DATA))))
 
 
+def validation(summary: DataFrame) -> DataFrame:
+    """Whether a user's data can be used, the share of days with sleep, and what is wanting; from `data_summary`."""
+    share = F.when(F.col("sleep_records") > 0, F.col("sleep_days") / (F.datediff("last_day", "first_day") + 1))
+    warned = E.messages(
+        (F.col("sleep_records") == 0, wording.NO_SLEEP_RECORDS), (F.col("activity_records") == 0, wording.NO_ACTIVITY_RECORDS),
+        (F.col("sleep_density") < 0.5, F.concat(
+            F.lit(wording.SPARSE_SLEEP), F.format_number(F.col("sleep_density") * 100, 1), F.lit(wording.COVERAGE))))
+    return summary.withColumn("sleep_density", share).select(
+        "user_id", "sleep_records", "activity_records", "heart_records", "first_day", "last_day", "sleep_density",
+        ((F.col("sleep_records") > 0) | (F.col("activity_records") > 0)).alias("is_valid"), F.concat_ws("; ", warned).alias("warnings"))
+
+
 def monthly_coverage(nights: DataFrame, acts: DataFrame) -> DataFrame:
     """Days with sleep, activity and both, per user and month."""
     j = nights.select(*KEY, F.lit(1).alias("s")).distinct().join(

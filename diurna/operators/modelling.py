@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -148,6 +151,101 @@ def score(features: DataFrame, models: dict[str, PipelineModel], labels: dict[st
     return out.withColumn("confidence", confidence(*[F.col(r) for r in models]))
 
 
+# ---- several risks from one fit, scored out of fold ------------------------------------
+
+def _cuts(rows: DataFrame, inputs: list[str], bins: int) -> dict[str, list[float]]:
+    """Inner borders of each input's bins, at quantiles; a few numbers per input."""
+    levels = [i / bins for i in range(1, bins)]
+    found = rows.approxQuantile(inputs, levels, 0.01)
+    return {c: sorted(set(q)) for c, q in zip(inputs, found)}
+
+
+def _bin(column: str, cuts: list[float]) -> Column:
+    """1 for a missing input, then 2 and up."""
+    above = reduce(lambda a, b: a + b, [(F.col(column) >= x).cast("int") for x in cuts], F.lit(0))
+    return F.when(F.col(column).isNull() | F.isnan(F.col(column).cast("double")), 1).otherwise(2 + above)
+
+
+@dataclass(frozen=True)
+class RiskModels:
+    """Additive log odds over shared bins: per fold and risk a start value and a value per input and bin."""
+
+    cuts: dict[str, list[float]]
+    start: dict[tuple[int, str], float]
+    parts: dict[tuple[int, str], dict[str, list[float]]]
+
+    def log_odds(self, fold: int, risk: str, bin_of: Callable[[str], Column]) -> Column:
+        terms = [F.element_at(F.array(*[F.lit(v) for v in values]), bin_of(c)) for c, values in self.parts[fold, risk].items()]
+        return reduce(lambda a, b: a + b, terms, F.lit(self.start[fold, risk]))
+
+
+def chance(log_odds: Column) -> Column:
+    return 1 / (1 + F.exp(-log_odds))
+
+
+def split_flags(rows: DataFrame, folds: int = 3, test_share: float = 0.2) -> DataFrame:
+    """Per (user, date): in which folds it trains (train_0, ...) and the one fold that tests it, if any."""
+    parts = time_splits(rows.select("user_id", "date").distinct(), folds, test_share)
+    is_ = lambda k, p: (F.col("fold") == k) & (F.col("part") == p)
+    return parts.groupBy("user_id", "date").agg(
+        *[F.max(is_(k, "train")).alias(f"train_{k}") for k in range(folds)],
+        F.min(F.when(F.col("part") == "test", F.col("fold"))).alias("tested_in"))
+
+
+def fit_risks(flagged: DataFrame, inputs: list[str], labels: dict[str, str], folder: str, folds: int = 3, bins: int = 8,
+              cycles: int = 2, rate: float = 0.5, ridge: float = 5.0) -> RiskModels:
+    """Boosted additive models of all risks and folds together, over one binned table.
+
+    Rows are first reduced to distinct combinations of bins with counts and label sums per fold,
+    written once to ``folder``: rounds run over that table, however many rows stood behind it. A
+    round improves one input's values in every model by a Newton step, from one aggregate with a
+    row per bin, which is all that the driver sees. Bins are cut on the rows that the first fold
+    trains on. Rows without a label count for the other labels only.
+    """
+    cuts = _cuts(flagged.filter("train_0"), inputs, bins)
+    binned = flagged.select(*[_bin(c, cuts[c]).alias(c) for c in inputs], *labels.values(), *[f"train_{k}" for k in range(folds)])
+    sums = []
+    for k in range(folds):
+        for y in labels.values():
+            known = F.col(f"train_{k}") & F.col(y).isNotNull()
+            sums += [F.sum(F.when(known, 1.0).otherwise(0.0)).alias(f"n_{k}_{y}"),
+                     F.sum(F.when(known, F.col(y).cast("double")).otherwise(0.0)).alias(f"y_{k}_{y}")]
+    binned.groupBy(*inputs).agg(*sums).write.mode("overwrite").parquet(folder)
+    cells = flagged.sparkSession.read.parquet(folder)
+    models = [(k, risk) for k in range(folds) for risk in labels]
+    name = lambda kind, m: f"{kind}_{m[0]}_{labels[m[1]]}"
+    totals = cells.agg(*[F.sum(name(kind, m)).alias(name(kind, m)) for m in models for kind in "ny"]).first()
+    start = {}
+    for m in models:
+        n, y = (totals[name(kind, m)] or 0.0 for kind in "ny")
+        start[m] = math.log((y + 1) / (n - y + 1))
+    fitted = RiskModels(cuts, start, {m: {c: [0.0] * (len(cuts[c]) + 2) for c in inputs} for m in models})
+    for _ in range(cycles):
+        for c in inputs:
+            steps = []
+            for m in models:
+                p = chance(fitted.log_odds(*m, F.col))
+                n = F.col(name("n", m))
+                steps += [F.sum(F.col(name("y", m)) - n * p).alias(name("g", m)), F.sum(n * p * (1 - p)).alias(name("h", m))]
+            for r in cells.groupBy(c).agg(*steps).collect():
+                for m in models:
+                    fitted.parts[m][c][r[c] - 1] += rate * r[name("g", m)] / (r[name("h", m)] + ridge)
+    return fitted
+
+
+def score_risks(flagged: DataFrame, models: RiskModels, risks: list[str], folds: int = 3) -> DataFrame:
+    """(user_id, date), a probability per risk and the confidence, by the fold that tests the row.
+
+    That fold's models trained on none of the user's nights from its block on, so no row is scored
+    by a model that saw it. Rows that no fold tests, the first ones of each user, are not scored.
+    """
+    tested = flagged.filter("tested_in IS NOT NULL")
+    bin_of = lambda c: _bin(c, models.cuts[c])
+    out = [E.ladder(*[(F.col("tested_in") == k, chance(models.log_odds(k, r, bin_of))) for k in range(folds)], otherwise=F.lit(None)).alias(r)
+           for r in risks]
+    return tested.select("user_id", "date", *out).withColumn("confidence", confidence(*[F.col(r) for r in risks]))
+
+
 def with_model(features: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType) -> DataFrame:
     """Hook for an external scorer: one Arrow batch in, one frame out, within each partition."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

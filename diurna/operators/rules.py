@@ -217,6 +217,26 @@ def biomarkers(df: DataFrame) -> DataFrame:
 
 # ---- diagnostic criteria ----------------------------------------------------------------
 
+def _wanted_symptoms() -> Column:
+    return F.when(F.contains(c("episode_type"), F.lit("depressive")), 5).otherwise(3)
+
+
+def _impaired_domains() -> Column:
+    return E.messages((c("work"), "work/occupational"), (c("social"), "social/interpersonal"),
+                      (c("self_care"), "self-care"), (c("hospitalized"), wording.HOSPITALIZATION_REQUIRED))
+
+
+def criteria_notes(df: DataFrame) -> DataFrame:
+    """What was found of symptoms and of impairment, as text."""
+    found, wanted, domains = c("symptoms"), _wanted_symptoms(), _impaired_domains()
+    return df.select(
+        "rec_id",
+        F.when(found >= wanted, F.format_string(wording.ENOUGH_SYMPTOMS, found, wanted))
+        .otherwise(F.format_string(wording.TOO_FEW_SYMPTOMS, found, wanted)).alias("symptom_note"),
+        F.when(F.size(domains) > 0, joined(F.lit(wording.IMPAIRMENT_IN), F.concat_ws(", ", domains)))
+        .otherwise(wording.NO_IMPAIRMENT).alias("impairment_note"))
+
+
 def criteria(df: DataFrame) -> DataFrame:
     """Duration, symptom count and impairment of an episode row, and their conjunction."""
     kind, days, ward = c("episode_type"), c("symptom_days"), c("hospitalized")
@@ -233,10 +253,8 @@ def criteria(df: DataFrame) -> DataFrame:
                      F.when(ward & (kind == "manic"), wording.HOSPITALIZATION_OVERRIDES_DURATION).otherwise(""))),
         (ward & (kind == "hypomanic"), F.lit(wording.HOSPITALIZATION_INVALIDATES_HYPOMANIC)),
         otherwise=F.format_string(wording.DURATION_INSUFFICIENT_FOR, kind, days, need))
-    wanted = F.when(F.contains(kind, F.lit("depressive")), 5).otherwise(3)
+    wanted, domains = _wanted_symptoms(), _impaired_domains()
     enough = c("symptoms") >= wanted
-    domains = E.messages((c("work"), "work/occupational"), (c("social"), "social/interpersonal"),
-                         (c("self_care"), "self-care"), (ward, wording.HOSPITALIZATION_REQUIRED))
     impaired = F.size(domains) > 0
     every = met & enough & impaired
     return df.select(
@@ -506,6 +524,27 @@ def treatment_candidates(patients: DataFrame) -> DataFrame:
         (~c("only_critical") | (c("risk_level") == "critical")) & ~(c("unless_cycling") & c("rapid_cycling")))
 
 
+# Conditions that speak against a candidate, by episode type and treatment.
+_MANIA_CONTRA = {"lithium": ["renal impairment", "pregnancy"], "quetiapine": ["diabetes", "metabolic syndrome"],
+                 "valproate": ["pregnancy", "liver disease"]}
+CONTRAINDICATIONS = {"manic": _MANIA_CONTRA, "hypomanic": _MANIA_CONTRA,
+                     "depressive": {"lamotrigine": ["rapid cycling", "Stevens-Johnson syndrome history"]}}
+
+
+def with_contraindications(candidates: DataFrame, conditions: str | None = None) -> DataFrame:
+    """candidates with the conditions that speak against each; with a column of the patient's own
+    conditions (an array) also those of them that apply, compared without case."""
+    none = F.array().cast("array<string>")
+    against = E.ladder(*[
+        ((c("episode_type") == kind) & (c("treatment") == drug), F.array(*[F.lit(x) for x in listed]))
+        for kind, table in CONTRAINDICATIONS.items() for drug, listed in table.items()], otherwise=none)
+    out = candidates.withColumn("contraindications", against)
+    if conditions is None:
+        return out
+    own = F.transform(F.coalesce(F.col(conditions), none), lambda x: F.lower(x))
+    return out.withColumn("applying", F.filter("contraindications", lambda x: F.array_contains(own, F.lower(x))))
+
+
 def treatment_approval(df: DataFrame) -> DataFrame:
     """Ordered decision rules; the first that applies decides."""
     drug = F.lower("proposed")

@@ -282,6 +282,20 @@ query("data_summary", "A24 A28", """
            CASE WHEN activity_records = 0 THEN 'no activity data' END,
            CASE WHEN days / (last_day - first_day + 1) < 0.5 THEN 'sparse data' END) AS warnings FROM g""")(
     lambda t: M.data_summary(t.sleep, t.activity, t.heart))
+query("data_validation", "A24", """
+  WITH u AS (
+    SELECT user_id, start_ts::DATE AS date, 's' AS k FROM sleep UNION ALL SELECT user_id, start_ts::DATE, 'a' FROM activity
+    UNION ALL SELECT user_id, ts::DATE, 'h' FROM heart),
+  g AS (
+    SELECT user_id, count(*) FILTER (k = 's') AS sleep_records, count(*) FILTER (k = 'a') AS activity_records,
+           count(*) FILTER (k = 'h') AS heart_records, min(date) AS first_day, max(date) AS last_day,
+           count(DISTINCT date) FILTER (k = 's') / (max(date) - min(date) + 1) AS share FROM u GROUP BY user_id)
+  SELECT user_id, sleep_records, activity_records, heart_records, first_day, last_day,
+         round(CASE WHEN sleep_records > 0 THEN share END, 6) AS sleep_density, sleep_records > 0 OR activity_records > 0 AS is_valid,
+         concat_ws('; ', CASE WHEN sleep_records = 0 THEN 'No sleep records found' END,
+           CASE WHEN activity_records = 0 THEN 'No activity records found' END,
+           CASE WHEN sleep_records > 0 AND share < 0.5 THEN 'Sparse sleep data: ' || printf('%.1f', share * 100) || '% coverage' END) AS warnings FROM g""")(
+    lambda t: M.validation(M.data_summary(t.sleep, t.activity, t.heart)))
 COMPLETE = """
   SELECT user_id, date, n.sleep_hours IS NOT NULL AS sleep, a.steps IS NOT NULL AS activity, h.max_hr IS NOT NULL AS heart
   FROM nights n FULL JOIN act_days a USING (user_id, date) FULL JOIN hearts h USING (user_id, date)"""

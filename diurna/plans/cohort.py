@@ -10,6 +10,7 @@ from diurna.operators import modelling as MO
 from diurna.operators import rolling as R
 from diurna.plans.nights import r
 from diurna.plans.registry import query, view
+from diurna.plans.rules import patient_days
 from diurna.session import scratch
 from diurna.sources.stored import StoredTable
 
@@ -264,13 +265,18 @@ query("record_outcomes", "A29", """
         F.count(F.lit(1)).alias("records"), F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("rejected")))
 
 
+RISK_INPUTS = ["sleep_hours", "efficiency", "fragmentation", "steps", "sedentary_hours"]
+RISK_LABELS = {"depression": "low_mood", "hypomanic": "high_mood", "manic": "very_high_mood"}
+
+
 def trained(t):
-    """Boosted trees on nightly features, then their scores for the same nights."""
-    rows = D.daily_sleep(t.sleep).select(*K, "sleep_hours", "efficiency", "fragmentation", "longest_hours",
-                                         (F.col("sleep_hours") > 4).cast("double").alias("label"), F.lit(1.0).alias("weight"))
-    inputs = ["efficiency", "fragmentation", "longest_hours"]
-    model = MO.train(rows, inputs, "label", "weight", rounds=5)
-    return MO.score(rows, {"depression": model}, {"depression": "label"}).select(*K, "label", "depression", "confidence")
+    """Three risks per night from questionnaire labels, each night scored by a model of earlier ones."""
+    days = patient_days(t).select(
+        *K, *RISK_INPUTS, (F.col("phq") >= 10).cast("int").alias("low_mood"),
+        F.col("asrm").between(6, 10).cast("int").alias("high_mood"), (F.col("asrm") >= 11).cast("int").alias("very_high_mood"))
+    flagged = days.join(MO.split_flags(days), K)
+    models = MO.fit_risks(flagged, RISK_INPUTS, RISK_LABELS, scratch(t.spark))
+    return MO.score_risks(flagged, models, list(RISK_LABELS))
 
 
 query("trained_scores", "M8 M9")(trained)

@@ -206,6 +206,15 @@ query("diagnostic_criteria", "R6", """
          CASE WHEN met AND sy >= want AND domains <> '' THEN 'Meets' ELSE 'Does not meet' END || ' DSM-5 criteria for ' || k
            || ' episode' AS summary FROM m""")(lambda t: text(X.criteria(CRIT(t)), "domains"))
 
+query("criteria_notes", "R6", """
+  WITH e AS (
+    SELECT rec_id, rec_id % 8 AS sy, CASE WHEN episode_type = 'depressive' OR (episode_type = 'mixed' AND severity >= 3) THEN 5 ELSE 3 END AS want,
+           concat_ws(', ', CASE WHEN rec_id % 3 = 0 THEN 'work/occupational' END, CASE WHEN rec_id % 5 = 0 THEN 'social/interpersonal' END,
+             CASE WHEN rec_id % 7 = 0 THEN 'self-care' END, CASE WHEN rec_id % 9 = 0 THEN 'hospitalization required' END) AS domains FROM episodes)
+  SELECT rec_id, CASE WHEN sy >= want THEN sy || ' symptoms meets minimum requirement of ' || want
+                      ELSE 'Insufficient symptoms: ' || sy || ' < ' || want || ' required' END AS symptom_note,
+         CASE WHEN domains <> '' THEN 'Significant impairment in: ' || domains ELSE 'No significant functional impairment documented' END
+           AS impairment_note FROM e""")(lambda t: X.criteria_notes(CRIT(t)))
 view("change_days", """
   WITH n AS (
     SELECT user_id, date, sleep_hours, mid_sleep_minute, avg(sleep_hours) OVER w AS ms, avg(mid_sleep_minute) OVER w AS mm,
@@ -496,6 +505,19 @@ query("treatment_candidates", "R12 J13", """
     AND treatment <> CASE q8 WHEN 0 THEN 'valproate' WHEN 1 THEN 'lurasidone' ELSE '' END""")(
     lambda t: CO.without_listed(CO.without_listed(X.treatment_candidates(PATIENTS(t)), TAKEN(t), ["user_id"]), BARRED(t), ["user_id"])
     .select("user_id", "rank", "treatment", "evidence"))
+query("treatment_contraindications", "R12", """
+  WITH k AS (
+    SELECT c.user_id, c.rank, c.treatment, CASE
+             WHEN s.user_id % 5 IN (1, 2) AND treatment = 'lithium' THEN ['renal impairment', 'pregnancy']
+             WHEN s.user_id % 5 IN (1, 2) AND treatment = 'quetiapine' THEN ['diabetes', 'metabolic syndrome']
+             WHEN s.user_id % 5 IN (1, 2) AND treatment = 'valproate' THEN ['pregnancy', 'liver disease']
+             WHEN s.user_id % 5 = 0 AND treatment = 'lamotrigine' THEN ['rapid cycling', 'Stevens-Johnson syndrome history'] ELSE [] END AS x,
+           ['pregnancy', 'diabetes', 'liver disease', 'none'][q9 + 1] AS own
+    FROM candidates c JOIN survey s USING (user_id))
+  SELECT user_id, rank, treatment, array_to_string(x, '; ') AS contraindications, array_to_string(list_filter(x, lambda y: y = own), '; ') AS applying FROM k""")(
+    lambda t: text(X.with_contraindications(X.treatment_candidates(PATIENTS(t)).join(t.survey.select("user_id", F.array(F.get(F.array(
+        *[F.lit(x) for x in ("Pregnancy", "diabetes", "Liver disease", "none")]), F.col("q9"))).alias("conditions")), "user_id"), "conditions"),
+        "contraindications", "applying").select("user_id", "rank", "treatment", "contraindications", "applying"))
 query("treatment_approval", "R13", """
   WITH p AS (
     SELECT user_id, q1 < 3 AS bp, ['sertraline', 'venlafaxine', 'lithium', 'fluoxetine'][q2 + 1] AS drug, q3 < 2 AS low,

@@ -250,3 +250,13 @@ DEPRESSION_WARNING_SIGNS = "Depression warning signs "
 MANIA_WARNING_SIGNS = "Mania warning signs "
 INTERVENE_NOW = ". Immediate clinical intervention recommended"
 KEEP_MONITORING = ". Continued monitoring required"
+
+# Notes of the diagnostic criteria and of the data validation.
+ENOUGH_SYMPTOMS = "%d symptoms meets minimum requirement of %d"
+TOO_FEW_SYMPTOMS = "Insufficient symptoms: %d < %d required"
+IMPAIRMENT_IN = "Significant impairment in: "
+NO_IMPAIRMENT = "No significant functional impairment documented"
+NO_SLEEP_RECORDS = "No sleep records found"
+NO_ACTIVITY_RECORDS = "No activity records found"
+SPARSE_SLEEP = "Sparse sleep data: "
+COVERAGE = "% coverage"
