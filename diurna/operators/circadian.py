@@ -247,41 +247,38 @@ def user_calendar(*frames: DataFrame) -> DataFrame:
         "user_id", F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("date"))
 
 
-def weekly_features(minutes: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Features of the 10,080-minute week ending on each calendar date, from sparse minutes."""
+def weekly_features(minutes: DataFrame, calendar: DataFrame, top: int = 1008) -> DataFrame:
+    """Features of the 10,080-minute week ending on each calendar date, from sparse minutes.
+
+    The peak is the mean of the ``top`` busiest minutes, a tenth of the week. A day's busiest
+    minutes are one sorted array, and those of a week are chosen from its seven arrays, so
+    minutes are never copied to the weeks that they lie in.
+    """
     m, v = F.col("minute"), F.col("value")
     gap = m - F.lag("minute").over(W.partitionBy(*KEY).orderBy("minute"))
     per_day = minutes.withColumn("opens", gap.isNull() | (gap > 1)).groupBy(*KEY).agg(
         F.sum("value").alias("total"), F.sum(v * F.floor(m / 60)).alias("hour_mass"),
         F.count(F.lit(1)).alias("active"), F.count_if("opens").alias("runs"),
+        F.slice(F.sort_array(F.collect_list("value"), False), 1, top).alias("busiest"),
         F.max(F.when(m == 0, 1).otherwise(0)).alias("head"),
         F.max(F.when(m == MINUTES_PER_DAY - 1, 1).otherwise(0)).alias("tail"))
     dense = calendar.join(per_day, KEY, "left").na.fill(0)
     order = W.partitionBy("user_id").orderBy("date")
     day = F.unix_date("date")
     dense = dense.select(
-        *KEY, "total", "active", day.alias("day"), (F.col("hour_mass") + F.col("total") * day * 24).alias("mass"),
+        *KEY, "total", "active", "busiest", day.alias("day"), (F.col("hour_mass") + F.col("total") * day * 24).alias("mass"),
         (2 * F.col("runs") - F.col("head") - F.col("tail")).alias("flips"),
         (F.coalesce(F.lag("tail").over(order), F.lit(0)) != F.col("head")).cast("int").alias("seam"))
     week, seams = order.rowsBetween(-6, 0), order.rowsBetween(-5, 0)
     total = F.sum("total").over(week)
-    base = dense.select(
+    return dense.select(
         *KEY, total.alias("total_activity"), F.sum("active").over(week).alias("active_minutes"),
         F.when(total > 0, F.pmod(F.round(F.sum("mass").over(week) / total - (F.col("day") - 6) * 24, 6), F.lit(24.0)))
         .otherwise(0.0).alias("pat_hour"),
         ((F.sum("flips").over(week) + F.sum("seam").over(seams)) / 10080.0).alias("fragmentation"),
-        (F.sum((F.col("total") > 0).cast("int")).over(week) / 7.0).alias("quality"))
-    return base.join(_weekly_peaks(minutes), KEY, "left").withColumn(
-        "peak_activity", F.coalesce("peak_activity", F.lit(0.0)))
-
-
-def _weekly_peaks(minutes: DataFrame, top: int = 1008) -> DataFrame:
-    """Mean of the busiest tenth of the week's minutes."""
-    ends = F.explode(F.sequence("date", F.date_add("date", 6), F.expr("interval 1 day")))
-    ranked = minutes.select("user_id", ends.alias("date"), "value").withColumn(
-        "nth", F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc("value"))))
-    return ranked.filter(F.col("nth") <= top).groupBy(*KEY).agg(
-        (F.sum("value") / top).alias("peak_activity"))
+        (F.sum((F.col("total") > 0).cast("int")).over(week) / 7.0).alias("quality"),
+        F.flatten(F.collect_list("busiest").over(week)).alias("busiest")).withColumn(
+        "peak_activity", F.aggregate(F.slice(F.sort_array("busiest", False), 1, top), F.lit(0.0), lambda a, x: a + x) / top).drop("busiest")
 
 
 def weekly_sequences(minutes: DataFrame, calendar: DataFrame, stride_days: int = 1) -> DataFrame:
