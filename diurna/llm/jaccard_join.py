@@ -15,7 +15,8 @@ inverted lists of the taken shingles alone bring every partner together.
    groups of near copies. They are not merged: members are probed against the list's most
    central class, and what then lies in one component needs no more comparing. Lists with
    several components left are compared in blocks, across components only, by parity sketches,
-   whose distance never exceeds the difference of two sets.
+   whose distance never exceeds the difference of two sets: first every member is tried with the
+   nearest member of each other component, then what is still apart with every possible one.
 5. A candidate whose sketches allow a link is decided by binary probes of one sorted set into
    the other.
 
@@ -43,6 +44,8 @@ from diurna.llm.hashing import Rolling, mixed
 #: Lists over this many classes are long: they are probed, not merged.
 LONG = 100
 SKETCH_BITS = 256
+#: Bytes of the sketches that are compared in blocks.
+BLOCK_SKETCH = 256
 BLOCK = 256
 #: Rows with whole lists or sets that are in a worker's memory at a time.
 BATCH_ROWS = 100
@@ -85,8 +88,8 @@ def spare(n: int, percent: int) -> int:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """Parities of the hashes by their leading bits, half a bit a shingle and SKETCH_BITS at least."""
-    bits = max(SKETCH_BITS, 1 << (len(own) // 2).bit_length())
+    """Parities of the hashes by their leading bits, two to four bits a shingle and SKETCH_BITS at least."""
+    bits = max(SKETCH_BITS, 1 << (2 * len(own)).bit_length())
     at = (own.view(np.uint64) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -207,29 +210,53 @@ def _merged(lists: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "u bigint, v bigint")
 
 
-def _across(blocks: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in two blocks whose sketches allow a link."""
+def _small_sketches(rows: DataFrame) -> DataFrame:
+    """rows with their sketches folded to at most BLOCK_SKETCH bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.names.index("sketch")
+            small = [folded(x, min(len(x), BLOCK_SKETCH)).tobytes() for x in column(batch, "sketch").to_pylist()]
+            yield batch.set_column(at, "sketch", pa.array(small, pa.binary()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _across(blocks: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """(u, v, comp, apart): a minor member u and a member v of another component whose sketches allow a link.
+
+    nearest: of each component of the block only the member least apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                a, b = row["minor"], row["members"]
-                na, nb = (np.array([x["n"] for x in s], np.int64) for s in (a, b))
-                ca, cb = (np.array([x["comp"] for x in s], np.int64) for s in (a, b))
-                ra, rb = (np.array([x["rep"] for x in s], np.int64) for s in (a, b))
-                sa, sb = (np.array([folded(x["sketch"], SKETCH_BITS // 8) for x in s]) for s in (a, b))
-                us, vs = [], []
-                for i in range(len(a)):
-                    total = na[i] + nb
-                    most = total - 2 * -(-percent * total // (100 + percent))
-                    apart = _POPCOUNT[sa[i] ^ sb].sum(axis=1)
-                    hit = (ca[i] != cb) & (np.minimum(na[i], nb) * 100 >= np.maximum(na[i], nb) * percent) & (apart <= most)
-                    vs.append(rb[hit])
-                    us.append(np.full(int(hit.sum()), ra[i]))
-                u, v = np.concatenate(us), np.concatenate(vs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
-
-    return blocks.mapInArrow(run, "u bigint, v bigint")
+                out: list[tuple] = []
+                by_length: dict[int, list[dict]] = {}
+                for x in row["members"]:
+                    by_length.setdefault(len(x["sketch"]), []).append(x)
+                for length, members in by_length.items():
+                    nb, cb, rb = (np.array([x[c] for x in members], np.int64) for c in ("n", "comp", "rep"))
+                    at_size: dict[int, np.ndarray] = {}
+                    for x in row["minor"]:
+                        size = min(length, len(x["sketch"]))
+                        if size not in at_size:
+                            at_size[size] = np.array([folded(y["sketch"], size) for y in members])
+                        total = x["n"] + nb
+                        most = total - 2 * -(-percent * total // (100 + percent))
+                        far = _POPCOUNT[folded(x["sketch"], size) ^ at_size[size]].sum(axis=1)
+                        hit = np.flatnonzero((x["comp"] != cb) & (np.minimum(x["n"], nb) * 100 >= np.maximum(x["n"], nb) * percent) & (far <= most))
+                        if nearest and len(hit):
+                            hit = hit[np.lexsort((rb[hit], far[hit], cb[hit]))]
+                            hit = hit[np.unique(cb[hit], return_index=True)[1]]
+                        out += zip([x["rep"]] * len(hit), rb[hit].tolist(), cb[hit].tolist(), far[hit].tolist())
+                columns = list(zip(*out)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v", "comp", "apart"])
+
+    found = blocks.mapInArrow(run, "u bigint, v bigint, comp bigint, apart bigint")
+    if nearest:
+        found = found.groupBy("u", "comp").agg(F.min(F.struct("apart", "v")).alias("least")).select("u", "least.v")
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
 def _rare_first(own: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
@@ -278,22 +305,26 @@ def _lists(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tup
     full = staged(shared.filter(F.col("count") > LONG).groupBy("rep", "n").agg(F.count("*").alias("hot"))
                   .filter(shown - F.col("hot") < take).select("rep"), "full")
     rare = shared.filter(F.col("count") <= LONG).select("t", "rep", "n")
+    done = [shared, frequent, full]
     if full.limit(1).count():
         own = _whole_sets(docs, full.withColumnRenamed("rep", "node"), words)
         more = staged(_rare_first(own, frequent, percent), "more")
+        done.append(more)
         # a shingle that one class showed may now meet those that show all
         met = postings.join(small_or_not(more.select("t").distinct()), "t", "left_semi") \
             .join(small_or_not(frequent), "t", "left_anti").select("t", "rep", "n")
         rare = rare.unionByName(met).distinct().join(small_or_not(full), "rep", "left_anti").select("t", "rep", "n") \
             .unionByName(more)
     chosen = staged(rare, "chosen")
+    unstage(*done)
     return chosen, chosen.groupBy("t").agg(F.count("*").alias("m")).filter("m >= 2")
 
 
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (u, v) between classes (rep, n, head, sketch) that have the components of all links."""
+    """Links (u, v), staged, between classes (rep, n, head, sketch) that have the components of all links."""
     chosen, lengths = _lists(docs, classes, words, percent)
     lists = staged(chosen.join(lengths, "t"), "lists")
+    unstage(chosen)
     short = lists.filter(F.col("m") <= LONG).groupBy("t").agg(F.sort_array(F.collect_list("rep")).alias("own"))
     asked = short.select(F.posexplode("own").alias("at", "rep"), "own").filter("at > 0").select(
         "rep", F.slice("own", F.lit(1), F.col("at")).alias("own"))
@@ -302,33 +333,50 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
 
     long = lists.filter(F.col("m") > LONG)
     if not long.limit(1).count():
+        unstage(lists)
         return found
     central = long.groupBy("rep").agg(F.count("*").alias("c"))
     rows = staged(long.join(central, "rep"), "long")
-    apart = rows
-    comps = None
-    for _ in range(2):  # probe against the most central class, then among what is left apart from it
-        head = apart.groupBy("t").agg(F.max(F.struct("c", (-F.col("rep")).alias("r"), F.col("n").alias("hn"))).alias("h"))
-        pairs = apart.join(head, "t").select("rep", "n", (-F.col("h.r")).alias("head"), F.col("h.hn").alias("hn")) \
-            .filter((F.col("rep") != F.col("head")) & _sizes_fit(F.col("n"), F.col("hn"), percent)) \
-            .select(F.greatest("rep", "head").alias("u"), F.least("rep", "head").alias("v"))
-        found = staged(found.unionByName(_decided(docs, classes, pairs, words, percent)).distinct(), "links")
-        comps = roots(found).select(F.col("u").alias("rep"), F.col("v").alias("comp"))
+    unstage(lists)
+    named = mixed = None
+    for way in ("centre", "centre", "nearest", "every"):
+        if way == "centre":  # probe against the most central class, then among what is left apart from it
+            apart = rows if named is None else named.join(mixed.select("t", F.col("comp").alias("main")), "t").filter("comp <> main").drop("comp", "main")
+            head = apart.groupBy("t").agg(F.max(F.struct("c", (-F.col("rep")).alias("r"), F.col("n").alias("hn"))).alias("h"))
+            pairs = apart.join(head, "t").select("rep", "n", (-F.col("h.r")).alias("head"), F.col("h.hn").alias("hn")) \
+                .filter((F.col("rep") != F.col("head")) & _sizes_fit(F.col("n"), F.col("hn"), percent)) \
+                .select(F.greatest("rep", "head").alias("u"), F.least("rep", "head").alias("v"))
+        else:
+            pairs = _across(_blocks(named, mixed, classes), percent, way == "nearest")
+        new = _decided(docs, classes, pairs, words, percent)
+        old = found
+        found = staged(old.unionByName(new).distinct(), "links")
+        unstage(old, new)
+        if way == "every":
+            break
+        edges = roots(found)
+        before = [x for x in (named, mixed) if x is not None]
+        comps = edges.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
         named = staged(rows.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "named")
+        unstage(edges, *before)
         main = named.groupBy("t", "comp").agg(F.count("*").alias("k")).groupBy("t").agg(
             F.max(F.struct("k", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("k").alias("m2"))
         mixed = staged(main.filter("comps > 1").select("t", "main.comp", "m2", (F.col("m2") - F.col("main.k")).alias("m1")), "mixed")
         if not mixed.limit(1).count():
-            return found
-        apart = named.join(mixed.select("t", F.col("comp").alias("main")), "t").filter("comp <> main").drop("comp", "main")
-    open_rows = named.drop("m", "c").join(mixed.select("t", F.col("comp").alias("main"), "m1", "m2"), "t") \
-        .join(classes.select("rep", "sketch"), "rep")
+            break
+    unstage(rows, named, mixed)
+    return found
+
+
+def _blocks(named: DataFrame, mixed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(minor, members): blocks of the members outside a list's largest component, each with every block of the list."""
+    open_rows = _small_sketches(
+        named.drop("m", "c").join(mixed.select("t", F.col("comp").alias("main"), "m1", "m2"), "t").join(classes.select("rep", "sketch"), "rep"))
     member = F.collect_list(F.struct("rep", "n", "comp", "sketch"))
     part = lambda size: F.pmod(F.xxhash64("rep"), F.ceil(F.col(size) / BLOCK).cast("long"))
     every = open_rows.groupBy("t", part("m2").alias("b")).agg(member.alias("members"))
     minor = open_rows.filter("comp <> main").groupBy("t", part("m1").alias("b1")).agg(member.alias("minor"))
-    across = _across(minor.join(every, "t").select("minor", "members"), percent)
-    return found.unionByName(_decided(docs, classes, across, words, percent)).distinct()
+    return minor.join(every, "t").select("minor", "members")
 
 
 def _joined(docs: DataFrame, several: DataFrame, words: int) -> DataFrame:
@@ -359,6 +407,7 @@ def components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     several = staged(base.filter("doc_id is not null").groupBy("doc_id").agg(
         F.count("*").alias("times"), F.min(name).alias("a"), F.max(name).alias("b")).filter("a <> b").select("doc_id", "times"), "several")
     if not several.limit(1).count():
+        unstage(several)
         return _components(docs, base, words, percent)
     # in between, a document with several texts is one row
     with small_batches(docs.sparkSession, BATCH_ROWS):
@@ -375,7 +424,9 @@ def _components(docs: DataFrame, base: DataFrame, words: int, percent: int) -> D
     # a class is read from the row of its smallest doc_id
     classes = base.join(small_or_not(first.select("class", F.col("rep").alias("doc_id"))), ["class", "doc_id"]).select(
         F.col("doc_id").alias("rep"), "n", "head", "sketch")
-    top = roots(links(docs, classes, words, percent)).select(F.col("u").alias("rep"), F.col("v").alias("comp"))
+    linked = links(docs, classes, words, percent)
+    top = roots(linked).select(F.col("u").alias("rep"), F.col("v").alias("comp"))
+    unstage(linked)
     named = first.join(top, "rep", "left").select("class", F.coalesce("comp", "rep").alias("comp"))
     return base.select("doc_id", "n", "class").join(named, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),

@@ -210,12 +210,16 @@ def rhythm(wide: DataFrame) -> DataFrame:
     return _rhythm(inputs, ["user_id"])
 
 
-def lookback_rhythm(wide: DataFrame, dates: DataFrame, size: int = 7, least: int = 3) -> DataFrame:
-    """The same metrics for every given date over its last ``size`` calendar days."""
-    w = days(-(size - 1))
+def lookback_rhythm(wide: DataFrame, dates: DataFrame, size: int = 7, least: int = 3,
+                    beside: dict[str, Column] | None = None) -> DataFrame:
+    """The same metrics for every given date over its last ``size`` calendar days.
+
+    beside: further columns over the dense days, which may name other columns of ``wide``.
+    """
+    w, beside = days(-(size - 1)), beside or {}
     dense = _prepared(dates.select(*KEY).join(wide, KEY, "left"))
-    inputs = dense.select(*KEY, *_rhythm_inputs(lambda c: c.over(w)))
-    return _rhythm(inputs.filter(F.col("n") >= least), KEY)
+    inputs = dense.select(*KEY, *[c.alias(n) for n, c in beside.items()], *_rhythm_inputs(lambda c: c.over(w)))
+    return _rhythm(inputs.filter(F.col("n") >= least), [*KEY, *beside])
 
 
 def phase_shift(before: DataFrame, after: DataFrame) -> DataFrame:

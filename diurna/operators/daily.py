@@ -184,8 +184,9 @@ def activity_flags(days: DataFrame) -> DataFrame:
     )
 
 
-def hourly_step_metrics(activity: DataFrame) -> DataFrame:
-    """Steps in 24 start-hour bins; every metric is arithmetic over the 24 columns."""
+def hour_bins(activity: DataFrame) -> DataFrame:
+    """Per day with activity of any type the steps of each start hour: ``h0..h23`` per hour they lasted,
+    ``r0..r23`` as counted, and their sum."""
     is_step = F.col("activity_type") == "STEP_COUNT"
     hours = E.hours_between("start_ts", "end_ts")
     share = F.col("value") / F.greatest(F.lit(1.0), hours)
@@ -196,25 +197,35 @@ def hourly_step_metrics(activity: DataFrame) -> DataFrame:
                 F.when(is_step, share).alias("share"), F.when(is_step, F.col("value")).alias("raw"))
         .groupBy(*KEY, "hour").agg(F.sum("share").alias("share"), F.sum("raw").alias("raw"))
     )
-    binned = hourly.groupBy(*KEY).agg(
+    of = lambda c, h: F.coalesce(F.sum(F.when(F.col("hour") == h, F.col(c))), F.lit(0.0))
+    return hourly.groupBy(*KEY).agg(
         F.coalesce(F.sum("raw"), F.lit(0.0)).alias("daily_steps"),
-        *[F.coalesce(F.sum(F.when(F.col("hour") == h, F.col("share"))), F.lit(0.0)).alias(f"h{h}") for h in HOURS])
+        *[of("share", h).alias(f"h{h}") for h in HOURS], *[of("raw", h).alias(f"r{h}") for h in HOURS])
+
+
+def hourly_step_metrics(activity: DataFrame) -> DataFrame:
+    """Steps in 24 start-hour bins; every metric is arithmetic over the 24 columns."""
+    return step_metrics(hour_bins(activity))
+
+
+def step_metrics(bins: DataFrame, *keep: str) -> DataFrame:
+    """The metrics of `hour_bins`, with other columns of it as asked."""
     # rounding and mean are stages of their own: inlined, they would repeat in every term below
-    binned = binned.select(*KEY, "daily_steps", *[F.round(f"h{i}", 9).alias(f"h{i}") for i in HOURS])
+    binned = bins.select(*KEY, *keep, "daily_steps", *[F.round(f"h{i}", 9).alias(f"h{i}") for i in HOURS])
     binned = binned.withColumn("mean", F.expr("(" + " + ".join(f"h{i}" for i in HOURS) + ") / 24"))
 
     def total(term: str, hours=HOURS) -> Column:
         return F.expr(" + ".join(term.format(i=i, j=i + 1) for i in hours))
 
     counted = binned.select(
-        *KEY, "daily_steps",
+        *KEY, *keep, "daily_steps",
         (total("(h{i} - mean) * (h{i} - mean)") / 24).alias("activity_variance"),
         total("int(h{i} < 250)").alias("rest"), total("int(h{i} >= 1000)").alias("busy"),
         total("int((h{i} < 250) != (h{j} < 250))", range(23)).alias("flips"),
         (F.expr("int(h0 < 250)") + total("int(h{j} < 250 AND h{i} >= 250)", range(23))).alias("bouts"))
     active = 24 - F.col("rest")
     return counted.select(
-        *KEY, "daily_steps", "activity_variance", F.col("rest").cast("double").alias("sedentary_hours"),
+        *KEY, *keep, "daily_steps", "activity_variance", F.col("rest").cast("double").alias("sedentary_hours"),
         (F.col("flips") / 23.0).alias("activity_fragmentation"),
         F.when(F.col("bouts") > 0, F.col("rest") / F.col("bouts")).otherwise(24.0).alias("sedentary_bout_mean"),
         F.when(active > 0, F.col("busy") / active).otherwise(0.0).alias("activity_intensity_ratio"))

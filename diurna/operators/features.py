@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from diurna import wording
 from diurna.functions import exprs as E
 from diurna.operators import circadian as C
+from diurna.operators import daily as D
+from diurna.operators import intervals as I
 from diurna.operators import rolling as R
 
 KEY = ["user_id", "date"]
@@ -373,9 +375,44 @@ def pipeline_table(window_metrics: DataFrame, nights: DataFrame, step_metrics: D
         eligible, KEY)
     clock = R.mean_std_z(both, ["circadian_amplitude"], least=1)
     rows = stats.join(clock, KEY, "left").join(nights.select(*KEY, "sleep_hours"), KEY, "left").join(step_metrics, KEY, "left")
+    out = _pipeline_row(rows, metrics)
+    return out.withColumn("interdaily_stability", F.col("relative_amplitude")) if legacy_names else out
+
+
+def day_facts(sleep: DataFrame, activity: DataFrame) -> DataFrame:
+    """One row per user and day that has sleep or activity: all that the daily feature table is made of.
+
+    Activity is read once, to hourly sums; sleep twice, as windows belong to start dates and
+    hours slept to nights. Every later step works on these rows, so they are worth storing.
+    """
+    windows = I.daily_window_metrics(sleep, counted=True)
+    nights = D.daily_sleep(sleep).select(*KEY, "sleep_hours")
+    steps = D.step_metrics(D.hour_bins(activity), *[f"r{h}" for h in D.HOURS])
+    return windows.join(steps, KEY, "full").join(nights, KEY, "full")
+
+
+def pipeline_from_facts(facts: DataFrame, window: int = 14, least: int = 3) -> DataFrame:
+    """`pipeline_table` from (stored) rows of `day_facts`.
+
+    Days with ``least`` sleep records or more in their last ``window`` days are eligible for the
+    rhythm statistics.
+    """
+    metrics = facts.columns[facts.columns.index("sleep_percentage"):facts.columns.index("short_wt") + 1]
+    shown = ["sleep_hours", "daily_steps", "activity_variance", "sedentary_hours", "activity_fragmentation", "sedentary_bout_mean",
+             "activity_intensity_ratio"]
+    stats = R.mean_std_z(facts.filter("records IS NOT NULL").select(*KEY, *metrics, *shown), metrics)
+    begun = facts.filter("records IS NOT NULL OR r0 IS NOT NULL")
+    hours = begun.select(*KEY, "records", *[F.col(f"r{h}").alias(f"h{h}") for h in D.HOURS])
+    recent = F.sum("records").over(R.rows(-(window - 1)))
+    clock = C.lookback_rhythm(hours, C.user_calendar(begun), beside={"recent": recent}).filter(F.col("recent") >= least)
+    clock = R.mean_std_z(clock.select(*KEY, F.col("relative_amplitude").alias("circadian_amplitude")), ["circadian_amplitude"], least=1)
+    return _pipeline_row(stats.join(clock, KEY, "left"), metrics)
+
+
+def _pipeline_row(rows: DataFrame, metrics: list[str]) -> DataFrame:
     zero = lambda c, d=0.0: F.coalesce(c, F.lit(d)).alias(c)
     shown = F.greatest(F.lit(1), F.col("long_num") + F.col("short_num"))
-    out = rows.select(
+    return rows.select(
         *KEY, F.coalesce("sleep_hours", F.lit(0.0)).alias("sleep_duration_hours"),
         (F.col("short_num") / shown).alias("short_window_pct"), (F.col("long_num") / shown).alias("long_window_pct"),
         F.coalesce("circadian_amplitude", F.lit(0.0)).alias("relative_amplitude"),
@@ -383,7 +420,6 @@ def pipeline_table(window_metrics: DataFrame, nights: DataFrame, step_metrics: D
         *[zero(f"circadian_amplitude_{k}") for k in ("mean", "std", "zscore")],
         zero("daily_steps"), zero("activity_variance"), zero("sedentary_hours", 24.0), zero("activity_fragmentation"),
         zero("sedentary_bout_mean", 24.0), zero("activity_intensity_ratio"))
-    return out.withColumn("interdaily_stability", F.col("relative_amplitude")) if legacy_names else out
 
 
 def model_vector(advanced: DataFrame, onset_wake: DataFrame, fragments: DataFrame, variance: DataFrame, heart: DataFrame,

@@ -194,7 +194,8 @@ def daily_windows(sleep: DataFrame) -> DataFrame:
     )
 
 
-def daily_window_metrics(sleep: DataFrame) -> DataFrame:
+def daily_window_metrics(sleep: DataFrame, counted: bool = False) -> DataFrame:
+    """Metrics of the windows of each start date; counted: with the records behind them."""
     is_long = F.col("hours") >= S.MERGE_THRESHOLD_HOURS
     gaps, total, squares = F.sum("gaps"), F.sum("gap_hours"), F.sum("gap_sq")
     spread = F.sqrt(F.greatest(squares / gaps - (total / gaps) * (total / gaps), F.lit(0.0)))
@@ -202,8 +203,9 @@ def daily_window_metrics(sleep: DataFrame) -> DataFrame:
     def part(flag: Column, value: Column | str) -> Column:
         return F.coalesce(F.sum(F.when(flag, E.col(value))), F.lit(0.0))
 
+    more = [F.sum("episodes").alias("records")] if counted else []
     return daily_windows(sleep).groupBy("user_id", "date").agg(
-        (F.sum("hours") * 60 / 1440).alias("sleep_percentage"),
+        *more, (F.sum("hours") * 60 / 1440).alias("sleep_percentage"),
         # one gap has no spread; the moment formula alone would leave rounding noise
         F.when(gaps > 1, spread / (total / gaps)).otherwise(0.0).alias("sleep_amplitude"),
         F.count_if(is_long).alias("long_num"),

@@ -6,11 +6,11 @@ from diurna.operators import circadian as C
 from diurna.operators import daily as D
 from diurna.operators import features as X
 from diurna.operators import intervals as I
-from diurna.operators import light as P
 from diurna.operators import rolling as R
 from diurna.plans.nights import r
 from diurna.plans.registry import query, view
 from diurna.plans.rolling import SLEEP_METRICS, zs
+from diurna.session import scratch
 
 K = ["user_id", "date"]
 
@@ -284,16 +284,10 @@ query("features_for_dates", "D10", """
 
 
 # ---- pipeline table -------------------------------------------------------------------
-def calendar(t):
-    starts = t.sleep.select("user_id", F.to_date("start_ts").alias("date")).unionByName(
-        t.activity.select("user_id", F.to_date("start_ts").alias("date")))
-    return C.user_calendar(starts.distinct())
-
-
 def pipeline(t):
-    cal = calendar(t)
-    return X.pipeline_table(I.daily_window_metrics(t.sleep), D.daily_sleep(t.sleep), D.hourly_step_metrics(t.activity),
-                            C.hourly_wide(t.activity), cal, P.eligible_days(t.sleep, cal))
+    folder = scratch(t.spark)
+    X.day_facts(t.sleep, t.activity).write.parquet(folder)
+    return X.pipeline_from_facts(t.spark.read.parquet(folder))
 
 
 STEP = ["daily_steps", "activity_variance", "sedentary_hours", "activity_fragmentation", "sedentary_bout_mean", "activity_intensity_ratio"]
