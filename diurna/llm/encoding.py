@@ -170,16 +170,18 @@ class Encoder:
         table, get, new = self.table, self.table.get, set()
         split = [self._split(t) if t else [""] for t in texts]
         found = [list(map(get, parts)) for parts in split]
+        gaps = []
         for parts, ids in zip(split, found):
-            if None in ids:
-                new.update([p for p, x in zip(parts, ids) if x is None])
+            gap = [i for i, x in enumerate(ids) if x is None] if None in ids else ()
+            new.update([parts[i] for i in gap])
+            gaps.append(gap)
         self._learn(new)
-        for text, parts, ids in zip(texts, split, found):
+        for text, parts, ids, gap in zip(texts, split, found, gaps):
             if not text:
                 yield b""
                 continue
-            if None in ids:
-                ids = [table[p] if x is None else x for p, x in zip(parts, ids)]
+            for i in gap:
+                ids[i] = table[parts[i]]
             yield self._joined(text, parts, ids)
 
 

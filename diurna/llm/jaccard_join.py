@@ -44,8 +44,8 @@ from diurna.llm.hashing import Rolling, mixed
 #: Lists over this many classes are long: they are probed, not merged.
 LONG = 100
 SKETCH_BITS = 256
-#: Bytes of the sketches that are compared in blocks.
-BLOCK_SKETCH = 256
+#: Bits at most of the wider sketches that are compared in blocks.
+WIDE_BITS = 2048
 BLOCK = 256
 #: Rows with whole lists or sets that are in a worker's memory at a time.
 BATCH_ROWS = 100
@@ -87,9 +87,9 @@ def spare(n: int, percent: int) -> int:
     return taken(n, percent) // 4 + 2
 
 
-def sketch(own: np.ndarray) -> bytes:
-    """Parities of the hashes by their leading bits, two to four bits a shingle and SKETCH_BITS at least."""
-    bits = max(SKETCH_BITS, 1 << (2 * len(own)).bit_length())
+def sketch(own: np.ndarray, wide: bool = False) -> bytes:
+    """Parities of the hashes by their leading bits, SKETCH_BITS at least: half a bit a shingle, or if wide, two to four bits up to WIDE_BITS."""
+    bits = max(SKETCH_BITS, min(WIDE_BITS, 1 << (2 * len(own)).bit_length()) if wide else 1 << (len(own) // 2).bit_length())
     at = (own.view(np.uint64) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -116,19 +116,20 @@ def _owns(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, names, heads, sketches = [], [], [], []
+            sizes, names, heads, sketches, wide = [], [], [], [], []
             for own in _owns(batch, words):
                 n = len(own)
                 sizes.append(n)
                 names.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 heads.append(own[:taken(n, percent) + spare(n, percent)] if n else own)
                 sketches.append(sketch(own))
+                wide.append(sketch(own, True))
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
-                 pa.array(heads, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=["doc_id", "n", "class", "head", "sketch"])
+                 pa.array(heads, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(wide, pa.binary())],
+                names=["doc_id", "n", "class", "head", "sketch", "wide"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, class binary, head array<bigint>, sketch binary")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, class binary, head array<bigint>, sketch binary, wide binary")
 
 
 def _whole_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -210,18 +211,6 @@ def _merged(lists: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "u bigint, v bigint")
 
 
-def _small_sketches(rows: DataFrame) -> DataFrame:
-    """rows with their sketches folded to at most BLOCK_SKETCH bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.names.index("sketch")
-            small = [folded(x, min(len(x), BLOCK_SKETCH)).tobytes() for x in column(batch, "sketch").to_pylist()]
-            yield batch.set_column(at, "sketch", pa.array(small, pa.binary()))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def _across(blocks: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """(u, v, comp, apart): a minor member u and a member v of another component whose sketches allow a link.
 
@@ -321,7 +310,7 @@ def _lists(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tup
 
 
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (u, v), staged, between classes (rep, n, head, sketch) that have the components of all links."""
+    """Links (u, v), staged, between classes (rep, n, head, sketch, wide) that have the components of all links."""
     chosen, lengths = _lists(docs, classes, words, percent)
     lists = staged(chosen.join(lengths, "t"), "lists")
     unstage(chosen)
@@ -347,8 +336,11 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
                 .filter((F.col("rep") != F.col("head")) & _sizes_fit(F.col("n"), F.col("hn"), percent)) \
                 .select(F.greatest("rep", "head").alias("u"), F.least("rep", "head").alias("v"))
         else:
-            pairs = _across(_blocks(named, mixed, classes), percent, way == "nearest")
+            members = staged(_open_members(named, mixed, classes), "open")
+            pairs = _across(_blocks(members), percent, way == "nearest")
         new = _decided(docs, classes, pairs, words, percent)
+        if way != "centre":
+            unstage(members)
         old = found
         found = staged(old.unionByName(new).distinct(), "links")
         unstage(old, new)
@@ -368,14 +360,18 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     return found
 
 
-def _blocks(named: DataFrame, mixed: DataFrame, classes: DataFrame) -> DataFrame:
+def _open_members(named: DataFrame, mixed: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of lists with several components, with their wide sketches."""
+    return named.drop("m", "c").join(mixed.select("t", F.col("comp").alias("main"), "m1", "m2"), "t").join(
+        classes.select("rep", F.col("wide").alias("sketch")), "rep")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
     """(minor, members): blocks of the members outside a list's largest component, each with every block of the list."""
-    open_rows = _small_sketches(
-        named.drop("m", "c").join(mixed.select("t", F.col("comp").alias("main"), "m1", "m2"), "t").join(classes.select("rep", "sketch"), "rep"))
     member = F.collect_list(F.struct("rep", "n", "comp", "sketch"))
     part = lambda size: F.pmod(F.xxhash64("rep"), F.ceil(F.col(size) / BLOCK).cast("long"))
-    every = open_rows.groupBy("t", part("m2").alias("b")).agg(member.alias("members"))
-    minor = open_rows.filter("comp <> main").groupBy("t", part("m1").alias("b1")).agg(member.alias("minor"))
+    every = members.groupBy("t", part("m2").alias("b")).agg(member.alias("members"))
+    minor = members.filter("comp <> main").groupBy("t", part("m1").alias("b1")).agg(member.alias("minor"))
     return minor.join(every, "t").select("minor", "members")
 
 
@@ -399,7 +395,10 @@ def _joined(docs: DataFrame, several: DataFrame, words: int) -> DataFrame:
 
 
 def components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), one row per row of docs."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), one row per row of docs.
+
+    The result's _below are the staged tables that it reads, for `unstage` once it is written.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("joined"))
     with small_batches(docs.sparkSession, SET_ROWS):
         base = staged(_sets(docs, words, percent), "sets")
@@ -415,20 +414,26 @@ def components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
         rest = lambda rows: rows.join(small_or_not(several.select("doc_id")), "doc_id", "left_anti")
         base = staged(rest(base).unionByName(_sets(joined, words, percent)), "sets")
     found = _components(rest(docs).unionByName(joined), base, words, percent)
+    below = (*found._below, several, joined)
     times = F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)))).alias("_")
-    return found.join(small_or_not(several), "doc_id", "left").select(*found.columns, times).drop("_")
+    out = found.join(small_or_not(several), "doc_id", "left").select(*found.columns, times).drop("_")
+    out._below = below
+    return out
 
 
 def _components(docs: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame:
     first = staged(base.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
     # a class is read from the row of its smallest doc_id
     classes = base.join(small_or_not(first.select("class", F.col("rep").alias("doc_id"))), ["class", "doc_id"]).select(
-        F.col("doc_id").alias("rep"), "n", "head", "sketch")
+        F.col("doc_id").alias("rep"), "n", "head", "sketch", "wide")
     linked = links(docs, classes, words, percent)
-    top = roots(linked).select(F.col("u").alias("rep"), F.col("v").alias("comp"))
+    edges = roots(linked)
+    top = edges.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
     unstage(linked)
     named = first.join(top, "rep", "left").select("class", F.coalesce("comp", "rep").alias("comp"))
-    return base.select("doc_id", "n", "class").join(named, "class", "left").select(
+    out = base.select("doc_id", "n", "class").join(named, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id"))
         .otherwise(F.col("comp")).alias("component_id"))
+    out._below = (base, first, edges)
+    return out
