@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diurna.llm import decontaminate, packing, quality_rules
-from diurna.llm.common import small_or_not, staged
+from diurna.llm.common import small_or_not, staged, unstage
 from diurna.llm.jaccard_join import components
 from diurna.llm.suffix_dedup import cut
 
@@ -44,6 +44,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         nodes = docs.join(small_or_not(several.withColumn("_own", F.lit(True))), "doc_id", "left").select(
             *COLUMNS, F.when(F.col("_own"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("node"))
     groups = components(nodes.select(F.col("node").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILARITY)
+    below = groups._below
     if some:
         named = nodes.join(small_or_not(several), "doc_id", "left_semi").select(F.col("node"), F.col("doc_id").alias("own")).distinct()
         groups = staged(groups.filter("doc_id is not null").withColumnRenamed("doc_id", "node").join(small_or_not(named), "node", "left").select(
@@ -52,6 +53,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         gone = groups.join(first, "component_id").filter("node <> first.node").select("node").distinct()
     else:
         gone = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("node")).distinct()
+    gone = staged(gone, "gone")
+    unstage(*below)
     kept = nodes.join(small_or_not(gone), "node", "left_anti").select(*COLUMNS)
     # rows that repeat one id with one text are a group as well
     ids = small_or_not(ids.select("doc_id"))

@@ -228,6 +228,7 @@ def repeated(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFr
     spans = staged(known.unionByName(found).groupBy("id").agg(F.collect_list(F.struct("at", "size")).alias("windows")), "spans")
     held = texts.select("id", "text").join(small_or_not(spans, spans.select(F.explode("windows"))), "id")
     unstage(runs, named, edges, windows, alive_names)
+    held._below = (base, distinct, texts, spans)
     return base.select("doc_id", "sha", "n"), distinct.select("id", "copies"), held
 
 
@@ -297,6 +298,7 @@ def cut(docs: DataFrame, length: int = 400) -> DataFrame:
     per_text = distinct.join(changed, "id", "left").filter("copies > 1 or kept is not null").withColumnsRenamed(
         {"id": "_id", "kept": "_kept", "copies": "_copies"})
     per_text = staged(per_text, "cut")
+    unstage(*held._below)
     ids = small_or_not(per_text.select("_id"))
     same = _short_of_text() == F.col("_id")
     # only texts that change are sent to where their rest is
