@@ -248,14 +248,15 @@ def _across(blocks: DataFrame, percent: int, nearest: bool) -> DataFrame:
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
-def _rare_first(own: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
-    """(t, rep, n): the shingles that whole sets (node, own) take, frequent ones last.
+def _rare_first(docs: DataFrame, reps: DataFrame, frequent: DataFrame, words: int, percent: int) -> DataFrame:
+    """(t, rep, n): the shingles that the whole sets of the named documents take, frequent ones last.
 
-    Frequent shingles are few (each is in over LONG classes) and go to the tasks as one array
+    Texts become taken shingles in one map: two maps in a task would be two Python workers a
+    core, and an executor keeps all it ever started. Frequent shingles are few (each is in over LONG classes) and go to the tasks as one array
     if they are at most BROADCAST_ROWS; beyond that they are joined to the sets' shingles.
     """
     if frequent.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        known = own.sparkSession.sparkContext.broadcast(np.array([r.t for r in frequent.collect()], np.int64))
+        known = docs.sparkSession.sparkContext.broadcast(np.array([r.t for r in frequent.collect()], np.int64))
 
         def first(x: np.ndarray) -> np.ndarray:
             often = np.isin(x, known.value)
@@ -266,12 +267,13 @@ def _rare_first(own: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.frombuffer(x.as_py(), np.int64) for x in column(batch, "own")]
+            sets = list(_owns(batch, words))
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "node"), pa.array([len(x) for x in sets], pa.int64()),
+                [column(batch, "rep"), pa.array([len(x) for x in sets], pa.int64()),
                  pa.array([first(x) for x in sets], pa.list_(pa.int64()))], names=["rep", "n", "some"])
 
-    each = own.mapInArrow(run, "rep bigint, n bigint, some array<bigint>").select("rep", "n", F.explode("some").alias("t"))
+    named = docs.withColumnRenamed("doc_id", "rep").join(small_or_not(reps), "rep", "left_semi")
+    each = named.mapInArrow(run, "rep bigint, n bigint, some array<bigint>").select("rep", "n", F.explode("some").alias("t"))
     if frequent.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return each.select("t", "rep", "n")
     marked = each.join(frequent.withColumn("often", F.lit(True)), "t", "left")
@@ -296,8 +298,7 @@ def _lists(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tup
     rare = shared.filter(F.col("count") <= LONG).select("t", "rep", "n")
     done = [shared, frequent, full]
     if full.limit(1).count():
-        own = _whole_sets(docs, full.withColumnRenamed("rep", "node"), words)
-        more = staged(_rare_first(own, frequent, percent), "more")
+        more = staged(_rare_first(docs, full, frequent, words, percent), "more")
         done.append(more)
         # a shingle that one class showed may now meet those that show all
         met = postings.join(small_or_not(more.select("t").distinct()), "t", "left_semi") \

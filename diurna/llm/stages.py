@@ -20,6 +20,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHINGLE_WORDS, SIMILARITY = 5, 80
 #: Bytes of a repeated passage: under 50 words of ordinary length.
 PASSAGE_BYTES = 200
+#: Words that a worker of the last stage remembers: its executor still holds the heap of the stages before.
+REMEMBERED = 200_000
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,6 +78,6 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset", "sequence_tokens")

@@ -6,7 +6,8 @@ import time
 import brute
 import corpus_pipeline
 import public_tokenizers
-from diurna.llm import encoding, stages
+import pytest
+from diurna.llm import encoding, jaccard_join, packing, stages
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -104,3 +105,41 @@ def test_pipeline_with_long_texts(spark, folder):
     spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
     rows = corpus_pipeline.run(spark, folder).collect()
     assert sum(r.length for r in rows if r.doc_id == 10**6) > 20_000
+
+
+def test_no_task_needs_two_python_workers(spark, monkeypatch):
+    plans = {}
+
+    def staged(df, name, write=jaccard_join.staged):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(jaccard_join, "staged", staged)
+    text = [f"word{i}" for i in range(300)]
+    rows = [(i, " ".join([*text[:2 * i], f"own{i}", *text[2 * i + 1:]])) for i in range(130)]
+    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string"), stages.SHINGLE_WORDS, stages.SIMILARITY).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 130
+    # lists of over LONG classes: their members' texts become taken shingles in one map
+    assert plans["more"].count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_few_remembered_words_give_the_same_ids(name):
+    lib = encoding.Encoder(public_tokenizers.path(name), 200)
+    texts = ["", *(" ".join(f"Word{i * j % 997} of, {chr(228 + j % 9)}{i}\nthe" for i in range(70)) for j in range(1, 40))]
+    most = 0
+    for at in range(0, len(texts), 4):
+        some = texts[at:at + 4]
+        assert list(lib.encode_many(some)) == [lib.whole(t) if t else b"" for t in some]
+        most = max(most, len(lib.table))
+    assert most < 200 // 2 + len({w for t in texts[:5] for w in t.split()}) * 4 and len(lib.old) < 1_000
+
+
+def test_packing_stage_remembers_fewer_words(spark, monkeypatch):
+    asked = []
+    pack = packing.pack
+    monkeypatch.setattr(stages.packing, "pack", lambda *a, **k: asked.append(k) or pack(*a, **k))
+    docs = spark.createDataFrame([(1, "the cat sat", "en", "a", 11), (2, None, None, None, None)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.length) for r in stages.packing_stage(spark, docs, SMALL).collect()) == [(1, 4), (2, 1)]
+    assert asked[0]["remembered"] < encoding.REMEMBERED
