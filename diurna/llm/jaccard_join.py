@@ -10,7 +10,9 @@ inverted lists of the taken shingles alone bring every partner together.
 2. The order is by hash, with frequent shingles (lists over LONG) last: they are found by
    counting the taken shingles, of which every class takes a few more than it needs. A class
    left with too few rare ones takes all its shingles and goes on in the same order.
-3. Short lists: every class heap-merges the short lists of its shingles into candidates.
+3. Short lists: every class heap-merges the short lists of its shingles, without classes of a
+   size too far from its own. A class that occurs so seldom that even all that neither list
+   shows could not make up a link is no candidate.
 4. Long lists remain only among classes that consist of frequent shingles, that is, large
    groups of near copies. They are not merged: members are probed against the list's most
    central class, and what then lies in one component needs no more comparing. Lists with
@@ -31,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -192,25 +195,41 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _merged(lists: DataFrame) -> DataFrame:
-    """Candidates (u, v) of each class u among smaller v, by a heap merge of its lists."""
+def _merged(lists: DataFrame, percent: int) -> DataFrame:
+    """Candidates (u, v) of each class u among smaller v, by a heap merge of its lists that counts occurrences.
+
+    Both classes show the first shingles of one order. Where the one that ends earlier ends, the
+    other shows all it holds up to there; so what two classes share is at most the occurrences
+    counted here and the `rest` of one of them, which is what it holds but no merged list shows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us: list[int] = []
             vs: list[int] = []
-            for u, runs in zip(column(batch, "rep"), column(batch, "lists")):
-                before, last = len(vs), None
-                for v in heapq.merge(*(x.values.to_numpy().tolist() for x in runs)):
-                    if v != last:
-                        vs.append(v)
-                        last = v
-                us += [u.as_py()] * (len(vs) - before)
+            for u, n, rest, each in zip(*(column(batch, c) for c in ("rep", "n", "rest", "lists"))):
+                u, n, rest, runs = u.as_py(), n.as_py(), rest.as_py(), [each.values.field(c) for c in ("own", "sizes", "rests")]
+                own, sizes, rests = (x.flatten().to_numpy() for x in runs)
+                least = -(-percent * (n + sizes.astype(np.int64)) // (100 + percent)) - np.maximum(rest, rests)
+                least = dict(zip(own.tolist(), least.tolist()))
+                merged = heapq.merge(*(x.tolist() for x in np.split(own, np.cumsum(runs[0].value_lengths().to_numpy())[:-1])))
+                found = [v for v, same in groupby(merged) if sum(1 for _ in same) >= least[v]]
+                us += [u] * len(found)
+                vs += found
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return lists.mapInArrow(run, "u bigint, v bigint")
 
 
+def _asked(short: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, rest, lists): of every class its short lists (t, rep, n, rest), with the smaller classes whose size allows a link."""
+    own = short.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("rep", "n", "rest"))).alias("own"))
+    before = F.filter(F.slice("own", F.lit(1), F.col("at")), lambda v: _sizes_fit(v["n"], F.col("u.n"), percent))
+    fits = own.select(F.posexplode("own").alias("at", "u"), "own").filter("at > 0").select("u", before.alias("own")).filter(F.size("own") > 0)
+    return fits.groupBy("u.rep", "u.n", "u.rest").agg(F.collect_list(
+        F.struct(F.col("own.rep").alias("own"), F.col("own.n").alias("sizes"), F.col("own.rest").alias("rests"))).alias("lists"))
+
+
 def _across(blocks: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """(u, v, comp, apart): a minor member u and a member v of another component whose sketches allow a link.
 
@@ -315,17 +334,18 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     chosen, lengths = _lists(docs, classes, words, percent)
     lists = staged(chosen.join(lengths, "t"), "lists")
     unstage(chosen)
-    short = lists.filter(F.col("m") <= LONG).groupBy("t").agg(F.sort_array(F.collect_list("rep")).alias("own"))
-    asked = short.select(F.posexplode("own").alias("at", "rep"), "own").filter("at > 0").select(
-        "rep", F.slice("own", F.lit(1), F.col("at")).alias("own"))
-    merged = _merged(asked.groupBy("rep").agg(F.collect_list("own").alias("lists")))
-    found = _decided(docs, classes, merged, words, percent)
-
     long = lists.filter(F.col("m") > LONG)
-    if not long.limit(1).count():
+    central = long.groupBy("rep").agg(F.count("*").alias("c"))
+    short = lists.filter(F.col("m") <= LONG).select("t", "rep", F.col("n").cast("int").alias("n"))
+    several = long.limit(1).count() > 0
+    if several:
+        short = short.join(small_or_not(central), "rep", "left")
+    unseen = F.coalesce("c", F.lit(0)) if several else F.lit(0)
+    rest = (((F.col("n").cast("long") * percent + 99) / 100).cast("long") - 1 + unseen).cast("int")
+    found = _decided(docs, classes, _merged(_asked(short.select("t", "rep", "n", rest.alias("rest")), percent), percent), words, percent)
+    if not several:
         unstage(lists)
         return found
-    central = long.groupBy("rep").agg(F.count("*").alias("c"))
     rows = staged(long.join(central, "rep"), "long")
     unstage(lists)
     named = mixed = None

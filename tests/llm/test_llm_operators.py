@@ -215,6 +215,18 @@ def test_jaccard_components(spark, monkeypatch, long, sent):
     assert got == brute.components(enumerate(texts), 4, 85)
 
 
+def test_jaccard_merge_drops_what_occurs_too_seldom(spark, monkeypatch):
+    tried = []
+    possible = jaccard_join._possible
+    monkeypatch.setattr(jaccard_join, "_possible", lambda pairs, *rest: tried.append(sorted(map(tuple, pairs.collect()))) or possible(pairs, *rest))
+    shared = "a notice that many texts hold word for word"
+    texts = [" ".join([shared, *(f"t{i}w{k}" for k in range(20 + i % 3))]) for i in range(12)]
+    texts += [f"{texts[0]} end", " ".join(f"z{k}" for k in range(200)), " ".join(f"z{k}" for k in range(120))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(table(spark, texts)).collect()}
+    assert got == brute.components(enumerate(texts), 4, 85)
+    assert tried == [[(12, 0)]]
+
+
 def test_jaccard_rows_without_id_and_repeated_ids(spark, nothing):
     texts, ids = ["one two three four five", "one two three four five", "six seven eight nine ten", "other"], [None, 5, 5, 6]
     got = sorted(((r.doc_id, r.component_id) for r in jaccard_join.components(table(spark, texts, ids)).collect()), key=str)
