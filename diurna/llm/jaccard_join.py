@@ -50,6 +50,8 @@ SKETCH_BITS = 256
 #: Bits at most of the wider sketches that are compared in blocks.
 WIDE_BITS = 2048
 BLOCK = 256
+#: Most members outside the largest components whose blocks are broadcast (at most 20 MB with sketches of WIDE_BITS).
+MINOR_ROWS = 1 << 16
 #: Rows with whole lists or sets that are in a worker's memory at a time.
 BATCH_ROWS = 100
 #: Rows with texts and the heads of their sets that are in a worker's memory at a time.
@@ -166,7 +168,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return named.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def _decided(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _decided(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (u, v) that do link, by binary probes of the smaller set into the larger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +183,7 @@ def _decided(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
             yield pa.RecordBatch.from_arrays([column(batch, "u").filter(keep), column(batch, "v").filter(keep)], names=["u", "v"])
 
     with small_batches(docs.sparkSession, BATCH_ROWS):
-        pairs = staged(_possible(pairs, classes, percent), "pairs")
+        pairs = staged(pairs, "pairs")
         nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         own = staged(_whole_sets(docs, nodes, words), "own")
         both = pairs.join(own.select(F.col("node").alias("u"), F.col("own").alias("a")), "u") \
@@ -329,8 +331,11 @@ def _lists(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tup
     return chosen, chosen.groupBy("t").agg(F.count("*").alias("m")).filter("m >= 2")
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (u, v), staged, between classes (rep, n, head, sketch, wide) that have the components of all links."""
+def tops(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(u, v), staged: every class u that is not the smallest of its component, with that smallest class v.
+
+    classes: (rep, n, head, sketch, wide).
+    """
     chosen, lengths = _lists(docs, classes, words, percent)
     lists = staged(chosen.join(lengths, "t"), "lists")
     unstage(chosen)
@@ -342,13 +347,15 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
         short = short.join(small_or_not(central), "rep", "left")
     unseen = F.coalesce("c", F.lit(0)) if several else F.lit(0)
     rest = (((F.col("n").cast("long") * percent + 99) / 100).cast("long") - 1 + unseen).cast("int")
-    found = _decided(docs, classes, _merged(_asked(short.select("t", "rep", "n", rest.alias("rest")), percent), percent), words, percent)
+    merged = _merged(_asked(short.select("t", "rep", "n", rest.alias("rest")), percent), percent)
+    new = _decided(docs, _possible(merged, classes, percent), words, percent)
     if not several:
-        unstage(lists)
-        return found
+        edges = roots(new)
+        unstage(lists, new)
+        return edges
     rows = staged(long.join(central, "rep"), "long")
     unstage(lists)
-    named = mixed = None
+    found, named, mixed = new, None, None
     for way in ("centre", "centre", "nearest", "every"):
         if way == "centre":  # probe against the most central class, then among what is left apart from it
             apart = rows if named is None else named.join(mixed.select("t", F.col("comp").alias("main")), "t").filter("comp <> main").drop("comp", "main")
@@ -356,22 +363,20 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
             pairs = apart.join(head, "t").select("rep", "n", (-F.col("h.r")).alias("head"), F.col("h.hn").alias("hn")) \
                 .filter((F.col("rep") != F.col("head")) & _sizes_fit(F.col("n"), F.col("hn"), percent)) \
                 .select(F.greatest("rep", "head").alias("u"), F.least("rep", "head").alias("v"))
-        else:
+            probed = _decided(docs, _possible(pairs, classes, percent), words, percent)
+        else:  # the wide sketches that allow these pairs say more than those of _possible
             members = staged(_open_members(named, mixed, classes), "open")
-            pairs = _across(_blocks(members), percent, way == "nearest")
-        new = _decided(docs, classes, pairs, words, percent)
-        if way != "centre":
+            probed = _decided(docs, _across(_blocks(members), percent, way == "nearest").distinct(), words, percent)
             unstage(members)
-        old = found
-        found = staged(old.unionByName(new).distinct(), "links")
-        unstage(old, new)
+        if named is not None and not probed.limit(1).count():  # nothing came together
+            unstage(probed)
+            continue
+        old, found = found, roots(found.unionByName(probed))
+        unstage(old, probed, *(x for x in (named, mixed) if x is not None))
         if way == "every":
             break
-        edges = roots(found)
-        before = [x for x in (named, mixed) if x is not None]
-        comps = edges.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
+        comps = found.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
         named = staged(rows.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "named")
-        unstage(edges, *before)
         main = named.groupBy("t", "comp").agg(F.count("*").alias("k")).groupBy("t").agg(
             F.max(F.struct("k", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("k").alias("m2"))
         mixed = staged(main.filter("comps > 1").select("t", "main.comp", "m2", (F.col("m2") - F.col("main.k")).alias("m1")), "mixed")
@@ -393,7 +398,9 @@ def _blocks(members: DataFrame) -> DataFrame:
     part = lambda size: F.pmod(F.xxhash64("rep"), F.ceil(F.col(size) / BLOCK).cast("long"))
     every = members.groupBy("t", part("m2").alias("b")).agg(member.alias("members"))
     minor = members.filter("comp <> main").groupBy("t", part("m1").alias("b1")).agg(member.alias("minor"))
-    return minor.join(every, "t").select("minor", "members")
+    # sent to the blocks, which are dealt evenly; a join by t would bring all blocks of a list together
+    minor = small_or_not(minor, members.filter("comp <> main"), MINOR_ROWS)
+    return every.join(minor, "t").select("minor", "members")
 
 
 def _joined(docs: DataFrame, several: DataFrame, words: int) -> DataFrame:
@@ -447,10 +454,8 @@ def _components(docs: DataFrame, base: DataFrame, words: int, percent: int) -> D
     # a class is read from the row of its smallest doc_id
     classes = base.join(small_or_not(first.select("class", F.col("rep").alias("doc_id"))), ["class", "doc_id"]).select(
         F.col("doc_id").alias("rep"), "n", "head", "sketch", "wide")
-    linked = links(docs, classes, words, percent)
-    edges = roots(linked)
+    edges = tops(docs, classes, words, percent)
     top = edges.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
-    unstage(linked)
     named = first.join(top, "rep", "left").select("class", F.coalesce("comp", "rep").alias("comp"))
     out = base.select("doc_id", "n", "class").join(named, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),

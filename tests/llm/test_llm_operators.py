@@ -256,6 +256,31 @@ def test_components_of_a_chain(spark):
     assert dict(map(tuple, connected.roots(links).collect())) == {**{i: 0 for i in range(1, 41)}, 101: 100, 103: 100}
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    written = []
+    staged = connected.staged
+    monkeypatch.setattr(connected, "staged", lambda df, name: written.append(name) or staged(df, name))
+    links = spark.createDataFrame([(1, 0), (2, 0), (0, 3), (11, 10), (10, 11), (12, 12)], "u long, v long")
+    assert dict(map(tuple, connected.roots(links).collect())) == {1: 0, 2: 0, 3: 0, 11: 10}
+    assert len(written) == 1
+
+
+@pytest.mark.parametrize("sent", [1 << 16, 0])
+def test_jaccard_blocks_of_few_members_are_sent(spark, monkeypatch, sent):
+    monkeypatch.setattr(jaccard_join, "MINOR_ROWS", sent)
+    monkeypatch.setattr(jaccard_join, "LONG", 6)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    rows = [(t, rep, 9, rep % 3, bytes(32), 0, 4, 6) for t in (1, 2) for rep in range(6)]
+    members = spark.createDataFrame(rows, "t long, rep long, n long, comp long, sketch binary, main long, m1 long, m2 long")
+    blocks = jaccard_join._blocks(members)
+    assert ("BroadcastHashJoin" in blocks._jdf.queryExecution().executedPlan().toString()) == bool(sent)
+    got = {(x.rep, y.rep) for r in blocks.collect() for x in r.minor for y in r.members}
+    assert got == {(a, b) for a in (1, 2, 4, 5) for b in range(6)}
+    texts = near_copies(9) + made(3, 10)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(table(spark, texts)).collect()}
+    assert got == brute.components(enumerate(texts), 4, 85)
+
+
 @pytest.mark.parametrize("length", [24, 100])
 def test_repeated_bytes(spark, length):
     chance = random.Random(6)
