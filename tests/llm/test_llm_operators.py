@@ -86,6 +86,31 @@ def test_encoding_equals_the_library(path, texts):
         assert ids == (lib.whole(t) if t else b"")
 
 
+def test_words_of_letters_need_no_call_of_the_whole_library():
+    lib, chance = encoding.Encoder(BYTE), random.Random(5)
+    letters = [chr(c) for c in range(65, 0x250) if encoding._LETTERS.fullmatch(chr(c))]
+    words = [*letters, *("".join(chance.choices(letters, k=chance.randint(2, 12))) for _ in range(500))]
+    texts = [f"{w} {w}{w}, x\n{w}{chance.choice(words)}. {w}" for w in words]
+    want, calls, whole = [lib.whole(t) for t in texts], [], lib.whole
+    lib.whole = lambda text: calls.append(text) or whole(text)
+    assert list(lib.encode_many(texts)) == want
+    assert set(calls) <= {",", "."}
+
+
+def test_a_group_of_texts_looks_each_word_up_once():
+    lib, asked = encoding.Encoder(BYTE), []
+
+    class Asked(encoding._Table):
+        def get(self, key):
+            asked.append(key)
+            return super().get(key)
+
+    lib.table = Asked(lib.table.make)
+    texts = ["the cat sat, the cat ran", "a  cat\n\nsat", "", "the cat"] * 20
+    assert list(lib.encode_many(texts)) == [lib.whole(t) if t else b"" for t in texts]
+    assert len(asked) == len(set(asked))
+
+
 def test_prefix_counts_are_exact(texts):
     lib, tool = encoding.Encoder(BYTE), token_counts.Counter(BYTE)
     chance = random.Random(3)
