@@ -202,6 +202,13 @@ def t_two_sided(t: Column, df: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.when(df % 2 == 0, even).otherwise(odd))
 
 
+def _corr(a: str, b: str) -> Column:
+    """Pearson over rows that have both; null where one side is constant, as ``F.corr`` divides by zero there."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    constant = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))  # exact, also if merged means differ by noise
+    return F.when(~constant, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def correlation(a: DataFrame, b: DataFrame, x: str | Column, y: str | Column, lag: int = 0,
                 level: float = 0.05) -> DataFrame:
     """Pearson and Spearman over common dates; a positive lag pairs x with y ``lag`` rows later."""
@@ -219,7 +226,7 @@ def correlation(a: DataFrame, b: DataFrame, x: str | Column, y: str | Column, la
         return F.rank().over(W.partitionBy("user_id").orderBy(c)) + (F.count(F.lit(1)).over(tie) - 1) / 2
 
     g = pairs.select("*", rank("x").alias("rx"), rank("y").alias("ry")).groupBy("user_id").agg(
-        F.count(F.lit(1)).cast("int").alias("n"), F.corr("x", "y").alias("r"), F.corr("rx", "ry").alias("rho"))
+        F.count(F.lit(1)).cast("int").alias("n"), _corr("x", "y").alias("r"), _corr("rx", "ry").alias("rho"))
     enough = F.col("n") >= 3
     weakest = F.least(F.abs("r"), F.abs("rho"))
     df = F.col("n") - 2
